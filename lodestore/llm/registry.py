@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestore.llm import bpe, license_scan, mixing, sharding
+from lodestore.llm import bpe, license_scan, mixing, quality, sharding
 from lodestore.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
@@ -29,6 +34,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_quality": op2_quality,
         "op3_license_scan": op3_license_scan,
         "op6_source_mixing": op6_source_mixing,
         "op7_byte_bpe": op7_byte_bpe,
