@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestore.llm import bpe, license_scan, mixing, near_dedup, quality, sharding
+from lodestore.llm import bpe, license_scan, mixing, near_dedup, quality, sharding, substring_dedup
 from lodestore.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": op3_license_scan,
         "op6_source_mixing": op6_source_mixing,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_substring_dedup": op8_substring_dedup,
         "op10_near_dedup": op10_near_dedup,
     }
 
