@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestore.llm import bpe, license_scan, mixing, near_dedup, quality, sharding, substring_dedup
+from lodestore.llm import bpe, fingerprints, license_scan, mixing, near_dedup, quality, sharding, substring_dedup
 from lodestore.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_quality": op2_quality,
         "op3_license_scan": op3_license_scan,
+        "op4_fingerprints": op4_fingerprints,
         "op6_source_mixing": op6_source_mixing,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_substring_dedup": op8_substring_dedup,
