@@ -15,6 +15,8 @@ Template phrases that stand word by word are found as well, in any layout (``bas
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 from lodestore.llm.common import ascii_lower, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases whose consecutive words are a label.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -45,15 +46,19 @@ def vocabulary(templates: tuple[tuple[str, str], ...]) -> list[str]:
 
 
 def token_order(docs: DataFrame, templates: tuple[tuple[str, str], ...], text_col: str) -> list[str]:
-    """The vocabulary of the templates, rarest first over all texts (ties by word). The driver sees one row a word."""
-    words = docs.select(F.explode(F.regexp_extract_all(ascii_lower(F.col(text_col)), F.lit(WORD), F.lit(0))).alias("w"))
+    """The vocabulary of the templates, rarest first over all texts (ties by word). The driver sees one row a word.
+
+    Any order gives the same matches; so words are counted in the faster ``lower``, which differs beyond ASCII.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0))).alias("w"))
     found = {r["w"]: r["count"] for r in words.filter(F.col("w").isin(vocabulary(templates))).groupBy("w").count().collect()}
     return sorted(vocabulary(templates), key=lambda w: (found.get(w, 0), w))
 
 
-def _phrase_regex(phrase: str) -> str:
-    inside = WORD.removesuffix("+")
-    return f"(?<!{inside})" + GAP.join(phrase.split()) + f"(?!{inside})"
+def order_key(order: list[str]):
+    """Rarest first; words that no template has come before all."""
+    rank = {w: i for i, w in enumerate(order)}
+    return lambda w: (rank.get(w, -1), w)
 
 
 def _starts(words: Column, phrase: str) -> Column:
@@ -84,17 +89,18 @@ def scan(
     sets = [(label, sorted({rank[w] for w in t.split()})) for label, t in templates]
     need = [math.ceil(threshold * len(s) - 1e-9) for _, s in sets]
     prefixes = [s[: len(s) - a + 1] for (_, s), a in zip(sets, need, strict=True)]
-    inside = WORD.removesuffix("+")
-    rare = "|".join(sorted(order[i - 1] for i in {i for p in prefixes for i in p}))
-    any_phrase = "|".join(_phrase_regex(p) for p in phrases)
-
-    low = F.col("_low")
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), ascii_lower(text_or_empty(F.col(text_col))).alias("_low"))
-    marked = base.select(
+    rare = F.array(*(F.lit(order[i - 1]) for i in sorted({i for p in prefixes for i in p})))
+
+    # ``lower`` keeps every ASCII word and every boundary of words, so it serves to pass over most documents.
+    text, words = F.col("_text"), F.col("_any")
+    base = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(F.col(text_col)).alias("_text"))
+    tokens = base.select("_id", "_text", F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("_any"))
+    in_phrase = reduce(or_, (reduce(and_, (F.array_contains(words, w) for w in sorted(set(p.split()), key=order_key(order)))) for p in phrases), F.lit(False))
+    marked = tokens.select(
         "_id",
-        F.regexp_count(low, F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(low.rlike(any_phrase), F.regexp_extract_all(low, F.lit(WORD), F.lit(0))).alias("_words"),
-        F.when(low.rlike(f"(?<!{inside})(?:{rare})(?!{inside})"), F.split(low, "\n")).alias("_lines"),
+        F.size(words).cast("long").alias("n_words"),
+        F.when(in_phrase, F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))).alias("_words"),
+        F.when(F.arrays_overlap(words, rare), F.split(ascii_lower(text), "\n")).alias("_lines"),
     )
 
     # Each line as its ranks, rarest first.
