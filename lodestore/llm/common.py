@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +51,11 @@ def ascii_lower(text: Column) -> Column:
 
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+def worker_state(name: str, make: Callable[[], Any], *key: Any) -> Any:
+    """What ``make`` returns, kept for later tasks of the same Python worker under ``name`` and ``key``."""
+    kept = sys.modules.setdefault("_lodestore_worker_state", types.ModuleType("_lodestore_worker_state")).__dict__
+    if (name, key) not in kept:
+        kept[(name, key)] = make()
+    return kept[(name, key)]
