@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestore.llm import bpe, fingerprints, license_scan, mixing, near_dedup, quality, sharding, substring_dedup
+from lodestore.llm import bpe, fingerprints, license_scan, mixing, near_dedup, quality, secrets, sharding, substring_dedup
 from lodestore.llm.common import table
 
 
@@ -39,6 +40,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+    listed = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["nth"], x["length"], x["masked"])), ",")
+    return found.select("doc_id", "n_candidates", "n_findings", "score", listed.alias("findings"), F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -52,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_source_mixing": op6_source_mixing,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_secret_scan": op9_secret_scan,
         "op10_near_dedup": op10_near_dedup,
     }
 
