@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm import bpe, fingerprints, license_scan, mixing, near_dedup, quality, secrets, sharding, substring_dedup
-from lodestore.llm.common import table
+from lodestore.llm import bpe, chroma, fingerprints, license_scan, mixing, near_dedup, quality, secrets, sharding, substring_dedup
+from lodestore.llm.common import materialize, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no media, so each vector of ``embeddings`` is turned into a recording first."""
+    found = materialize(chroma.of_vectors(table(spark, sf_dir, "embeddings")), "vector-recordings")
+    own = found.select(F.col("id").alias("vec_id"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", " ").cast("binary"), 256).alias("items_sha256"), "edit_offset", "edit_errors")
+    return own.join(chroma.search(found).withColumnRenamed("id", "vec_id"), "vec_id", "left")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_license_scan": op3_license_scan,
         "op4_fingerprints": op4_fingerprints,
+        "op5_chroma": op5_chroma,
         "op6_source_mixing": op6_source_mixing,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_substring_dedup": op8_substring_dedup,
