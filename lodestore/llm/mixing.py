@@ -48,25 +48,7 @@ def mix(
     document of a fraction is taken if at least half of it fits. Rows with equal keys are taken by id, then size;
     copies of one row may be taken apart.
     """
-    rows = materialize(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            sampling_key(F.col(id_col), quality_weight(F.col(text_col)), seed).alias("key"),
-        ).withColumn("bin", F.least(F.lit(bins - 1), F.floor(bins * (1 - F.exp(-F.col("key") * LEAST_WEIGHT)))).cast("int")),
-        "mix-rows",
-    )
-    per_bin = materialize(rows.groupBy("source", "bin").agg(F.sum("size").alias("size")), "mix-bins")
-    targets = materialize(_targets(per_bin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
-    ends = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = (
-        per_bin.withColumn("upto", F.sum("size").over(ends)).join(targets, per_bin["source"].eqNullSafe(targets["source"])).select(targets["*"], "bin", "upto", "size")
-        .filter("upto > rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("size")).alias("before"))).alias("cut"))
-    )
-    per_source = targets.join(last, targets["source"].eqNullSafe(last["source"]), "left").select(targets["*"], F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before"))
-    if targets.count() <= BROADCAST_SOURCES:
-        per_source = F.broadcast(per_source)
+    rows, per_source = _allotted(docs, weights, share, most, bins, seed, id_col, text_col, source_col)
     found = rows.join(per_source.withColumnRenamed("source", "_source"), rows["source"].eqNullSafe(F.col("_source")))
     # A source without a cut is taken whole epochs only: its rest is 0 or below every sum.
     plain = found.filter("cut_bin is null or bin <> cut_bin").withColumn("extra", F.when((F.col("bin") < F.col("cut_bin")) & (F.col("rest") > 0), 1).otherwise(0))
@@ -79,6 +61,58 @@ def mix(
     )
 
 
+def _sized(docs: DataFrame, bins: int, seed: str, id_col: str, text_col: str) -> list[Column]:
+    """``_size``, ``_key`` and ``_bin`` of a row."""
+    key = sampling_key(F.col(id_col), quality_weight(F.col(text_col)), seed)
+    return [
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        key.alias("_key"),
+        F.least(F.lit(bins - 1), F.floor(bins * (1 - F.exp(-key * LEAST_WEIGHT)))).cast("int").alias("_bin"),
+    ]
+
+
+def _allotted(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, bins: int, seed: str, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows without their texts, and of each source its target and where its fraction ends: in the bin ``cut_bin``,
+    before which ``before`` words are taken."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), *_sized(docs, bins, seed, id_col, text_col))
+    rows = materialize(rows.withColumnsRenamed({"_size": "size", "_key": "key", "_bin": "bin"}), "mix-rows")
+    per_bin = materialize(rows.groupBy("source", "bin").agg(F.sum("size").alias("size")), "mix-bins")
+    targets = materialize(_targets(per_bin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
+    ends = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = (
+        per_bin.withColumn("upto", F.sum("size").over(ends)).join(targets, per_bin["source"].eqNullSafe(targets["source"])).select(targets["*"], "bin", "upto", "size")
+        .filter("upto > rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("size")).alias("before"))).alias("cut"))
+    )
+    per_source = targets.join(last, targets["source"].eqNullSafe(last["source"]), "left").select(targets["*"], F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before"))
+    return rows, F.broadcast(per_source) if targets.count() <= BROADCAST_SOURCES else per_source
+
+
+def mixed(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, bins: int = 1024, seed: str = "mix",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it (not at all, or up to ``most`` times).
+
+    Texts stay where they are: what travels is each source's last document taken. Rows equal to that one in id and
+    size are taken with it.
+    """
+    rows, per_source = _allotted(docs, weights, share, most, bins, seed, id_col, text_col, source_col)
+    edge = rows.join(per_source.withColumnRenamed("source", "_source"), rows["source"].eqNullSafe(F.col("_source")) & (F.col("bin") == F.col("cut_bin")))
+    at = W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = F.col("before") + F.sum("size").over(at)
+    taken = edge.withColumn("upto", upto).filter(F.col("upto") - F.col("size") + F.col("size") / 2 <= F.col("rest"))
+    point = F.struct(F.col("key").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("size").alias("size"))
+    last = taken.groupBy("source").agg(F.max(point).alias("last"))
+    cuts = per_source.join(last, per_source["source"].eqNullSafe(last["source"]), "left").select(per_source["source"].alias("_source"), "whole", "rest", "cut_bin", "last")
+    cuts = materialize(cuts, "mix-cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
+    sized = docs.select("*", *_sized(docs, bins, seed, id_col, text_col)).join(cuts, F.col(source_col).eqNullSafe(F.col("_source")))
+    here = F.struct(F.col("_key").alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col("_size").alias("size"))
+    more = (F.col("rest") > 0) & ((F.col("_bin") < F.col("cut_bin")) | ((F.col("_bin") == F.col("cut_bin")) & (here <= F.col("last"))))
+    times = F.col("whole") + F.when(more, 1).otherwise(0)
+    return sized.withColumn("_time", F.explode(F.sequence(F.lit(0), times))).filter("_time > 0").select(*docs.columns)
+
+
 def _targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
     """Per source: ``target``, ``whole`` epochs and the ``rest`` in words. The windows run over one row a source."""
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1)

@@ -196,3 +196,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
         F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"),
         *(F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)),
     )
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``, unchanged. Null texts score as empty ones."""
+    place = docs.columns.index(text_col)
+    token = int(zlib.crc32(model.table.tobytes() + repr(model.bias).encode()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = worker_state("quality", lambda: Scorer(model), token)
+        for batch in batches:
+            yield batch.filter(pa.array(own.score([t or "" for t in batch.column(place).to_pylist()]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
