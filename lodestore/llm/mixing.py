@@ -26,7 +26,7 @@ BROADCAST_SOURCES = 20_000
 def quality_weight(text: Column) -> Column:
     """1 for a text without marks, falling with their share to ``LEAST_WEIGHT``; null and empty texts: 1."""
     n = F.length(text)
-    share = (n - F.length(F.translate(text, MARKS, ""))) / n
+    share = F.try_divide(n - F.length(F.translate(text, MARKS, "")), n)
     return F.coalesce(F.greatest(F.lit(LEAST_WEIGHT), 1 - 4 * share), F.lit(1.0))
 
 
@@ -128,9 +128,9 @@ def _targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: i
     )
     taken = F.coalesce(F.max(F.when(F.col("capped"), F.col("full"))).over(everything), F.lit(0.0))
     left = F.coalesce(F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything), F.lit(0.0))
-    target = F.when(F.col("capped"), (most * F.col("source_size")).cast("double")).otherwise((F.col("all") - taken) / left * F.col("weight"))
+    target = F.when(F.col("capped"), (most * F.col("source_size")).cast("double")).otherwise(F.try_divide(F.col("all") - taken, left) * F.col("weight"))
     return filled.withColumn("target", F.least(target, (most * F.col("source_size")).cast("double"))).withColumn(
-        "whole", F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("int")
+        "whole", F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.try_divide(F.col("target"), F.col("source_size")))).cast("int")
     ).select("source", "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
 
 

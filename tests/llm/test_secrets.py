@@ -1,0 +1,52 @@
+import re
+
+from pyspark.sql import functions as F
+
+from lodestore.llm import secrets
+from tests.llm.conftest import same
+
+
+def forest(spark, kept={}):  # noqa: B006
+    if "sql" not in kept:
+        kept["sql"] = secrets.train(secrets.labelled_findings(spark))
+    return kept["sql"]
+
+
+def test_labelled_findings_are_told_apart(spark):
+    """On findings that training did not see: later ones of the same kinds."""
+    more = secrets.labelled_findings(spark, 200).select("*", secrets.features(F.col("before"), F.col("candidate"), F.col("after")).alias("f")).withColumn("s", F.expr(forest(spark)))
+    right = more.agg(F.avg(((F.col("s") >= 0.5).cast("int") == F.col("label")).cast("int"))).first()[0]
+    assert right >= 0.97
+
+
+def test_documents(spark, docs, texts):
+    for r in secrets.scan(docs, forest(spark)).collect():
+        text = texts[r["doc_id"]]
+        planted = re.findall(r'(?i)token = "[0-9a-f]{40}"', text)
+        assert r["n_findings"] == len(planted)
+        assert r["redacted"] == re.sub(r'(?i)(token = ")[0-9a-f]{40}(")', rf"\1{secrets.MASK}\2", text)
+
+
+def test_kinds(spark):
+    rows = [(1, 'api_key: a8Kd93mZq0LpX72bVn5TcR1y'), (2, "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 fixed"), (3, "joe.12@mail3.example.com"), (4, "4556123412341234"), (5, 'token = "your_token_here_12"'), (6, "src/main/java/v2/index.html")]
+    got = {r["doc_id"]: r["n_findings"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), forest(spark)).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0}
+
+
+def test_plan_is_one_pass(spark, docs):
+    plan = secrets.scan(docs, forest(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_awkward(spark, awkward, clashing, empty):
+    found = secrets.scan(awkward, forest(spark))
+    assert found.count() == awkward.count()
+    assert {r["redacted"] for r in found.filter("doc_id in (1, 2)").collect()} == {""}
+    assert found.filter("doc_id = 13").first()["redacted"] == f'x token = "{secrets.MASK}" y'
+    assert same(found, secrets.scan(clashing, forest(spark)))
+    assert secrets.scan(empty, forest(spark)).count() == 0
+
+
+def test_forest_sql():
+    text = "Tree 0 (weight 1.0):\n If (feature 1 <= 0.5)\n  Predict: 0.0\n Else (feature 1 > 0.5)\n  If (feature 0 <= 2.0)\n   Predict: 1.0\n  Else (feature 0 > 2.0)\n   Predict: 0.0\nTree 1 (weight 1.0):\n Predict: 1.0"
+    assert secrets.forest_sql(text) == "(if(f[1] <= 0.5D, 0D, if(f[0] <= 2.0D, 1D, 0D)) + 1D) / 2D"
