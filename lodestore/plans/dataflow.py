@@ -84,11 +84,11 @@ def split_chunks(spark, sf_dir):
 
 @query(
     "hard_split_chk03",
-    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+\s*$|\s*\S+') AS words FROM documents WHERE doc_id % 2 = 0), p AS (SELECT doc_id, words, unnest(range(0, len(words), 100)) AS s FROM w)
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+\s*$|\s*\S+') AS words FROM documents), p AS (SELECT doc_id, words, unnest(range(0, len(words), 100)) AS s FROM w)
     SELECT doc_id, s // 100 AS piece, array_to_string(words[s + 1:s + 100], '') AS text FROM p""",
 )
 def hard_split(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(df.hard_split(F.col("text"), 100)).alias("piece", "text")).withColumn("piece", F.col("piece").cast("long"))
 
 

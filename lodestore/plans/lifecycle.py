@@ -46,8 +46,8 @@ def slots(spark, sf_dir):
     return jobs(spark, sf_dir).agg(F.count_if(live).alias("used"), F.count_if(live & F.col("heavy")).alias("used_heavy"), (F.count_if(live) < 5).alias("free"))
 
 
-CLAIM = f"""WITH {JOBS}, used AS (SELECT count(*) FILTER (live) AS u, count(*) FILTER (live AND heavy) AS uh FROM (SELECT *, state = 'running' AND lease_until >= TIMESTAMP '1998-01-01' AS live FROM jobs WHERE job_id % 1000 < 3)),
-ready AS (SELECT * FROM jobs WHERE job_id % 1000 < 3 AND attempts < 3 AND ((state = 'queued' AND next_attempt_at <= TIMESTAMP '1998-01-01') OR (state = 'running' AND lease_until < TIMESTAMP '1998-01-01'))),
+CLAIM = f"""WITH {JOBS}, used AS (SELECT count(*) FILTER (live) AS u, count(*) FILTER (live AND heavy) AS uh FROM (SELECT *, state = 'running' AND lease_until >= TIMESTAMP '2003-01-01' AS live FROM jobs)),
+ready AS (SELECT * FROM jobs WHERE attempts < 3 AND ((state = 'queued' AND next_attempt_at <= TIMESTAMP '2003-01-01') OR (state = 'running' AND lease_until < TIMESTAMP '2003-01-01'))),
 heads AS (SELECT * FROM (SELECT * FROM ready WHERE NOT heavy ORDER BY created_at, job_id LIMIT 50) UNION ALL SELECT * FROM (SELECT * FROM ready WHERE heavy ORDER BY created_at, job_id LIMIT 20)),
 numbered AS (SELECT *, sum(heavy::INT) OVER (ORDER BY created_at, job_id ROWS UNBOUNDED PRECEDING) AS nh FROM heads, used)
 SELECT job_id, heavy, position FROM (SELECT *, row_number() OVER (ORDER BY created_at, job_id) AS position FROM numbered WHERE NOT heavy OR nh <= 20 - uh) WHERE position <= 50 - u"""
@@ -55,8 +55,7 @@ SELECT job_id, heavy, position FROM (SELECT *, row_number() OVER (ORDER BY creat
 
 @query("claim_stm01_win09_flt10", CLAIM)
 def claim(spark, sf_dir):
-    found = jobs(spark, sf_dir).filter("job_id % 1000 < 3")
-    return lc.claim(found, F.lit("1998-01-01").cast("timestamp_ntz"), slots=50, heavy_slots=20).withColumn("position", F.col("position").cast("long"))
+    return lc.claim(jobs(spark, sf_dir), F.lit("2003-01-01").cast("timestamp_ntz"), slots=50, heavy_slots=20).withColumn("position", F.col("position").cast("long"))
 
 
 @query("expired_flt10", f"WITH {JOBS} SELECT job_id, lease_until < TIMESTAMP '{AS_OF}' AS expired, next_attempt_at <= TIMESTAMP '{AS_OF}' AS due FROM jobs WHERE state <> 'complete'")

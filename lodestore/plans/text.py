@@ -90,7 +90,7 @@ def codes(spark, sf_dir):
 
 #: Drawing-like texts made of order lines.
 READINGS = """SELECT l_orderkey, l_linenumber, 'φ' || l_quantity || ' R ' || l_linenumber || '.50 ± 0' || l_tax || ' see 1.2.3 and 1,5 at 45 °' AS evidence,
-  'Ø' || CASE WHEN l_linenumber % 2 = 0 THEN l_quantity::BIGINT::VARCHAR ELSE l_quantity::VARCHAR || '0' END || ' r' || l_linenumber || '.5 45°' AS summary FROM lineitem WHERE l_linenumber <= 2"""
+  'Ø' || CASE WHEN l_linenumber % 2 = 0 THEN l_quantity::BIGINT::VARCHAR ELSE l_quantity::VARCHAR || '0' END || ' r' || l_linenumber || '.5 45°' AS summary FROM lineitem"""
 TOKENS = r"""list_transform(regexp_extract_all(' ' || translate({0}, 'ΦØø⌀−', 'φφφφ-'), '(?i)[^A-Za-z0-9_.]((?:[φR]\s*)?(?:[+±-]\s*)?[0-9]+(?:[.,][0-9]+)*(?:\s*°)?)', 1), lambda t: replace(regexp_replace(t, '\s+', '', 'g'), 'r', 'R'))"""
 EQUIVALENT = r"""CASE WHEN regexp_full_match({0}, '[φR]?[+±-]?[0-9]+(\.[0-9]+)?°?') THEN regexp_extract({0}, '^([φR]?[+±-]?)', 1)
   || CASE WHEN contains({0}, '.') THEN regexp_replace(regexp_replace(regexp_replace(regexp_extract({0}, '([0-9]+\.[0-9]+)', 1), '0+$', ''), '\.$', ''), '^0+([0-9])', '\1') ELSE regexp_replace(regexp_extract({0}, '([0-9]+)', 1), '^0+([0-9])', '\1') END
@@ -101,7 +101,7 @@ def readings(spark, sf_dir):
     q, n = F.col("l_quantity"), F.col("l_linenumber")
     evidence = F.concat(F.lit("φ"), q, F.lit(" R "), n, F.lit(".50 ± 0"), "l_tax", F.lit(" see 1.2.3 and 1,5 at 45 °"))
     summary = F.concat(F.lit("Ø"), F.when(n % 2 == 0, q.cast("long").cast("string")).otherwise(F.concat(q.cast("string"), F.lit("0"))), F.lit(" r"), n, F.lit(".5 45°"))
-    return table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select("l_orderkey", "l_linenumber", evidence.alias("evidence"), summary.alias("summary"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", evidence.alias("evidence"), summary.alias("summary"))
 
 
 @query(
