@@ -51,25 +51,32 @@ def packed(texts: Column, budget: int, header: bool = True) -> Column:
     at most min(32, budget // 3) words. A line of more than the budget is cut into pieces of its own (CHK03).
     """
     count = lambda t: F.regexp_count(t, F.lit(r"\S+"))
-    first = F.coalesce(F.get(texts, F.lit(0)), F.lit(""))
-    heading = F.when((count(first) <= min(32, budget // 3)) & F.lit(header) & (F.size(texts) > 1) & (first != ""), first)
-    counted = F.transform(texts, lambda t: F.struct(t.alias("line"), count(t).alias("n")))
+    line0 = F.coalesce(F.get(texts, F.lit(0)), F.lit(""))
+    heads = (count(line0) <= min(32, budget // 3)) & F.lit(header) & (F.size(texts) > 1) & (line0 != "")
+    # What every step needs is computed once and bound to the variable of an outer lambda.
+    bound = F.struct(
+        F.transform(texts, lambda t: F.struct(t.alias("line"), count(t).alias("n"))).alias("lines"), line0.alias("first"), heads.alias("heads"), count(line0).alias("n")
+    )
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
 
-    def step(state: Column, x: Column) -> Column:
-        line = x["line"]
-        candidate = F.when(state["open"] == "", line).otherwise(F.concat(state["open"], F.lit("\n"), line))
-        fits = F.struct(state["done"].alias("done"), candidate.alias("open"), (state["n"] + x["n"]).alias("n"))
-        closed = F.when(state["open"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
-        headed = heading.isNotNull() & (F.size(closed) > 0) & (line != first)
-        head, room = F.when(headed, F.concat(heading, F.lit("\n"))).otherwise(F.lit("")), F.lit(budget) - F.when(headed, count(first)).otherwise(0)
-        whole = F.struct(closed.alias("done"), F.concat(head, line).alias("open"), (x["n"] + F.lit(budget) - room).alias("n"))
-        pieces = F.transform(hard_split(line, F.greatest(F.lit(1), room)), lambda p: F.concat(head, p))
-        cut = F.struct(F.concat(closed, F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("done"), F.element_at(pieces, -1).alias("open"), count(F.element_at(pieces, -1)).alias("n"))
-        return F.when(state["n"] + x["n"] <= budget, fits).when(x["n"] <= room, whole).otherwise(cut)
+    def fold(env: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            line = x["line"]
+            candidate = F.when(state["open"] == "", line).otherwise(F.concat(state["open"], F.lit("\n"), line))
+            fits = F.struct(state["done"].alias("done"), candidate.alias("open"), (state["n"] + x["n"]).alias("n"))
+            closed = F.when(state["open"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
+            headed = env["heads"] & (F.size(closed) > 0) & (line != env["first"])
+            head, room = F.when(headed, F.concat(env["first"], F.lit("\n"))).otherwise(F.lit("")), F.lit(budget) - F.when(headed, env["n"]).otherwise(0)
+            whole = F.struct(closed.alias("done"), F.concat(head, line).alias("open"), (x["n"] + F.lit(budget) - room).alias("n"))
+            pieces = F.transform(hard_split(line, F.greatest(F.lit(1), room)), lambda p: F.concat(head, p))
+            cut = F.struct(F.concat(closed, F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("done"), F.element_at(pieces, -1).alias("open"), count(F.element_at(pieces, -1)).alias("n"))
+            return F.when(state["n"] + x["n"] <= budget, fits).when(x["n"] <= room, whole).otherwise(cut)
+
+        return F.aggregate(env["lines"], empty, step)
 
-    state = F.aggregate(counted, empty, step)
-    return F.when(state["open"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
+    state = F.get(F.transform(F.array(bound), fold), F.lit(0))
+    done = F.transform(F.array(state), lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    return F.get(done, F.lit(0))
 
 
 def hard_split(text: Column, budget: Column | int) -> Column:
@@ -86,8 +93,9 @@ def split_chunks(chunks: DataFrame, limit: int, key: str = "chunk_id", text: str
     and ``parts`` is their number; other chunks stay, with part and parts null (WIN12)."""
     budget = max(1, min(limit - 1, int(limit * 0.85)))
     n = F.regexp_count(F.col(text), F.lit(r"\S+"))
-    pieces = F.when(n <= limit, F.array(text)).otherwise(packed(F.split(text, "\n"), budget))
-    out = chunks.select(key, pieces.alias("_pieces")).select(key, F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_at", "text"))
+    lines = chunks.select(key, text, F.split(text, "\n").alias("_lines"))  # a column, or each step of the fold would split again
+    pieces = F.when(n <= limit, F.array(text)).otherwise(packed(F.col("_lines"), budget))
+    out = lines.select(key, pieces.alias("_pieces")).select(key, F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_at", "text"))
     many = F.col("_n") > 1
     return out.select(key, "text", F.when(many, F.col("_at") + 1).cast("long").alias("part"), F.when(many, F.col("_n")).cast("long").alias("parts"))
 

@@ -87,9 +87,10 @@ def hits(spark, sf_dir):
     """Share of benchmark passages that some document holds: joined on three words of the passage, then compared."""
     head, words = F.left("text", F.lit(40)), F.split(F.left("text", F.lit(40)), " ")
     items = table(spark, sf_dir, "benchmark").select("item_id", head.alias("head"), F.array_join(F.slice(words, 2, 3), " ").alias("key"))
-    docs, split = table(spark, sf_dir, "documents"), F.split("text", " ")
-    keys = F.transform(F.sequence(F.lit(1), F.size(split) - 2), lambda k: F.concat_ws(" ", F.element_at(split, k), F.element_at(split, k + 1), F.element_at(split, k + 2)))
-    near = docs.filter(F.size(split) >= 3).select("doc_id", F.explode(keys).alias("key")).join(items, "key").select("doc_id", "item_id", "head").distinct()
+    docs = table(spark, sf_dir, "documents")
+    split = docs.select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") >= 3)  # a column, or each step of the lambda would split again
+    keys = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.concat_ws(" ", F.element_at("w", k), F.element_at("w", k + 1), F.element_at("w", k + 2)))
+    near = split.select("doc_id", F.explode(keys).alias("key")).join(items, "key").select("doc_id", "item_id", "head").distinct()
     found = docs.select("doc_id", "text").join(near, "doc_id").filter(F.contains("text", "head")).select("item_id").distinct().withColumn("hit", F.lit(1))
     return items.join(found, "item_id", "left").agg(F.count(F.lit(1)).alias("items"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count(F.lit(1)), 9).alias("rate"))
 
