@@ -6,11 +6,14 @@ the greater value, and equal in two sketches with about the probability of the J
 registers give candidates, the joint maximum likelihood of a pair's registers (sizes being known) drops the
 hopeless ones, and the rest is confirmed on the full sets.
 
-Scale. Equal sets are one node from the start, found by an aggregate. In a bucket, first every member meets the
-bucket's least member alone; what that links is one component. Then only members of different components of a
-bucket meet, the smaller components against all. Pairs within a component add nothing, so no link between
-components is lost, and a bucket of many copies costs as many pairs as it has members. Components come from
-joins and aggregates whose large side can be split; their rounds are written to the shared folder.
+Scale. Equal sets are one node from the start, found by an aggregate. Then rounds: in a bucket of several
+components, every member outside its largest one meets one member of that, another one each round; of those that
+a document meets, the one that it meets in most buckets is tried. Rounds go on while they link a fair share of what
+is left; they join the bulk of a group of copies at a cost in proportion to its size. At last, of the buckets that
+still hold several components, the documents outside the largest one are held against all others: in small buckets
+pair by pair, in others block by block, on whole sets, so that only links leave a block and never its pairs. Pairs
+within a component add nothing, so no link between components is lost. Components come from joins and aggregates
+whose large side can be split; rounds are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -22,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import materialize, text_or_empty, worker_state
+from lodestore.llm.common import lean_batches, materialize, text_or_empty, worker_state
 from lodestore.llm.words import find_words, mix, shingles, text_chunks, word_hashes
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
-#: A pair estimated this much below the threshold is dropped: seven standard deviations of 200 registers.
-MARGIN = 0.2
+#: A pair estimated this much below the threshold is dropped: over five standard deviations of 200 registers.
+MARGIN = 0.15
+#: A further round follows one that linked at least this share of the documents it met.
+FAIR = 0.05
+#: Buckets of at most so many rows meet pair by pair; others in blocks of so many rows.
+FEW, BLOCK = 16, 2048
 
 
 class Sketcher:
@@ -99,11 +106,11 @@ def sketches(docs: DataFrame, width: int = 5, registers: int = 200, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(key1), signed(key2), pa.array(found, pa.binary())], names=["id", "n_shingles", "key1", "key2", "registers"])
 
     cols = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("_text"))
-    return cols.mapInArrow(run, "id long, n_shingles long, key1 long, key2 long, registers binary")
+    return lean_batches(cols).mapInArrow(run, "id long, n_shingles long, key1 long, key2 long, registers binary")
 
 
 def _estimated(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose estimated similarity is at least ``least``."""
+    """Those of the pairs (a, b) whose estimated similarity is at least ``least``, with it (``similar``)."""
     one = lambda c: sketched.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,11 +118,12 @@ def _estimated(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame
             if batch.num_rows:
                 array = lambda k: np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(batch.num_rows, -1)  # noqa: B023, E731
                 number = lambda k: batch.column(k).to_numpy().astype(float)  # noqa: B023, E731
-                found = estimate(array(3), array(5), number(2), number(4)) >= least
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(found)), batch.column(1).filter(pa.array(found))], names=["a", "b"])
+                similar = estimate(array(3), array(5), number(2), number(4))
+                found = pa.array(similar >= least)
+                yield pa.RecordBatch.from_arrays([x.filter(found) for x in (batch.column(0), batch.column(1), pa.array(similar, pa.float64()))], names=["a", "b", "similar"])
 
     met = pairs.join(one("a"), "a").join(one("b"), "b")
-    return met.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(run, "a long, b long, similar double")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
@@ -131,28 +139,20 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int,
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     one = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t_{c}"))
-    met = pairs.join(one("b"), "b").join(one("a"), "a")
+    met = pairs.select("a", "b").join(one("b"), "b").join(one("a"), "a")
     return met.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``id`` and ``component`` (least id that is reachable) of every id of the edges (a, b).
 
-    ``labels`` may tell a component for ids that are known to be connected; all of them are returned as well.
     Each round every id takes the least label of its neighbours and then that label's own label.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    now = both.select(F.col("a").alias("id"), F.col("a").alias("component"))
-    if labels is not None:
-        now = now.unionByName(labels).groupBy("id").agg(F.min("component").alias("component"))
-        # An id carries its old label along, as a neighbour.
-        old = labels.filter("id <> component")
-        both = materialize(both.union(old.select("id", "component")).union(old.select("component", "id")).distinct(), "edges")
-    now = materialize(now.distinct(), "labels")
+    now = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(now, both["b"] == now["id"]).select(both["a"].alias("id"), "component")
-        least = near.unionByName(now).groupBy("id").agg(F.min("component").alias("component"))
-        least = materialize(least, "labels")
+        least = materialize(near.unionByName(now).groupBy("id").agg(F.min("component").alias("component")), "labels")
         up = least.select(F.col("id").alias("component"), F.col("component").alias("upper"))
         jumped = materialize(least.join(up, "component", "left").select("id", F.coalesce("upper", "component").alias("component")), "labels")
         changed = jumped.join(now.withColumnRenamed("component", "before"), "id").filter("component <> before").limit(1).count()
@@ -161,6 +161,69 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return now
 
 
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after the components that the edges connect are one."""
+    one = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
+    between = edges.join(one("a"), "a").join(one("b"), "b").filter("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    merged = components(between).select(F.col("id").alias("component"), F.col("component").alias("into"))
+    return materialize(labels.join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component")), "labels")
+
+
+def _pairs(open_: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different components in the same bucket; for buckets of few rows."""
+    one = lambda c: [F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("component").alias(f"c_{c}")]
+    met = open_.filter("component <> largest").select("bucket", *one("a")).join(open_.select("bucket", *one("b")), "bucket")
+    met = met.filter((F.col("c_a") != F.col("c_b")) & (share[1] * F.least("n_a", "n_b") >= share[0] * F.greatest("n_a", "n_b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _block_links(open_: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between components of a bucket, by blocks: of each document outside the largest component one link
+    to each other component of the block.
+
+    Blocks hold ``BLOCK`` rows of either side at most, about. Shingles are cut to 32 bits, which may add links but
+    loses none; they are confirmed later.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(s >> np.uint64(32)).astype("<u4").tobytes() for s in _sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "tokens"])
+
+    def meet(block: pa.Table) -> pa.Table:
+        ids, component = block["id"].to_numpy(), block["component"].to_numpy()
+        tokens = [np.frombuffer(t, dtype="<u4") for t in block["tokens"].to_pylist()]
+        size = np.array([len(t) for t in tokens])
+        asks = np.flatnonzero(block["side"].to_numpy() == 0)
+        answers = np.flatnonzero((block["side"].to_numpy() == 1) & (size > 0))
+        a, b = [], []
+        if len(asks) and len(answers):
+            known, place = np.unique(np.concatenate(tokens), return_inverse=True)
+            place = np.split(place, np.cumsum(size)[:-1])
+            flat, starts = np.concatenate([place[i] for i in answers]), np.cumsum(size[answers]) - size[answers]
+            flag = np.zeros(len(known), dtype=np.int32)
+            for i in asks:
+                flag[place[i]] = 1
+                shared = np.add.reduceat(flag[flat], starts)
+                flag[place[i]] = 0
+                hit = (share[1] * shared >= share[0] * (size[i] + size[answers] - shared)) & (component[answers] != component[i]) & (shared > 0)
+                _, once = np.unique(component[answers[hit]], return_index=True)
+                for j in answers[hit][once]:
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sets = texts.join(open_.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(cut, "id long, tokens binary")
+    sets = materialize(sets, "sets")
+    own, every = F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    entry = lambda side, ask, answer: F.struct(F.lit(side).alias("side"), ask.alias("ask"), answer.alias("answer"))
+    answers, asks = F.transform(every, lambda k: entry(1, k, own)), F.transform(every, lambda k: entry(0, own, k))
+    entries = F.when(F.col("component") != F.col("largest"), F.concat(answers, asks)).otherwise(answers)
+    dealt = open_.withColumn("blocks", F.ceil(F.col("rows") / BLOCK)).select("bucket", "id", "component", F.explode(entries).alias("e")).join(sets, "id")
+    dealt = dealt.select("bucket", F.col("e.ask").alias("ask"), F.col("e.answer").alias("answer"), F.col("e.side").alias("side"), "id", "component", "tokens")
+    return dealt.groupBy("bucket", "ask", "answer").applyInArrow(meet, "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), bands: int = 40, rows: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -178,25 +241,36 @@ def near_duplicates(
 
     part = lambda k: F.xxhash64(F.substring(F.col("registers"), 2 * rows * k + 1, 2 * rows), F.lit(k))
     banded = nodes.select("id", F.col("n_shingles").alias("n"), F.explode(F.array(*(part(k) for k in range(bands)))).alias("bucket"))
-    several = banded.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("bucket", "first")
-    shared = materialize(banded.join(several, "bucket"), "buckets")
-
-    stars = materialize(_estimated(shared.filter("id <> first").groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")), nodes, share[0] / share[1] - MARGIN), "stars")
-    wanted = shared.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text")).join(wanted, "id", "left_semi")
+    several = banded.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("bucket")
+    several = materialize(several, "several")  # then the join deals both sides anew, and a large bucket can be split
+    open_ = materialize(banded.join(several, "bucket"), "buckets")
+    labels = materialize(open_.select("id").distinct().select("id", F.col("id").alias("component")), "labels")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text")).join(labels.select("id"), "id", "left_semi")
     texts = materialize(texts, "texts")
-    linked = components(_confirmed(stars, texts, width, share))
-
-    # Members of different components of a bucket: those outside its largest component against all others.
-    named = shared.join(linked, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    sizes = named.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts"))
-    open_ = materialize(named.join(sizes.filter("parts > 1"), "bucket").drop("parts"), "open")
-    side = lambda c: [F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("component").alias(f"c_{c}")]
-    outside = open_.filter("component <> largest").select("bucket", *side("x"))
-    met = outside.join(open_.select("bucket", *side("y")), "bucket").filter("c_x <> c_y and x <> y").filter(share[1] * F.least("n_x", "n_y") >= share[0] * F.greatest("n_x", "n_y"))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    crossing = materialize(_estimated(pairs, nodes, share[0] / share[1] - MARGIN), "crossing")
-    linked = components(_confirmed(crossing, texts, width, share), linked)
+    least, alike = share[0] / share[1] - MARGIN, share[1] * F.least("n_a", "n_b") >= share[0] * F.greatest("n_a", "n_b")
+
+    def still_open() -> DataFrame:
+        """The buckets of several components, with the largest of them."""
+        named = open_.select("bucket", "id", "n").join(labels, "id")
+        parts = named.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("rows"))
+        return materialize(named.join(parts.filter("parts > 1"), "bucket").drop("parts"), "open")
+
+    nth, going = 0, True
+    while going:
+        nth += 1
+        open_ = still_open()
+        inside = open_.filter("component = largest").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket", F.lit(nth)).alias("drawn"), "id", "n")).alias("x"))
+        met = open_.filter("component <> largest").select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"))
+        met = met.join(inside.select("bucket", F.col("x.id").alias("a"), F.col("x.n").alias("n_a")), "bucket").filter(alike)
+        best = met.groupBy("b", "a").count().groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a"))
+        linked = materialize(_confirmed(_estimated(best.select("a", "b"), nodes, least), texts, width, share), "linked")
+        going = linked.count() >= FAIR * max(1, open_.filter("component <> largest").select("id").distinct().count())
+        labels = _joined(labels, linked)
+
+    open_ = still_open()
+    pairs = _estimated(_pairs(open_.filter(F.col("rows") <= FEW), share), nodes, least).select("a", "b")
+    crossing = materialize(pairs.unionByName(_block_links(open_.filter(F.col("rows") > FEW), texts, width, share)).distinct(), "crossing")
+    linked = _joined(labels, materialize(_confirmed(crossing, texts, width, share), "linked"))
 
     of_set = nodes.select(*keys, F.col("id").alias("node")).join(linked.withColumnRenamed("id", "node"), "node", "left").select(*keys, F.coalesce("component", "node").alias("component"))
     found = sketched.select("id", *keys).join(of_set, keys, "left")
