@@ -4,8 +4,8 @@ A recording (PCM WAV bytes) becomes frames of twelve pitch classes; on their int
 neighbouring areas, each gives two bits, and the 32 bits of a frame are one packed integer. Two recordings are
 aligned by the histogram of offsets between equal integers and judged by their bit errors at the best offsets.
 
-A search takes every row whose id is divisible by 100 against all rows: integers are joined, votes counted by
-pair and offset, and pairs with enough votes are judged by bit errors. Equal fingerprints are one class from the
+A search takes every row whose id is divisible by 100 against all rows: runs of two integers are joined, votes counted
+by pair and offset, and pairs with enough votes are judged by bit errors. Equal fingerprints are one class from the
 start, so copies multiply neither votes nor pairs.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import materialize
+from lodestore.llm.common import lean_batches, materialize
 
 RATE, FRAME, HOP = 4000, 512, 128
 LOWEST, HIGHEST = 120.0, 1900.0
@@ -153,7 +153,7 @@ def fingerprint(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
             items = [None if (x := read_wav(raw)) is None else pack(frames(x)).astype(np.int64) for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], names=["id", "items"])
 
-    return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col)).mapInArrow(run, "id long, items array<long>").withColumnRenamed("id", id_col)
+    return lean_batches(media).select(F.col(id_col).cast("long").alias("id"), F.col(media_col)).mapInArrow(run, "id long, items array<long>").withColumnRenamed("id", id_col)
 
 
 def sonify(vector: list[float] | None) -> bytes | None:
@@ -192,7 +192,7 @@ def of_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 [batch.column(0), pa.array(items, pa.list_(pa.int64())), pa.array(offsets, pa.int64()), pa.array(errors, pa.float64())], names=["id", "items", "edit_offset", "edit_errors"]
             )
 
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).mapInArrow(run, "id long, items array<long>, edit_offset long, edit_errors double")
+    return lean_batches(vectors).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).mapInArrow(run, "id long, items array<long>, edit_offset long, edit_errors double")
 
 
 def search(found: DataFrame, every: int = 100, votes: int = VOTES, errors: float = ERRORS) -> DataFrame:
@@ -205,10 +205,11 @@ def search(found: DataFrame, every: int = 100, votes: int = VOTES, errors: float
     found = materialize(found.filter("items is not null and id is not null").select("id", "items", F.sha2(F.to_json("items"), 256).alias("same")), "recordings")
     asks = F.max((F.pmod("id", F.lit(every)) == 0).cast("int"))
     classes = materialize(found.groupBy("same").agg(F.min("id").alias("class_id"), asks.alias("asks"), F.first("items").alias("items")), "classes")
-    keys = classes.select("class_id", "asks", F.posexplode("items").alias("place", "item"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("items") - 1), lambda k: F.shiftleft(F.element_at("items", k), 32).bitwiseOR(F.element_at("items", k + 1)))
+    keys = classes.filter(F.size("items") > 1).select("class_id", "asks", F.posexplode(runs).alias("place", "item"))
     queries = keys.filter("asks = 1").select(F.col("class_id").alias("q"), F.col("place").alias("q_place"), "item")
     hits = keys.select("class_id", "place", "item").join(queries, "item").filter("class_id <> q")
-    offsets = hits.groupBy("class_id", "q", (F.col("place") - F.col("q_place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= votes)
+    offsets = hits.groupBy("class_id", "q", (F.col("place") - F.col("q_place")).cast("long").alias("offset")).agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= votes)
     best = offsets.groupBy("class_id", "q").agg(F.max(F.struct("votes", (-F.col("offset")).alias("back")))["back"].alias("back"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
