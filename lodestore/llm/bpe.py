@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import text_or_empty, worker_state
+from lodestore.llm.common import lean_batches, text_or_empty, worker_state
 
 #: Characters that are encoded together; bounds the memory of the library's encodings.
 CHUNK_CHARS = 400_000
@@ -140,7 +140,7 @@ def encode(docs: DataFrame, codec: dict[str, str] | None = None, id_col: str = "
             )
 
     cols = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(F.col(text_col)).alias("_text"))
-    return cols.mapInArrow(run, "_id long, token_ids array<int>, char_starts array<int>, char_ends array<int>").withColumnRenamed("_id", id_col)
+    return lean_batches(cols).mapInArrow(run, "_id long, token_ids array<int>, char_starts array<int>, char_ends array<int>").withColumnRenamed("_id", id_col)
 
 
 def decode(encoded: DataFrame, codec: dict[str, str] | None = None, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -153,7 +153,7 @@ def decode(encoded: DataFrame, codec: dict[str, str] | None = None, id_col: str
             texts = [None if i is None else own.decode(np.array(i, dtype=np.int64)) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("_id"), F.col(ids_col)).mapInArrow(run, "_id long, text string").withColumnRenamed("_id", id_col)
+    return lean_batches(encoded).select(F.col(id_col).cast("long").alias("_id"), F.col(ids_col)).mapInArrow(run, "_id long, text string").withColumnRenamed("_id", id_col)
 
 
 def round_trip(docs: DataFrame, codec: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,4 +172,4 @@ def round_trip(docs: DataFrame, codec: dict[str, str] | None = None, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     cols = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(F.col(text_col)).alias("_text"))
-    return cols.mapInArrow(run, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", id_col)
+    return lean_batches(cols).mapInArrow(run, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", id_col)

@@ -53,9 +53,28 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+#: States that a task needs whatever operator it belongs to; they are small.
+LASTING = ("powers", "word-powers", "byte-values")
+
+
 def worker_state(name: str, make: Callable[[], Any], *key: Any) -> Any:
-    """What ``make`` returns, kept for later tasks of the same Python worker under ``name`` and ``key``."""
+    """What ``make`` returns, kept for later tasks of the same Python worker under ``name`` and ``key``.
+
+    One operator's state is kept at a time: that of another ``name`` is dropped when this one is made.
+    """
     kept = sys.modules.setdefault("_lodestore_worker_state", types.ModuleType("_lodestore_worker_state")).__dict__
     if (name, key) not in kept:
+        if name not in LASTING:
+            for other in [k for k in kept if isinstance(k, tuple) and k[0] not in LASTING]:
+                del kept[other]
         kept[(name, key)] = make()
     return kept[(name, key)]
+
+
+def lean_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with Arrow batches in this session of at most ``rows`` rows: texts may be long, and memory is bounded by
+    batches."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows or int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 0:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

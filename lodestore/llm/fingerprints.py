@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import text_or_empty, worker_state
+from lodestore.llm.common import lean_batches, text_or_empty, worker_state
 from lodestore.llm.words import Powers, mix
 
 BINS, LOW_BINS = 64, 16
@@ -143,7 +143,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_hex(own.sketches(batch.column(1).to_pylist())), pa.string())], names=["id", "fingerprint"])
 
     cols = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
-    return cols.mapInArrow(run, "id long, fingerprint string").withColumnRenamed("id", id_col)
+    return lean_batches(cols).mapInArrow(run, "id long, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,4 +212,4 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
 
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return lean_batches(with_next(docs, id_col, text_col)).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import text_or_empty, worker_state
+from lodestore.llm.common import lean_batches, text_or_empty, worker_state
 
 #: Words whose numbers a worker keeps before it starts anew, and characters that are scored together.
-KEPT, CHUNK_CHARS = 500_000, 1_000_000
+KEPT, CHUNK_CHARS = 300_000, 1_000_000
 NGRAMS = (3, 4)
 #: A word that repeats its predecessor counts as so many features.
 REPEATED = 8
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
     cols = docs.select(F.col(id_col).cast("long").alias("_id"), *kept, text_or_empty(F.col(text_col)).alias("_text"))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1])
-    scored = cols.mapInArrow(run, f"{out}, _score double")
+    scored = lean_batches(cols).mapInArrow(run, f"{out}, _score double")
     return scored.select(
         F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"),
         *(F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)),
@@ -208,4 +208,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
         for batch in batches:
             yield batch.filter(pa.array(own.score([t or "" for t in batch.column(place).to_pylist()]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean_batches(docs).mapInArrow(run, docs.schema)

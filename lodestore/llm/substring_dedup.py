@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import materialize, text_or_empty, worker_state
+from lodestore.llm.common import lean_batches, materialize, text_or_empty, worker_state
 from lodestore.llm.words import Powers, find_words, mix, text_chunks, word_hashes
 
 
@@ -98,10 +98,11 @@ def repeats(docs: DataFrame, length: int = 50, gram: int = 12, id_col: str = "do
                 arounds.append(_signed(around))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(grams, longs), pa.array(arounds, longs)], names=["id", "n_words", "sha", "grams", "arounds"])
 
-    seeded = materialize(base.mapInArrow(seed, "id long, n_words long, sha string, grams array<long>, arounds array<long>"), "seeds")
+    seeded = materialize(lean_batches(base).mapInArrow(seed, "id long, n_words long, sha string, grams array<long>, arounds array<long>"), "seeds")
     anchors = seeded.filter("id is not null").select("id", F.explode(F.arrays_zip("grams", "arounds")).alias("x")).select("id", F.col("x.grams").alias("gram"), F.col("x.arounds").alias("around"))
     several = anchors.groupBy("gram").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("around").alias("a"), F.max("around").alias("z"))
-    several = several.filter("first < last").select("gram", (F.col("a") != F.col("z")).alias("differ"))
+    # Written first: then the join deals both sides anew, and a gram of very many documents can be split.
+    several = materialize(several.filter("first < last").select("gram", (F.col("a") != F.col("z")).alias("differ")), "several")
     shared = materialize(anchors.join(several, "gram"), "shared-anchors")
 
     # Level 1: the same surroundings. Level 2: the least document of each surroundings, where they differ.
