@@ -21,7 +21,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import ascii_lower, text_or_empty
+from lodestore.llm.common import LOWER, UPPER, ascii_lower, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -141,3 +141,28 @@ def scan(
         F.when(F.size("_starts") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))).alias("score"),
         "blocks",
     )
+
+
+def oracle(docs: str = "documents") -> str:
+    """The same scan, without ``blocks``, for DuckDB."""
+    words = lambda t: f"regexp_extract_all({t}, '{WORD}')"
+    starts = {}
+    for phrase in PHRASES:
+        parts = phrase.split()
+        starts[phrase] = f"list_filter(range(len(words) - {len(parts) - 1}), lambda i: " + " AND ".join(f"words[i + {k + 1}] = '{p}'" for k, p in enumerate(parts)) + ")"
+    sets = [(label, sorted(set(t.split()))) for label, t in TEMPLATES]
+    shares = ", ".join(f"len(list_intersect(tokens, {s!r})) / {len(s)}.0::DOUBLE AS s{k}" for k, (_, s) in enumerate(sets))
+    least = [math.ceil(THRESHOLD * len(s) - 1e-9) / len(s) for _, s in sets]
+    met = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, s{k} AS share FROM shares WHERE s{k} >= {least[k]!r} - 1e-12" for k, (label, _) in enumerate(sets))
+    base = ", ".join(f"CASE WHEN len({starts[p]}) > 0 THEN '{label}' END" for p, label in PHRASES.items())
+    return f"""
+WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM {docs}),
+worded AS (SELECT doc_id, {words('low')} AS words FROM low),
+based AS (SELECT doc_id, len(words) AS n_words, list_concat({', '.join(starts.values())}) AS pos, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM worded),
+lines AS (SELECT doc_id, list_distinct({words('line')}) AS tokens FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM low)),
+shares AS (SELECT doc_id, {shares} FROM lines),
+met AS (SELECT doc_id, list(label) AS labels, max(share) AS share FROM ({met}) GROUP BY doc_id)
+SELECT b.doc_id, n_words, len(pos) AS n_base, list_min(pos) AS first_word, list_max(pos) AS last_word, coalesce(array_to_string(list_sort(list_distinct(base)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base, coalesce(m.labels, [])))), ','), '') AS labels, CASE WHEN len(pos) > 0 THEN 1.0::DOUBLE ELSE coalesce(m.share, 0.0::DOUBLE) END AS score
+FROM based b LEFT JOIN met m ON b.doc_id = m.doc_id
+"""

@@ -73,4 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.SQL.format(docs="documents")}
+    return {
+        "op3_license_scan": license_scan.oracle(),
+        "op6_source_mixing": mixing.SQL.format(docs="documents"),
+        "op8_substring_dedup": substring_dedup.SQL.format(docs="documents"),
+        "op10_near_dedup": near_dedup.SQL.format(docs="documents"),
+    }

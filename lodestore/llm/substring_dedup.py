@@ -156,3 +156,16 @@ def repeats(docs: DataFrame, length: int = 50, gram: int = 12, id_col: str = "do
     losing = flags.filter("whole is not null").select("id").union(later.select("id")).distinct()
     plain = seeded.join(losing, "id", "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.array().cast("array<struct<first:int,last:int>>").alias("spans"))
     return plain.unionByName(changed).withColumnRenamed("id", id_col)
+
+
+#: The same, without spans, for DuckDB: every window spelled out.
+SQL = r"""
+WITH worded AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM {docs}),
+windows AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 49], ' ') AS content FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM worded)),
+repeated AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY content) AS first FROM windows) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM repeated),
+listed AS (SELECT doc_id, list(pos) AS gone, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM worded w LEFT JOIN listed g ON w.doc_id = g.doc_id
+"""
