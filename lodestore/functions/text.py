@@ -6,6 +6,8 @@ Lower case here is Spark's ``lower``; the full case folding and NFKC of ``normal
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ WORD_RUN = r"[\p{L}\p{N}]+"
 UNSAFE = r"[/\\:\x00-\x1f<>|?*]"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often lambdas inside refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """Letters and digits only, lower case: the key by which names are compared (STR04)."""
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
@@ -119,7 +126,7 @@ def equivalent_number(token: Column) -> Column:
 def numeric_gaps(evidence: Column, summary: Column) -> Column:
     """Readings of the evidence without an equivalent in the summary, sorted (AGG13, SET03)."""
     actual = F.transform(numeric_tokens(summary), equivalent_number)
-    return F.array_sort(F.filter(numeric_tokens(evidence), lambda t: ~F.array_contains(actual, equivalent_number(t))))
+    return bind(actual, lambda known: F.array_sort(F.filter(numeric_tokens(evidence), lambda t: ~F.array_contains(known, equivalent_number(t)))))
 
 
 def meaningful(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,8 +47,10 @@ def lexical(chunks: DataFrame, words: list[str], pool: int = POOL) -> DataFrame:
 
 def semantic(vectors: DataFrame, query: list[float], near: float = NEAR, pool: int = POOL) -> DataFrame:
     """``chunk_id``, ``rank`` of vectors nearer than ``near``; the query is a literal, so nothing is joined."""
-    literal = F.array(*(F.lit(float(x)) for x in query))
-    scored = vectors.filter(F.col("embedding").isNotNull()).select("chunk_id", F.round(cosine_distance(F.col("embedding"), literal), 9).alias("distance"))
+    literal, length = F.array(*(F.lit(float(x)) for x in query)), math.sqrt(sum(float(x) ** 2 for x in query))
+    dot = F.aggregate(F.zip_with("embedding", literal, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, p: s + p)
+    own = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    scored = vectors.filter(F.col("embedding").isNotNull()).select("chunk_id", F.round(1 - dot / (own * F.lit(length)), 9).alias("distance"))
     return ranked(scored.filter(F.col("distance") < near), F.asc("distance"), F.asc("chunk_id"), pool=pool)
 
 
