@@ -247,3 +247,35 @@ def resorted(spark, sf_dir):
     seats = mine.select("conv_id", "turn", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).alias("n"))
     ranks = mine.select("conv_id", "text", F.row_number().over(W.partitionBy("conv_id").orderBy(F.length("text"), "turn")).alias("n"))
     return seats.join(ranks, ["conv_id", "n"]).select("conv_id", "turn", "text").unionByName(turns.filter("role <> 'user'").select("conv_id", "turn", "text"))
+
+
+@query(
+    "reviewed_regions_vis03_joi12",
+    """WITH b AS (SELECT l_orderkey, l_linenumber AS n, l_quantity AS x0, l_tax * 100 AS y0, l_quantity + l_linenumber * 5 AS x1, l_tax * 100 + l_linenumber AS y1 FROM lineitem)
+    SELECT l_orderkey, n FROM b o WHERE n % 2 = 0 OR NOT EXISTS (SELECT 1 FROM b r WHERE r.l_orderkey = o.l_orderkey AND r.n % 2 = 0 AND r.x0 <= o.x0 AND r.y0 <= o.y0 AND r.x1 >= o.x1 AND r.y1 >= o.y1)""",
+)
+def reviewed_regions(spark, sf_dir):
+    """Recognised text (odd lines) gives way to a reviewed region (even lines) of the page that contains it."""
+    n, q, t = F.col("l_linenumber"), F.col("l_quantity"), F.col("l_tax") * 100
+    box = table(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("n"), q.alias("x0"), t.alias("y0"), (q + n * 5).alias("x1"), (t + n).alias("y1"))
+    side = lambda p, rows: rows.select(F.col("l_orderkey").alias(f"{p}page"), *(F.col(c).alias(p + c) for c in ("n", "x0", "y0", "x1", "y1")))
+    found, reviewed = side("o_", box.filter("n % 2 = 1")), side("r_", box.filter("n % 2 = 0"))
+    left = found.join(reviewed, (F.col("o_page") == F.col("r_page")) & df.contains_box("r_", "o_"), "left_anti")
+    return left.select(F.col("o_page").alias("l_orderkey"), F.col("o_n").alias("n")).unionByName(box.filter("n % 2 = 0").select("l_orderkey", "n"))
+
+
+@query("scan_src21", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000")
+def scan(spark, sf_dir):
+    """Two columns of a base table, filtered in the scan."""
+    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_totalprice > 200000").select("o_orderkey", "o_totalprice")
+
+
+@query("ordinals_win11", "SELECT page_id, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) - 1 AS ordinal FROM pages")
+def ordinals(spark, sf_dir):
+    host = F.split_part("url", F.lit("/"), F.lit(3))
+    return table(spark, sf_dir, "pages").select("page_id", (F.row_number().over(W.partitionBy(host).orderBy("page_id")) - 1).cast("long").alias("ordinal"))
+
+
+@query("percent_vec06", "SELECT o_custkey, round(100 * count(*) FILTER (o_orderstatus = 'F') / count(*)::DOUBLE, 2) AS percent FROM orders GROUP BY o_custkey")
+def percent(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(100 * F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1)), 2).alias("percent"))

@@ -216,6 +216,47 @@ def excel(raw: bytes) -> list[Found]:
     return out
 
 
+X = "{http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing}"
+
+
+def rich_pictures(raw: bytes) -> dict[str, list[tuple[str, str]]]:
+    """Of each sheet the cells with a picture as their value, and the picture's part (SRC11).
+
+    A cell's value metadata names a record, which names a rich value, which names a relation, which names the part;
+    each step is a lookup, and a chain that breaks gives no picture.
+    """
+    package = opened(raw)
+    book, parts = xml(package, "xl/workbook.xml"), related(package, "xl/workbook.xml")
+    local = lambda root, name: [e for e in root.iter() if e.tag.rsplit("}", 1)[-1] == name] if root is not None else []
+    metadata, rich, names = (xml(package, f"xl/{n}.xml") for n in ("metadata", "richData/rdrichvalue", "richData/richValueRel"))
+    records = [next((int(rc.get("v", -1)) for rc in local(bk, "rc")), -1) for m in local(metadata, "valueMetadata") for bk in m]
+    values = [next((int(rvb.get("i", -1)) for rvb in local(bk, "rvb")), -1) for m in local(metadata, "futureMetadata") if m.get("name") == "XLRICHVALUE" for bk in m]
+    relations = [next((int(v.text) for v in local(rv, "v") if (v.text or "").isdigit()), -1) for rv in local(rich, "rv")]
+    ids = [e.get(f"{R}id", "") for e in local(names, "rel")]
+    targets = related(package, "xl/richData/richValueRel.xml")
+    at = lambda rows, k: rows[k] if k is not None and 0 <= k < len(rows) else None
+    out: dict[str, list[tuple[str, str]]] = {}
+    for sheet in book.iter(f"{S}sheet") if book is not None else ():
+        root = xml(package, parts.get(sheet.get(f"{R}id"), ""))
+        for c in root.iter(f"{S}c") if root is not None else ():
+            if c.get("vm"):
+                part = targets.get(at(ids, at(relations, at(values, at(records, int(c.get("vm")) - 1)))) or "")
+                if part:
+                    out.setdefault(sheet.get("name"), []).append((c.get("r"), part))
+    return out
+
+
+def sheet_shapes(raw: bytes, part: str) -> list[tuple[str, str]]:
+    """(anchor cell, text) of the text shapes in a drawing part (SRC12)."""
+    root, out = xml(opened(raw), part), []
+    for anchor in root if root is not None else ():
+        start = anchor.find(f"{X}from")
+        text = "\n".join("".join(t.text or "" for t in p.iter(f"{A}t")) for sp in anchor.iter(f"{X}sp") for p in sp.iter(f"{A}p")).strip()
+        if start is not None and text:
+            out.append((f"{column_name(int(start.find(f'{X}col').text) + 1)}{int(start.find(f'{X}row').text) + 1}", text))
+    return out
+
+
 # PowerPoint
 
 

@@ -22,6 +22,12 @@ def listing(spark: SparkSession, folder: str, glob: str | None = None) -> DataFr
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(folder)
 
 
+def folder_digest(files: DataFrame) -> DataFrame:
+    """One row: ``files`` and ``digest`` over their sorted paths and contents, the identity of a model's folder (AGG20)."""
+    one = F.concat_ws(" ", "path", F.sha2("content", 256))
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "\n"), 256).alias("digest"))
+
+
 def decoded(files: DataFrame) -> DataFrame:
     """``path``, ``text``, ``warnings``: UTF-8 with or without a mark, else GB18030 with a notice (SRC02)."""
 

@@ -98,3 +98,26 @@ def test_generations_and_failure_log(spark, tmp_path):
     events = spark.sql("select timestamp'2024-01-02 03:04:05' at, 'parse' kind, 'bad\nfile' message, map('b', '2', 'a', '1') details")
     text.append_failures(events, str(tmp_path / "log"))
     assert spark.read.text(str(tmp_path / "log")).first()[0] == "2024-01-02T03:04:05 | parse | bad file | a=1 b=2"
+
+
+def test_rich_pictures_and_shapes():
+    anchor = "http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing"
+    raw = package({
+        "xl/workbook.xml": f'<workbook xmlns="{SHEET}" xmlns:r="{REL}"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": relations(r1="worksheets/sheet1.xml"),
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{SHEET}"><sheetData><row r="1"><c r="B1" t="e" vm="1"><v>#VALUE!</v></c><c r="C1" vm="9"/></row></sheetData></worksheet>',
+        "xl/metadata.xml": f'<metadata xmlns="{SHEET}"><futureMetadata name="XLRICHVALUE"><bk><rvb i="0"/></bk></futureMetadata><valueMetadata><bk><rc t="1" v="0"/></bk></valueMetadata></metadata>',
+        "xl/richData/rdrichvalue.xml": "<rvData><rv><v>0</v><v>5</v></rv></rvData>", "xl/richData/richValueRel.xml": f'<richValueRels xmlns:r="{REL}"><rel r:id="p"/></richValueRels>',
+        "xl/richData/_rels/richValueRel.xml.rels": relations(p="../media/image1.png"),
+        "xl/drawings/drawing1.xml": f'<d:wsDr xmlns:d="{anchor}" xmlns:a="{DRAW}"><d:twoCellAnchor><d:from><d:col>1</d:col><d:row>3</d:row></d:from><d:sp><a:p><a:r><a:t>callout</a:t></a:r></a:p></d:sp></d:twoCellAnchor></d:wsDr>',
+    })
+    assert office.rich_pictures(raw) == {"S": [("B1", "xl/media/image1.png")]}
+    assert office.sheet_shapes(raw, "xl/drawings/drawing1.xml") == [("B4", "callout")]
+
+
+def test_folder_digest(spark, tmp_path):
+    for n in ("a", "b"):
+        (tmp_path / n).write_bytes(n.encode())
+    first = text.folder_digest(text.listing(spark, str(tmp_path))).first()
+    (tmp_path / "b").write_bytes(b"c")
+    second = text.folder_digest(text.listing(spark, str(tmp_path))).first()
+    assert first["files"] == second["files"] == 2 and first["digest"] != second["digest"]
