@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm import bpe, mixing, near_dedup, quality, secrets
-from lodestore.llm.common import materialize, table
+from lodestore.llm.common import drop_materialized, materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-').lower()}")
+        docs, last = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-').lower()}"), before
+        if last is not None:
+            drop_materialized(last)  # its successor is written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

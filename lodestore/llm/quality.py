@@ -27,6 +27,7 @@ KEPT, CHUNK_CHARS = 300_000, 1_000_000
 NGRAMS = (3, 4)
 #: A word that repeats its predecessor counts as so many features.
 REPEATED = 8
+LEAST_STEPS = 1500
 
 
 def features(word: str, mask: int) -> list[int]:
@@ -53,6 +54,8 @@ def train(
 ) -> Model:
     """Fit on texts with labels 0 or 1. ``prior``: share of label 1 outside the sample, for which the bias is corrected.
 
+    Classes are balanced by repeating rows of the smaller one; small samples get more epochs, ``LEAST_STEPS`` in all.
+
     Without both classes the model is constant: the share of label 1 (0.5 without any row).
     """
     y = np.array(labels, dtype=np.int64)
@@ -79,9 +82,12 @@ def train(
 
     embedding = ((rng.random((mask + 1, dim)) - 0.5) / dim).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
-    steps, step = epochs * -(-len(docs) // batch), 0
+    each = [np.flatnonzero(y == c) for c in (0, 1)]
+    rows, share = np.concatenate([np.resize(e, max(map(len, each))) for e in each]), 0.5
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(rows))) if epochs > 1 else epochs
+    steps, step = epochs * -(-len(rows) // batch), 0
     for _ in range(epochs):
-        order = rng.permutation(len(docs))
+        order = rng.permutation(rows)
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
             words = np.concatenate([docs[d][0] for d in chosen])
