@@ -118,9 +118,9 @@ def numeric_tokens(text: Column) -> Column:
 
 def equivalent_number(token: Column) -> Column:
     """Plain decimals without the zeros that do not count; codes and commas stay as they are."""
-    prefix, value, angle = (F.regexp_extract(token, r"^([φR]?[+±-]?)([0-9]+(?:\.[0-9]+)?)(°?)$", k) for k in (1, 2, 3))
-    whole = F.regexp_replace(F.regexp_replace(value, r"^0+(?=[0-9])", ""), r"(\.[0-9]*?)0+$", "$1")
-    return F.when(value == "", token).otherwise(F.concat(prefix, F.regexp_replace(whole, r"\.$", ""), angle))
+    plain = token.rlike(r"^[φR]?[+±-]?[0-9]+(\.[0-9]+)?°?$")
+    short = F.when(F.contains(token, F.lit(".")), F.regexp_replace(token, r"\.?0+(°?)$", "$1")).otherwise(token)
+    return F.when(plain, F.regexp_replace(short, r"^([φR]?[+±-]?)0+(?=[0-9])", "$1")).otherwise(token)
 
 
 def numeric_gaps(evidence: Column, summary: Column) -> Column:
