@@ -9,6 +9,7 @@ one number a hash bucket: that table (``2 ** bits`` floats) is what travels to t
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -65,20 +66,21 @@ def train(
         return Model(np.zeros(1 << bits, np.float32), float(np.log(p / (1 - p))))
     mask, rng = (1 << bits) - 1, np.random.default_rng(seed)
     known = {"": 0}  # stands for a repeated word
-    flat = [np.array([zlib.crc32(b"", 2) & mask], dtype=np.int32)]
+    flat, ends = array("i", [zlib.crc32(b"", 2) & mask]), array("q", [1])
     docs: list[tuple[np.ndarray, np.ndarray]] = []
     for text in texts:
         words = text.split()
         found = Counter(words)
         for w in found:
             if w not in known:
-                known[w] = len(flat)
-                flat.append(np.array(features(w, mask), dtype=np.int32))
+                known[w] = len(ends)
+                flat.extend(features(w, mask))
+                ends.append(len(flat))
         found[""] = REPEATED * sum(map(eq, words, words[1:]))
         docs.append((np.fromiter((known[w] for w in found), np.int32, len(found)), np.fromiter(found.values(), np.float32, len(found))))
-    sizes = np.array([len(f) for f in flat], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    buckets = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+    known.clear()
+    sizes = np.diff(np.frombuffer(ends, dtype=np.int64), prepend=0)
+    starts, buckets = np.frombuffer(ends, dtype=np.int64) - sizes, np.frombuffer(flat, dtype=np.int32)
 
     embedding = ((rng.random((mask + 1, dim)) - 0.5) / dim).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
