@@ -4,9 +4,10 @@ A recording (PCM WAV bytes) becomes frames of twelve pitch classes; on their int
 neighbouring areas, each gives two bits, and the 32 bits of a frame are one packed integer. Two recordings are
 aligned by the histogram of offsets between equal integers and judged by their bit errors at the best offsets.
 
-A search takes every row whose id is divisible by 100 against all rows: runs of two integers are joined, votes counted
-by pair and offset, and pairs with enough votes are judged by bit errors. Equal fingerprints are one class from the
-start, so copies multiply neither votes nor pairs.
+A search takes every row whose id is divisible by 100 against all rows: integers are joined, votes counted by pair and
+offset, and pairs with enough votes are judged by bit errors at the offsets that an alignment tries. Equal fingerprints
+are one class from the start, so copies multiply neither votes nor pairs; successive equal integers (silence, held
+notes) are one run, whose votes are counted by offset without pairing its places.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ LEVEL = 0.25
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 #: Votes for an offset that make two recordings candidates, and bit errors (share) up to which they match.
 VOTES, ERRORS = 3, 0.25
+#: Offsets at which a pair is judged.
+TRIED = 5
 
 
 def write_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -126,7 +129,7 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(np.bitwise_count(a[low + offset : high + offset] ^ b[low:high]).sum()) / (32 * (high - low)), high - low
 
 
-def align(a: np.ndarray, b: np.ndarray, tried: int = 5) -> tuple[int | None, float]:
+def align(a: np.ndarray, b: np.ndarray, tried: int = TRIED) -> tuple[int | None, float]:
     """(offset, bit errors) such that a[i + offset] fits b[i]; (None, 1.0) without equal integers.
 
     Of the ``tried`` offsets with most votes the one with least bit errors, then with most votes, then the least.
@@ -195,33 +198,44 @@ def of_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     return lean_batches(vectors).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).mapInArrow(run, "id long, items array<long>, edit_offset long, edit_errors double")
 
 
-def search(found: DataFrame, every: int = 100, votes: int = VOTES, errors: float = ERRORS) -> DataFrame:
+def search(found: DataFrame, every: int = 100, votes: int = VOTES, errors: float = ERRORS, tried: int = TRIED) -> DataFrame:
     """Match recordings (``id``, ``items``) with those whose id is divisible by ``every``.
 
     Per row with items: ``id``, ``class_id`` (least id of those with equal items), ``n_matches`` (other classes of query
     recordings that match), and of the best one (least bit errors, then least id) ``match_class``, ``match_offset``,
-    ``match_errors``. A pair is judged at its offset of most votes, then of least value; it needs ``votes`` of them.
+    ``match_errors``. A pair with ``votes`` at some offset is judged as ``align`` does, at the ``tried`` offsets of most votes.
     """
     found = materialize(found.filter("items is not null and id is not null").select("id", "items", F.sha2(F.to_json("items"), 256).alias("same")), "recordings")
     asks = F.max((F.pmod("id", F.lit(every)) == 0).cast("int"))
     classes = materialize(found.groupBy("same").agg(F.min("id").alias("class_id"), asks.alias("asks"), F.first("items").alias("items")), "classes")
-    runs = F.transform(F.sequence(F.lit(1), F.size("items") - 1), lambda k: F.shiftleft(F.element_at("items", k), 32).bitwiseOR(F.element_at("items", k + 1)))
-    keys = classes.filter(F.size("items") > 1).select("class_id", "asks", F.posexplode(runs).alias("place", "item"))
-    queries = keys.filter("asks = 1").select(F.col("class_id").alias("q"), F.col("place").alias("q_place"), "item")
-    hits = keys.select("class_id", "place", "item").join(queries, "item").filter("class_id <> q")
-    offsets = hits.groupBy("class_id", "q", (F.col("place") - F.col("q_place")).cast("long").alias("offset")).agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= votes)
-    best = offsets.groupBy("class_id", "q").agg(F.max(F.struct("votes", (-F.col("offset")).alias("back")))["back"].alias("back"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("items") - 1), lambda k: (k == 0) | (F.get("items", k) != F.get("items", k - 1)))
+    begun = classes.filter(F.size("items") > 0).select("class_id", "asks", "items", starts.alias("starts"))  # a column, or each step of the lambda would filter again
+    runs = F.transform("starts", lambda k, i: F.struct(F.get("items", k).alias("item"), k.alias("place"), (F.coalesce(F.get("starts", i + 1), F.size("items")) - k).alias("n")))
+    keys = begun.select("class_id", "asks", F.inline(runs))
+    queries = keys.filter("asks = 1").select(F.col("class_id").alias("q"), F.col("place").alias("q_place"), F.col("n").alias("q_n"), "item")
+    hits = keys.select("class_id", "place", "n", "item").join(queries, "item").filter("class_id <> q")
+    shift = (F.col("place") - F.col("q_place")).cast("long")
+    apart = F.sequence(shift - F.col("q_n") + 1, shift + F.col("n") - 1)
+    met = hits.select("class_id", "q", F.col("place").alias("p"), F.col("n").alias("n"), "q_place", "q_n", F.explode(apart).alias("offset"))
+    both = F.least(F.col("p") + F.col("n"), F.col("q_place") + F.col("q_n") + F.col("offset")) - F.greatest(F.col("p"), F.col("q_place") + F.col("offset"))
+    offsets = met.groupBy("class_id", "q", "offset").agg(F.sum(both).alias("votes"))
+    order = F.struct((-F.col("votes")).alias("less"), "offset")
+    best = offsets.groupBy("class_id", "q").agg(F.slice(F.array_sort(F.collect_list(order)), 1, tried).alias("best")).filter(F.get("best", F.lit(0))["less"] <= -votes)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [bit_errors(np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32), -back)[0] for a, b, back in zip(*(batch.column(k).to_pylist() for k in (3, 4, 2)), strict=True)]
-            keep = pa.array([e <= errors for e in got], pa.bool_())
-            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), batch.column(2), pa.array(got, pa.float64()))], names=["class_id", "q", "back", "errors"])
-
-    met = best.join(classes.select("class_id", F.col("items").alias("a")), "class_id").join(classes.select(F.col("class_id").alias("q"), F.col("items").alias("b")), "q")
-    judged = met.select("class_id", "q", "back", "a", "b").mapInArrow(judge, "class_id long, q long, back long, errors double")
-    per_class = judged.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct("errors", "q", "back")).alias("best"))
+            got = []
+            for a, b, best in zip(*(batch.column(k).to_pylist() for k in (3, 4, 2)), strict=True):
+                a, b = np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)
+                got.append(min((bit_errors(a, b, x["offset"])[0], x["less"], x["offset"]) for x in best))
+            keep = pa.array([e <= errors for e, _, _ in got], pa.bool_())
+            at, share = pa.array([o for _, _, o in got], pa.int64()), pa.array([e for e, _, _ in got], pa.float64())
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), at, share)], names=["class_id", "q", "offset", "errors"])
+
+    pairs = best.join(classes.select("class_id", F.col("items").alias("a")), "class_id").join(classes.select(F.col("class_id").alias("q"), F.col("items").alias("b")), "q")
+    judged = lean_batches(pairs).select("class_id", "q", "best", "a", "b").mapInArrow(judge, "class_id long, q long, offset long, errors double")
+    per_class = judged.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct("errors", "q", "offset")).alias("best"))
     out = classes.select("same", "class_id").join(per_class, "class_id", "left")
     return found.select("id", "same").join(out, "same").select(
-        "id", "class_id", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.col("best.q").alias("match_class"), (-F.col("best.back")).alias("match_offset"), F.col("best.errors").alias("match_errors")
+        "id", "class_id", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.col("best.q").alias("match_class"), F.col("best.offset").alias("match_offset"), F.col("best.errors").alias("match_errors")
     )

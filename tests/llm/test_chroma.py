@@ -58,3 +58,47 @@ def test_vectors(spark):
     rows = spark.createDataFrame([(1, [0.1] * 64), (2, None), (3, []), (4, [float("nan")] * 64), (None, [0.2] * 64)], "vec_id long, embedding array<float>")
     got = {r["id"]: r for r in chroma.of_vectors(rows).collect()}
     assert got[2]["items"] is None and got[3]["items"] is None and got[4]["edit_offset"] is not None and len(got[1]["items"]) == 170
+
+
+def recalled(spark, prints_of):
+    """Pairs that ``search`` matches, and those of brute force: 3 votes at an offset, bit errors by ``align``."""
+    found = spark.createDataFrame([(i, x.astype(np.int64).tolist()) for i, x in prints_of.items()], "id long, items array<long>")
+    got = {(r["id"], r["match_class"], r["match_offset"], round(r["match_errors"], 9)) for r in chroma.search(found).filter("n_matches > 0").collect()}
+    expected = set()
+    for i, a in prints_of.items():
+        fits = []
+        for q, b in prints_of.items():
+            votes = {}
+            for x, y in zip(*np.nonzero(a[:, None] == b[None, :]), strict=True):
+                votes[x - y] = votes.get(x - y, 0) + 1
+            offset, errors = chroma.align(a, b)
+            if q % 100 == 0 and q != i and max(votes.values(), default=0) >= chroma.VOTES and errors <= chroma.ERRORS:
+                fits.append((errors, q, offset))
+        expected |= {(i, q, o, round(e, 9)) for e, q, o in sorted(fits)[:1]}
+    return got, expected
+
+
+def test_search_of_noisy_recordings(spark):
+    """No three places where two successive integers are both equal, yet enough equal ones."""
+    base, rng = {100 * k: prints(tune(k)) for k in range(1, 4)}, np.random.default_rng(8)
+    noisy = {}
+    for k in range(1, 4):
+        for j in range(8):
+            x = base[100 * k][5 * j :].copy()
+            x[rng.random(len(x)) < 0.15 + 0.1 * j] ^= np.uint32(1 << int(rng.integers(32)))
+            x[:: 2 if j % 2 else 3] ^= np.uint32(5)
+            noisy[100 * k + 1 + j] = x
+    got, expected = recalled(spark, base | noisy)
+    assert len(expected) >= 20 and got == expected
+
+
+def test_search_of_short_held_and_repeated_recordings(spark):
+    """Three integers; silence; and a pair whose offset of most votes is not the one of least bit errors."""
+    rng = np.random.default_rng(9)
+    short, far = rng.integers(0, 2**32, 3, dtype=np.uint32), rng.integers(0, 2**32, 40, dtype=np.uint32)
+    near = far ^ np.uint32(1)
+    near[[3, 11, 19, 27]] = far[[3, 11, 19, 27]]
+    near[[6, 8, 10, 12, 14]] = far[[1, 3, 5, 7, 9]]
+    held = np.repeat(rng.integers(0, 2**32, 3, dtype=np.uint32), (400, 3, 300))
+    got, expected = recalled(spark, {100: short, 101: np.append(short, np.uint32(7)), 200: far, 201: near, 300: held, 301: held[50:]})
+    assert {i for i, *_ in expected} >= {101, 201, 301} and got == expected
