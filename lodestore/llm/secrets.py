@@ -1,8 +1,9 @@
 """Secret scans: candidates by a pattern, false positives removed by a random forest; DataFrame operations only.
 
-A candidate is a run of at least 16 characters of the alphabets that keys are written in, with a digit. Its
+A candidate is a run of at least 16 characters of the alphabets that keys are written in, with a digit and without a
+leading ``name=``, or a value of any length and alphabet that follows a keyword and an assignment or quote. Its
 features are its length, shares of character classes and transitions between them, how much of it dictionary
-words cover, its look as a path, and its neighbouring words. The forest is trained by Spark's own library from
+words cover, its look as a path or reference, and its neighbouring words. The forest is trained by Spark's own library from
 labelled findings and then turned into one SQL expression, so a scan is one pass over the texts: no shuffle, no
 join, and a document's text never leaves its row.
 """
@@ -16,8 +17,25 @@ from pyspark.sql import functions as F
 
 from lodestore.llm.common import text_or_empty
 
-CANDIDATE = r"(?=[A-Za-z+/=_.@-]*+[0-9])[A-Za-z0-9+/=_.@-]{16,}+"
 KEYWORDS = r"(token|secret|passw(or)?d|api[_-]?key|access[_-]?key(_id)?|auth|authorization|bearer|credential|private[_-]?key)"
+#: A keyword, or a name that begins with one (``secret_key``, ``tokens``, ``authToken``).
+NAMED = rf"{KEYWORDS}(s|\d{{1,3}}|[_-]?(key|value|string|id|token)|[_-]\w{{1,24}})?"
+#: What stands between such a name and its value: an assignment, or a blank before a quote.
+ASSIGNED = rf"{NAMED}([\"']?[ \t]{{0,4}}(=>|:=|==?|:)[ \t]{{0,4}}((bearer|basic|token)[ \t]{{1,4}})?[\"']?|[ \t(]{{1,4}}[\"'])"
+RUN = "[A-Za-z0-9+/=_.@-]"
+#: A run that can be a key by itself.
+KEY = rf"(?=[A-Za-z+/=_.@-]*+[0-9]){RUN}{{16,}}+"
+#: A leading ``name=`` of a run: too short or too plain to be a key by itself, or with a keyword.
+NAME = rf"([A-Za-z0-9+/_.@-]{{1,15}}|[A-Za-z+/_.@-]{{1,64}}|[\w.-]{{0,40}}(?i:{KEYWORDS})[\w.-]{{0,40}})=++(?={RUN})"
+#: Where a value may begin, told from few characters: spares ``ASSIGNED`` at almost all words.
+NEAR = r"(?<=[:=\"'(]|[:=>rcnRCN][ \t]|[ \t]{2})(?<=[:=>\"'(][ \t]{0,4}|(?i:bearer|basic|token)[ \t]{1,4})"
+#: Values in quotes (with blanks only where no key is among the words), then values without, then keys.
+CANDIDATE = (
+    rf"{NEAR}(?<=(?i:{ASSIGNED}))(?!(?i:bearer|basic|token)[ \t])"
+    rf"((?<=\")([^\"\s]++|(?![^\"\n]*?{KEY})[^\"\r\n]++)(?=\")|(?<=')([^'\s]++|(?![^'\n]*?{KEY})[^'\r\n]++)(?=')"
+    rf"|(?![=>:])[^\s\"']([^\s\"']*([\"']\w[^\s\"']*){{0,8}}[^\s\"',;)\]}}>])?)"
+    rf"|((?<!{RUN})|(?<==)(?<=[A-Za-z0-9+/_.@-]={{1,3}})(?!=))(?={KEY})(?!{NAME}){KEY}"
+)
 NEUTRAL = r"(commit|revision|sha\d*|checksum|md5|digest|uuid|guid|order|invoice|ticket|version|release|file|path|see|mail|contact|card|account|number|call|isbn)"
 DICTIONARY = (
     "example mail http https www com org net src main test user home file path index page image data release version build beta alpha config "
@@ -25,7 +43,7 @@ DICTIONARY = (
     "get set element handler manager factory service controller january february march april june july august september october november december"
 ).split()
 MASK = "[SECRET]"
-FEATURES = ("length", "digits", "upper", "lower", "transitions", "distinct", "hex", "dictionary", "segments", "at", "keyword_next", "keyword_near", "assigned", "quoted", "neutral", "placeholder")
+FEATURES = ("length", "digits", "upper", "lower", "transitions", "distinct", "hex", "dictionary", "segments", "at", "keyword_next", "keyword_near", "assigned", "quoted", "neutral", "placeholder", "special", "blanks", "vowels", "reference")
 
 
 def features(before: Column, candidate: Column, after: Column) -> Column:
@@ -41,9 +59,11 @@ def features(before: Column, candidate: Column, after: Column) -> Column:
         flag(candidate.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         1 - F.length(F.regexp_replace(F.lower(candidate), words, "")) / n,
         F.regexp_count(candidate, F.lit("[/.]")).cast("double"), flag(F.contains(candidate, F.lit("@"))),
-        flag(before.rlike(rf"(?i){KEYWORDS}\W{{0,6}}$")), flag(before.rlike(rf"(?i){KEYWORDS}")),
+        flag(before.rlike(rf"(?i)({KEYWORDS}\W{{0,6}}|{ASSIGNED})$")), flag(before.rlike(rf"(?i){KEYWORDS}")),
         flag(before.rlike(r"[=:]\s*[\"']?$")), flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
-        flag(before.rlike(rf"(?i)\b{NEUTRAL}\W{{0,4}}$")), flag(candidate.rlike("(?i)x{4,}|your|example|changeme|dummy|sample|0{6,}|12345")),
+        flag(before.rlike(rf"(?i)\b{NEUTRAL}\W{{0,4}}$")), flag(candidate.rlike("(?i)x{4,}|your|example|changeme|dummy|sample|0{6,}|12345|[*]{3,}|^(<.*>|[$]?[{].*[}]|none|null|nil|true|false|undefined|required|optional|string|basic|bearer)$")),
+        share("[^A-Za-z0-9]"), F.regexp_count(candidate, F.lit("[ \\t]")).cast("double"), share("(?i)[aeiouyäöüàéè]"),
+        flag(candidate.rlike(r"^[$%]?[A-Za-z_]\w*(([.]|->|::)[A-Za-z_]\w*)+([\[(].*)?;?$|^[A-Za-z_]\w*[(\[].*$|^[$%][{(]?\w+[})%]?$")),
     )
 
 
@@ -59,6 +79,22 @@ KINDS = (
     (1, "concat(wd, ' Authorization: Bearer ')", "concat(left(an, 30), '.', right(an, 30))", "''"),
     (1, """concat(wd, ' auth_token=''')""", "left(hx, 32)", """''''"""),
     (1, """concat('token = "')""", "left(hx, 40)", """concat('"', wd)"""),
+    (1, """concat(wd, ' password: "')""", "concat(we, left(dg, 1), left(an, 1 + k % 7))", """concat('"', wd)"""),
+    (1, "concat(wd, ' password=')", "left(an, 8 + k % 8)", "concat(' ', wd)"),
+    (1, "concat('secret = ')", "left(an, 6 + k % 10)", "''"),
+    (1, """concat(wd, ' passwd: ''')""", "concat(left(an, 3 + k % 5), '!', left(hx, 2), element_at(array('$', '#', ':', '&', '%'), 1 + k % 5), right(an, 3))", """''''"""),
+    (1, "concat(wd, ' secret: ')", "concat(left(an, 3 + k % 5), element_at(array('$', '#', ':', '&', '!'), 1 + k % 5), right(an, 4))", "concat(' ', we)"),
+    (1, "concat(wd, ' api_key=')", "translate(left(an, 16 + k), '0123456789', 'qZxWvKjHgB')", "concat(' ', wd)"),
+    (1, """concat(wd, ' token = "')""", "translate(left(hx, 16 + k), '0123456789', 'qzxwvkjhgb')", """'"'"""),
+    (1, """concat(wd, ' password = "')""", "concat(wd, ' ', we, ' ', translate(left(dg, 4), '0123456789', 'horsetabun'), ' ', translate(right(dg, 5), '0123456789', 'mapleriver'))", """'"'"""),
+    (1, """concat(wd, ' secret: ''')""", "concat(wd, '-', we, '-', translate(left(dg, 5), '0123456789', 'horsetabun'), '-', translate(right(dg, 4), '0123456789', 'mapleriver'))", """''''"""),
+    (1, """concat(wd, ' "password": "')""", "concat(translate(left(dg, 5), '0123456789', 'horsetabun'), right(dg, 3))", """'", "'"""),
+    (0, "concat(wd, ' password: ')", "we", "concat(' ', wd)"),
+    (0, "concat('the secret: ')", "wd", "concat(' ', we, ' ', wd)"),
+    (0, "concat(wd, ' token = ')", "concat(wd, '.', we, ';')", "''"),
+    (0, "concat(wd, ' password = ')", "concat('get', initcap(we), '(', wd, ')')", "''"),
+    (0, """concat(wd, ' password: "')""", "element_at(array('changeme', 'your password', '<password>', '${PASSWORD}', 'example', 'xxxxxxxx', '********'), 1 + k % 7)", """'"'"""),
+    (0, "concat(wd, ' auth = ')", "element_at(array('none', 'null', 'true', 'false', 'required', 'basic', 'string', '<secret>', '$TOKEN', '${TOKEN}'), 1 + k % 10)", "concat(' ', we)"),
     (0, "concat(wd, ' commit ')", "left(hx, 40)", "concat(' ', we)"),
     (0, "concat('sha256: ')", "hx", "concat(' ', wd)"),
     (0, "concat(wd, ' request ')", "concat(left(hx, 8), '-', substr(hx, 9, 4), '-', substr(hx, 13, 4), '-', substr(hx, 17, 4), '-', substr(hx, 21, 12))", "concat(' ', we)"),
@@ -137,7 +173,8 @@ def scan(docs: DataFrame, forest: str, threshold: float = 0.5, id_col: str = "do
     names = ["_id", *(f"_keep{i}" for i in range(len(keep)))]
     found = base.select(*names, "_text", F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)).alias("_found"))
     split = found.select(*names, "_text", "_found", F.when(F.size("_found") > 0, F.split("_text", CANDIDATE, -1)).alias("_gaps"))
-    each = F.transform("_found", lambda c, i: features(F.substring(F.get("_gaps", i), -60, 60), c, F.substring(F.get("_gaps", i + 1), 1, 30)))
+    before = lambda i: F.substring(F.concat(F.coalesce(F.get("_found", i - 1), F.lit("")), F.get("_gaps", i)), -60, 60)
+    each = F.transform("_found", lambda c, i: features(before(i), c, F.substring(F.get("_gaps", i + 1), 1, 30)))
     scored = split.select(*names, "_text", "_found", "_gaps", F.when(F.size("_found") > 0, each).otherwise(F.array().cast("array<array<double>>")).alias("_features"))
     scored = scored.select(*names, "_text", "_found", "_gaps", F.expr(f"transform(_features, f -> {forest})").alias("_scores"))
     hits = F.filter(

@@ -50,3 +50,21 @@ def test_awkward(spark, awkward, clashing, empty):
 def test_forest_sql():
     text = "Tree 0 (weight 1.0):\n If (feature 1 <= 0.5)\n  Predict: 0.0\n Else (feature 1 > 0.5)\n  If (feature 0 <= 2.0)\n   Predict: 1.0\n  Else (feature 0 > 2.0)\n   Predict: 0.0\nTree 1 (weight 1.0):\n Predict: 1.0"
     assert secrets.forest_sql(text) == "(if(f[1] <= 0.5D, 0D, if(f[0] <= 2.0D, 1D, 0D)) + 1D) / 2D"
+
+
+def test_short_digit_free_and_unquoted(spark):
+    secret = [
+        ('password: "{}"', "hunter2x"), ("db password = '{}' end", "Tr0ub4d!"), ("secret={} end", "kX93mZq0LpX72bVn5TcR1y"), ("export SECRET={}", "a8Kd93m"), ("x password: {} y", "p$4!kd:9#z"),
+        ('api_key = "{}"', "QzXwvKjHgBqTRWpLmNcd"), ('password: "{}"', "correct horse battery staple"), ("token='{}'", "Kd93mZqw"), ('"password": "{}", "user": "joe"', "maple7river"), ("api_key={} z", "qZxWvKjHgBtRpLmN"),
+    ]
+    plain = ["the password: report of the day", "token = session.token;", 'password: "changeme"', "auth: none", "x password = getPassword(user) y", "the secret was kept", "password: ${PASSWORD}", 'x "token": null, y', "a=b c=d", "author: Elle"]
+    rows = [(i, a.format(b)) for i, (a, b) in enumerate(secret)] + [(100 + i, x) for i, x in enumerate(plain)]
+    got = {r["doc_id"]: r["redacted"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), forest(spark)).collect()}
+    assert got == {i: a.format(secrets.MASK) for i, (a, _) in enumerate(secret)} | {100 + i: x for i, x in enumerate(plain)}
+
+
+def test_candidates_are_cut_to_their_values(spark):
+    texts = ["secret=a8Kd93mZq0LpX72bVn5TcR1y", "x=secret=kd", "dG9rZW4xMjM0NTY3OA==.abc", "numpy==1.2.3", "k=dG9rZW4xMjM0NTY3OA==", 'password: "see 0123456789abcdef0 and"', "secret: " + "ab$" * 30000]
+    found = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", F.regexp_extract_all("t", F.lit(secrets.CANDIDATE), F.lit(0)).alias("c"))
+    got = {r["i"]: r["c"] for r in found.collect()}
+    assert got == {0: ["a8Kd93mZq0LpX72bVn5TcR1y"], 1: ["kd"], 2: ["dG9rZW4xMjM0NTY3OA==.abc"], 3: [], 4: ["dG9rZW4xMjM0NTY3OA=="], 5: ["see", "0123456789abcdef0"], 6: ["ab$" * 30000]}
