@@ -84,14 +84,31 @@ def acceptance(spark, sf_dir):
 
 @query("hits_agg17", "WITH b AS (SELECT item_id, left(text, 40) AS head FROM benchmark), h AS (SELECT item_id, min(doc_id) AS first FROM b JOIN documents d ON contains(d.text, b.head) GROUP BY item_id) SELECT count(*) AS items, count(h.first) AS found, round(count(h.first) / count(*)::DOUBLE, 9) AS rate FROM b LEFT JOIN h USING (item_id)")
 def hits(spark, sf_dir):
-    """Share of benchmark passages that some document holds: joined on three words of the passage, then compared."""
-    head, words = F.left("text", F.lit(40)), F.split(F.left("text", F.lit(40)), " ")
-    items = table(spark, sf_dir, "benchmark").select("item_id", head.alias("head"), F.array_join(F.slice(words, 2, 3), " ").alias("key"))
-    docs = table(spark, sf_dir, "documents")
+    """Share of benchmark passages whose first 40 characters some document holds."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return share_held(items.select("item_id", F.left("text", F.lit(40)).alias("passage")), docs)
+
+
+@query("whole_hits_agg17", "WITH h AS (SELECT item_id, min(doc_id) AS first FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id) SELECT count(*) AS items, count(h.first) AS found, round(count(h.first) / count(*)::DOUBLE, 9) AS rate FROM benchmark LEFT JOIN h USING (item_id)")
+def whole_hits(spark, sf_dir):
+    """Share of whole benchmark passages that some document holds."""
+    return share_held(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")), table(spark, sf_dir, "documents"))
+
+
+def share_held(items, docs):
+    """``items``, ``found`` and ``rate`` of passages that a text contains: joined on three words of the passage, then compared.
+
+    The first and last word of a passage may be parts of a document's words, so the key is of those between; passages
+    with fewer than three of them are compared with all documents.
+    """
+    words = F.split("passage", " ")
+    items = items.withColumn("key", F.when(F.size(words) >= 5, F.array_join(F.slice(words, 2, 3), " ")))
     split = docs.select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") >= 3)  # a column, or each step of the lambda would split again
     keys = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.concat_ws(" ", F.element_at("w", k), F.element_at("w", k + 1), F.element_at("w", k + 2)))
-    near = split.select("doc_id", F.explode(keys).alias("key")).join(items, "key").select("doc_id", "item_id", "head").distinct()
-    found = docs.select("doc_id", "text").join(near, "doc_id").filter(F.contains("text", "head")).select("item_id").distinct().withColumn("hit", F.lit(1))
+    near = split.select("doc_id", F.explode(keys).alias("key")).join(items.filter("key is not null"), "key").select("doc_id", "item_id", "passage").distinct()
+    found = docs.select("doc_id", "text").join(near, "doc_id").filter(F.contains("text", "passage")).select("item_id")
+    few = docs.select("text").join(items.filter("key is null").select("item_id", "passage"), F.contains("text", "passage")).select("item_id")
+    found = found.unionByName(few).distinct().withColumn("hit", F.lit(1))
     return items.join(found, "item_id", "left").agg(F.count(F.lit(1)).alias("items"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count(F.lit(1)), 9).alias("rate"))
 
 

@@ -140,3 +140,16 @@ def test_fusion_is_symmetric(spark):
 def test_references_fill_up(spark):
     scored = spark.createDataFrame([(1, i, i < 3, 0 if i != 1 else 50, i) for i in range(8)], "request_id int, project_id int, is_project boolean, score int, position int")
     assert sorted(r["project_id"] for r in rs.select_references(scored, "request_id").collect()) == [1, 3, 4]
+
+
+def test_passages_are_held_with_long_or_few_words(spark, tmp_path):
+    from lodestore import registry
+
+    held = ["Erhand erndlyes.\nTheawhble erbleorsh oned two three four five", "short one", "a b c d e f"]
+    texts = [f"x{held[0]} y", "a very short ones", f"q {held[2]} r", "one two three four five six seven eight nine"]
+    missing = ["one two three four five six seven eight nine ten", "not there"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(held + missing)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = lambda name: registry.queries()[name](spark, str(tmp_path)).first()["found"]
+    assert found("hits_agg17") == 4  # the first 40 characters of the fourth are held
+    assert found("whole_hits_agg17") == 3
