@@ -70,6 +70,13 @@ def nul(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.without_nul(F.replace(F.left("text", F.lit(200)), F.lit("e"), F.lit("\0"))).alias("clean"))
 
 
+@query("nul_whole_str10", "SELECT doc_id, length(clean) AS n, sha256(clean) AS clean_sha256 FROM (SELECT doc_id, replace(replace(text, 'e', chr(0)), chr(0), ' ') AS clean FROM documents)")
+def nul_whole(spark, sf_dir):
+    """Length and digest of each whole text without NULs; ``nul_str10`` shows the first 200 characters."""
+    clean = tx.without_nul(F.replace("text", F.lit("e"), F.lit("\0")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(clean).cast("long").alias("n"), F.sha2(clean.cast("binary"), 256).alias("clean_sha256"))
+
+
 @query("renamed_str11", "SELECT p_partkey, CASE WHEN starts_with(t, prev || '_') THEN 'OFF-' || p_partkey || substr(t, length(prev) + 1) ELSE t END AS title FROM (SELECT p_partkey, p_brand AS prev, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_brand || '_' || p_name END AS t FROM part)")
 def renamed(spark, sf_dir):
     title = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat("p_brand", F.lit("_"), "p_name"))

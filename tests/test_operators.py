@@ -153,3 +153,13 @@ def test_passages_are_held_with_long_or_few_words(spark, tmp_path):
     found = lambda name: registry.queries()[name](spark, str(tmp_path)).first()["found"]
     assert found("hits_agg17") == 4  # the first 40 characters of the fourth are held
     assert found("whole_hits_agg17") == 3
+
+
+def test_nuls_are_replaced_in_whole_texts(spark, sf):
+    import hashlib
+
+    from lodestore import registry
+
+    texts = {r["doc_id"]: r["text"].replace("e", " ") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["n"], r["clean_sha256"]) for r in registry.queries()["nul_whole_str10"](spark, sf).collect()}
+    assert max(map(len, texts.values())) > 200 and got == {i: (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()}
