@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import lean_batches, materialize
+from lodestore.llm.common import lean_batches, materialize, settled
 
 RATE, FRAME, HOP = 4000, 512, 128
 LOWEST, HIGHEST = 120.0, 1900.0
@@ -198,6 +198,7 @@ def of_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     return lean_batches(vectors).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).mapInArrow(run, "id long, items array<long>, edit_offset long, edit_errors double")
 
 
+@settled
 def search(found: DataFrame, every: int = 100, votes: int = VOTES, errors: float = ERRORS, tried: int = TRIED) -> DataFrame:
     """Match recordings (``id``, ``items``) with those whose id is divisible by ``every``.
 

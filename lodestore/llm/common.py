@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,27 +26,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session of one machine may go without."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}").rstrip("/")
 
 
+#: Paths of the tables written inside the innermost ``settled`` or ``scratch`` block.
+_written: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("written", default=None)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestore-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    written = _written.get()
+    if written is not None:
+        written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._lodestore_path = path
+    return found
 
 
-def drop_materialized(df: DataFrame) -> None:
-    """Delete the files of a DataFrame that ``materialize`` returned; nothing may read it afterwards."""
-    spark = df.sparkSession
+def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        if f"/lodestore-{spark.sparkContext.applicationId}/" in path:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_materialized(df: DataFrame) -> None:
+    """Delete the files of a DataFrame that ``materialize`` or a ``settled`` operator returned, once nothing reads it."""
+    _delete(df.sparkSession, df._lodestore_path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end of the block."""
+    written: list[tuple[SparkSession, str]] = []
+    token = _written.set(written)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for spark, path in written:
+            _delete(spark, path)
+
+
+def settled(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is written to the shared folder, and whose intermediate tables are then deleted."""
+
+    @wraps(operator)
+    def run(*args: Any, **kwargs: Any) -> DataFrame:
+        outer = _written.get()
+        with scratch():
+            result = operator(*args, **kwargs)
+            token = _written.set(outer)
+            try:
+                return materialize(result, operator.__name__.replace("_", "-"))
+            finally:
+                _written.reset(token)
+
+    return run
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that columns of ``df`` have."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(text: Column) -> Column:
@@ -71,10 +129,12 @@ def worker_state(name: str, make: Callable[[], Any], *key: Any) -> Any:
     return kept[(name, key)]
 
 
-def lean_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, with Arrow batches in this session of at most ``rows`` rows: texts may be long, and memory is bounded by
-    batches."""
+def lean_batches(df: DataFrame, rows: int = 1000, size: int = 8 << 20) -> DataFrame:
+    """``df``, with Arrow batches in this session of at most ``rows`` rows and about ``size`` bytes: texts may be long,
+    and memory is bounded by batches."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows or int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 0:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.fullmatch(r"(\d+)b?", conf.get(name))
+        if now is None or not 0 < int(now[1]) <= most:
+            conf.set(name, str(most))
     return df

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import materialize
+from lodestore.llm.common import fresh, materialize, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters whose share in a text lowers its quality weight.
@@ -30,15 +30,18 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(LEAST_WEIGHT), 1 - 4 * share), F.lit(1.0))
 
 
-def sampling_key(doc_id: Column, weight: Column, seed: str) -> Column:
-    """An exponential variable with rate ``weight``, fixed by id and seed."""
-    drawn = F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f"|{seed}")).cast("binary")), 1, 13), 16, 10).cast("double")
+def sampling_key(doc_id: Column, text: Column, weight: Column, seed: str) -> Column:
+    """An exponential variable with rate ``weight``, fixed by id, text and seed; so rows that repeat an id, or have
+    none, draw keys of their own unless their texts are equal too."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.lit(f"|{seed}"))
+    drawn = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double")
     return -F.log((drawn + 0.5) / F.lit(float(1 << 52))) / weight
 
 
+@settled
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, bins: int = 1024, seed: str = "mix",
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, bins: int = 1 << 14, seed: str = "mix",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None,
 ) -> DataFrame:
     """Per row: id, ``source``, ``size`` (words; null text: 0), ``source_size``, ``target`` of its source, ``epochs``
     (times the row is taken, 0 to ``most``) and ``taken`` (words, repeats counted).
@@ -47,8 +50,11 @@ def mix(
     words; a target stops at ``most`` times its source's size and the excess is shared again by weight. The last
     document of a fraction is taken if at least half of it fits. Rows with equal keys are taken by id, then size;
     copies of one row may be taken apart.
+
+    ``weight_col``: the documents' quality weights, say a classifier's scores; at least ``LEAST_WEIGHT`` is taken, 1
+    for null. Without it ``quality_weight`` of the text. Empty and null texts have size 0 and any number of epochs.
     """
-    rows, per_source = _allotted(docs, weights, share, most, bins, seed, id_col, text_col, source_col)
+    rows, per_source = _allotted(docs, weights, share, most, bins, seed, id_col, text_col, source_col, weight_col)
     found = rows.join(per_source.withColumnRenamed("source", "_source"), rows["source"].eqNullSafe(F.col("_source")))
     # A source without a cut is taken whole epochs only: its rest is 0 or below every sum.
     plain = found.filter("cut_bin is null or bin <> cut_bin").withColumn("extra", F.when((F.col("bin") < F.col("cut_bin")) & (F.col("rest") > 0), 1).otherwise(0))
@@ -61,21 +67,24 @@ def mix(
     )
 
 
-def _sized(docs: DataFrame, bins: int, seed: str, id_col: str, text_col: str) -> list[Column]:
-    """``_size``, ``_key`` and ``_bin`` of a row."""
-    key = sampling_key(F.col(id_col), quality_weight(F.col(text_col)), seed)
-    return [
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
-        key.alias("_key"),
-        F.least(F.lit(bins - 1), F.floor(bins * (1 - F.exp(-key * LEAST_WEIGHT)))).cast("int").alias("_bin"),
-    ]
+def _sized(bins: int, seed: str, id_col: str, text_col: str, weight_col: str | None, names: list[str]) -> list[Column]:
+    """Size, key and bin of a row, under ``names``."""
+    weight = quality_weight(F.col(text_col)) if weight_col is None else F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(F.nanvl(F.col(weight_col).cast("double"), F.lit(1.0)), F.lit(1.0)))
+    key = sampling_key(F.col(id_col), F.col(text_col), weight, seed)
+    found = [
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"), key,
+        F.least(F.lit(bins - 1), F.floor(bins * (1 - F.exp(-key * LEAST_WEIGHT)))).cast("int"),
+    ]
+    return [c.alias(n) for c, n in zip(found, names, strict=True)]
 
 
-def _allotted(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, bins: int, seed: str, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+def _allotted(
+    docs: DataFrame, weights: tuple[float, ...], share: float, most: int, bins: int, seed: str, id_col: str, text_col: str, source_col: str, weight_col: str | None
+) -> tuple[DataFrame, DataFrame]:
     """The rows without their texts, and of each source its target and where its fraction ends: in the bin ``cut_bin``,
     before which ``before`` words are taken."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), *_sized(docs, bins, seed, id_col, text_col))
-    rows = materialize(rows.withColumnsRenamed({"_size": "size", "_key": "key", "_bin": "bin"}), "mix-rows")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), *_sized(bins, seed, id_col, text_col, weight_col, ["size", "key", "bin"]))
+    rows = materialize(rows, "mix-rows")
     per_bin = materialize(rows.groupBy("source", "bin").agg(F.sum("size").alias("size")), "mix-bins")
     targets = materialize(_targets(per_bin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     ends = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -88,29 +97,31 @@ def _allotted(docs: DataFrame, weights: tuple[float, ...], share: float, most: i
 
 
 def mixed(
-    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, bins: int = 1024, seed: str = "mix",
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, bins: int = 1 << 14, seed: str = "mix",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None,
 ) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mix`` takes it (not at all, or up to ``most`` times).
+    """The rows of ``docs``, each as often as ``mix`` takes it (not at all, or up to ``most`` times), with all columns.
 
-    Texts stay where they are: what travels is each source's last document taken. Rows equal to that one in id and
-    size are taken with it.
+    Texts stay where they are: what travels is each source's last document taken. Rows equal to that one in key, id
+    and size are taken with it.
     """
-    rows, per_source = _allotted(docs, weights, share, most, bins, seed, id_col, text_col, source_col)
+    rows, per_source = _allotted(docs, weights, share, most, bins, seed, id_col, text_col, source_col, weight_col)
     edge = rows.join(per_source.withColumnRenamed("source", "_source"), rows["source"].eqNullSafe(F.col("_source")) & (F.col("bin") == F.col("cut_bin")))
     at = W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     upto = F.col("before") + F.sum("size").over(at)
     taken = edge.withColumn("upto", upto).filter(F.col("upto") - F.col("size") + F.col("size") / 2 <= F.col("rest"))
     point = F.struct(F.col("key").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("size").alias("size"))
     last = taken.groupBy("source").agg(F.max(point).alias("last"))
-    cuts = per_source.join(last, per_source["source"].eqNullSafe(last["source"]), "left").select(per_source["source"].alias("_source"), "whole", "rest", "cut_bin", "last")
-    cuts = materialize(cuts, "mix-cuts")
+    size, key, bin_, source, cut, time = fresh(docs, "_size", "_key", "_bin", "_source", "_cut", "_time")
+    limits = F.struct("whole", "rest", "cut_bin", "last").alias(cut)
+    cuts = materialize(per_source.join(last, per_source["source"].eqNullSafe(last["source"]), "left").select(per_source["source"].alias(source), limits), "mix-cuts")
     cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
-    sized = docs.select("*", *_sized(docs, bins, seed, id_col, text_col)).join(cuts, F.col(source_col).eqNullSafe(F.col("_source")))
-    here = F.struct(F.col("_key").alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col("_size").alias("size"))
-    more = (F.col("rest") > 0) & ((F.col("_bin") < F.col("cut_bin")) | ((F.col("_bin") == F.col("cut_bin")) & (here <= F.col("last"))))
-    times = F.col("whole") + F.when(more, 1).otherwise(0)
-    return sized.withColumn("_time", F.explode(F.sequence(F.lit(0), times))).filter("_time > 0").select(*docs.columns)
+    sized = docs.select("*", *_sized(bins, seed, id_col, text_col, weight_col, [size, key, bin_])).join(cuts, F.col(source_col).eqNullSafe(F.col(source)))
+    here = F.struct(F.col(key).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(size).alias("size"))
+    end = lambda name: F.col(cut).getField(name)
+    more = (end("rest") > 0) & ((F.col(bin_) < end("cut_bin")) | ((F.col(bin_) == end("cut_bin")) & (here <= end("last"))))
+    times = end("whole") + F.when(more, 1).otherwise(0)
+    return sized.withColumn(time, F.explode(F.sequence(F.lit(0), times))).filter(F.col(time) > 0).select(*docs.columns)
 
 
 def _targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
@@ -138,7 +149,7 @@ def _targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: i
 SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, '')) || '|mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
       / coalesce(greatest(0.25::DOUBLE, 1 - 4 * ((length(text) - length(translate(text, '|#$%&*!', '')))::DOUBLE / nullif(length(text), 0))), 1.0) AS key
   FROM {docs}
 ), sources AS (

@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import lean_batches, materialize, text_or_empty, worker_state
+from lodestore.llm.common import fresh, lean_batches, materialize, settled, text_or_empty, worker_state
 from lodestore.llm.words import find_words, mix, shingles, text_chunks, word_hashes
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -91,22 +92,23 @@ def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame, width: int = 5, registers: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id``, ``n_shingles``, ``key1`` and ``key2`` (equal for equal sets), ``registers`` (16-bit, little-endian)."""
+    """Per row: ``id``, ``t`` (a hash of the text), ``n_shingles``, ``key1`` and ``key2`` (equal for equal sets),
+    ``registers`` (16-bit, little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker_state("sketcher", lambda: Sketcher(registers), registers)
         for batch in batches:
             n, key1, key2, found = [], [], [], []
-            for s in _sets(batch.column(1), width):
+            for s in _sets(batch.column(2), width):
                 n.append(len(s))
                 key1.append(int(mix(s + np.uint64(1)).sum(dtype=np.uint64)))
                 key2.append(int(mix(s + np.uint64(2)).sum(dtype=np.uint64)))
                 found.append(own.registers(s).astype("<u2").tobytes())
             signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(key1), signed(key2), pa.array(found, pa.binary())], names=["id", "n_shingles", "key1", "key2", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), signed(key1), signed(key2), pa.array(found, pa.binary())], names=["id", "t", "n_shingles", "key1", "key2", "registers"])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("_text"))
-    return lean_batches(cols).mapInArrow(run, "id long, n_shingles long, key1 long, key2 long, registers binary")
+    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), text_or_empty(F.col(text_col)).alias("_text"))
+    return lean_batches(cols).mapInArrow(run, "id long, t long, n_shingles long, key1 long, key2 long, registers binary")
 
 
 def _estimated(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
@@ -177,22 +179,41 @@ def _pairs(open_: DataFrame, share: tuple[int, int]) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _block_links(open_: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between components of a bucket, by blocks: of each document outside the largest component one link
-    to each other component of the block.
+def _whole_sets(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``id`` and ``tokens``, the 64-bit hashes of all shingles, of the given nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s.view(np.int64) for s in _sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "tokens"])
+
+    return texts.join(nodes.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, tokens array<long>")
+
+
+def _by_rare_shingle(open_: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Rows (``bucket``, ``id``, ``n``, ``component``): each node under the shingles of its prefix, as the bucket.
 
-    Blocks hold ``BLOCK`` rows of either side at most, about. Shingles are cut to 32 bits, which may add links but
-    loses none; they are confirmed later.
+    Of a set of n shingles that share[0] / share[1] asks for at least a = ceil(n * share) common ones, any similar
+    set holds one of the n - a + 1 rarest. Shingles that one node alone has lead the order and find nobody, so they
+    are only counted.
     """
+    tokens = sets.select("id", F.explode("tokens").alias("token"))
+    several = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "frequencies")
+    ranked = tokens.join(several, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("ranked"))
+    nodes = open_.select("id", "n", "component").distinct()
+    length = F.col("n") - F.ceil(F.col("n") * share[0] / share[1] - 1e-9) + 1 - (F.col("n") - F.size("ranked"))
+    prefix = F.slice("ranked", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
+    return nodes.join(ranked, "id").select(F.explode(prefix).alias("x"), "id", "n", "component").select(F.col("x.token").alias("bucket"), "id", "n", "component")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(s >> np.uint64(32)).astype("<u4").tobytes() for s in _sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "tokens"])
+
+def _block_links(open_: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between components of a bucket, by blocks: of each document outside the largest component one link
+    to each other component of the block. Blocks hold ``BLOCK`` rows of either side at most, about."""
 
     def meet(block: pa.Table) -> pa.Table:
         ids, component = block["id"].to_numpy(), block["component"].to_numpy()
-        tokens = [np.frombuffer(t, dtype="<u4") for t in block["tokens"].to_pylist()]
+        flat, at = block["tokens"].combine_chunks().flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(block["tokens"]).to_numpy())])
+        tokens = [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
         size = np.array([len(t) for t in tokens])
         asks = np.flatnonzero(block["side"].to_numpy() == 0)
         answers = np.flatnonzero((block["side"].to_numpy() == 1) & (size > 0))
@@ -213,31 +234,31 @@ def _block_links(open_: DataFrame, texts: DataFrame, width: int, share: tuple[in
                     b.append(max(ids[i], ids[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sets = texts.join(open_.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(cut, "id long, tokens binary")
-    sets = materialize(sets, "sets")
     own, every = F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     entry = lambda side, ask, answer: F.struct(F.lit(side).alias("side"), ask.alias("ask"), answer.alias("answer"))
     answers, asks = F.transform(every, lambda k: entry(1, k, own)), F.transform(every, lambda k: entry(0, own, k))
     entries = F.when(F.col("component") != F.col("largest"), F.concat(answers, asks)).otherwise(answers)
-    dealt = open_.withColumn("blocks", F.ceil(F.col("rows") / BLOCK)).select("bucket", "id", "component", F.explode(entries).alias("e")).join(sets, "id")
+    dealt = open_.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long")).select("bucket", "id", "component", F.explode(entries).alias("e")).join(sets, "id")
     dealt = dealt.select("bucket", F.col("e.ask").alias("ask"), F.col("e.answer").alias("answer"), F.col("e.side").alias("side"), "id", "component", "tokens")
     return dealt.groupBy("bucket", "ask", "answer").applyInArrow(meet, "a long, b long").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), bands: int = 40, rows: int = 5, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Per row: id, ``n_shingles`` (size of its set), ``component_id`` (least id that links reach) and ``kept`` (the id is
-    its component's). Two documents are linked if share[1] * shared >= share[0] * all shingles of both.
+def _several_components(open_: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (``bucket``, ``id``, ``n``) of buckets of several components, with their ``component``, the ``largest``
+    one of the bucket and its number of ``rows``."""
+    named = open_.select("bucket", "id", "n").join(labels, "id")
+    parts = named.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("rows"))
+    return materialize(named.join(parts.filter("parts > 1"), "bucket").drop("parts"), "open")
 
-    ``width`` words make a shingle; a text with fewer words is one shingle, one without words is linked with
-    nothing. A row is judged by its own text, so rows that repeat an id with other texts may differ in component.
-    Rows with a null id are kept and have a null component.
-    """
+
+def _judged(docs: DataFrame, width: int, share: tuple[int, int], bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: ``id``, ``t`` (hash of its text), ``n_shingles``, ``component_id`` (null: has no id or no words) and
+    ``least`` (whether its id and text hash are the least of its component)."""
     sketched = materialize(sketches(docs, width, bands * rows, id_col, text_col), "sketches")
     full = sketched.filter("n_shingles > 0 and id is not null")
     keys = ["key1", "key2", "n_shingles"]
-    nodes = materialize(full.groupBy(*keys).agg(F.min("id").alias("id"), F.first("registers").alias("registers")), "nodes")
+    nodes = full.groupBy(*keys).agg(F.min(F.struct("id", "t")).alias("first"), F.first("registers").alias("registers"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("id"), *keys, "first", "registers"), "nodes")
 
     part = lambda k: F.xxhash64(F.substring(F.col("registers"), 2 * rows * k + 1, 2 * rows), F.lit(k))
     banded = nodes.select("id", F.col("n_shingles").alias("n"), F.explode(F.array(*(part(k) for k in range(bands)))).alias("bucket"))
@@ -245,20 +266,15 @@ def near_duplicates(
     several = materialize(several, "several")  # then the join deals both sides anew, and a large bucket can be split
     open_ = materialize(banded.join(several, "bucket"), "buckets")
     labels = materialize(open_.select("id").distinct().select("id", F.col("id").alias("component")), "labels")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text")).join(labels.select("id"), "id", "left_semi")
-    texts = materialize(texts, "texts")
+    wanted = materialize(nodes.join(labels.select("id"), "id", "left_semi").select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.t").alias("t")), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), text_or_empty(F.col(text_col)).alias("text")).join(wanted, ["id", "t"])
+    texts = materialize(texts.groupBy(F.col("node").alias("id")).agg(F.first("text").alias("text")), "texts")
     least, alike = share[0] / share[1] - MARGIN, share[1] * F.least("n_a", "n_b") >= share[0] * F.greatest("n_a", "n_b")
 
-    def still_open() -> DataFrame:
-        """The buckets of several components, with the largest of them."""
-        named = open_.select("bucket", "id", "n").join(labels, "id")
-        parts = named.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("rows"))
-        return materialize(named.join(parts.filter("parts > 1"), "bucket").drop("parts"), "open")
-
     nth, going = 0, True
     while going:
         nth += 1
-        open_ = still_open()
+        open_ = _several_components(open_, labels)
         inside = open_.filter("component = largest").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket", F.lit(nth)).alias("drawn"), "id", "n")).alias("x"))
         met = open_.filter("component <> largest").select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"))
         met = met.join(inside.select("bucket", F.col("x.id").alias("a"), F.col("x.n").alias("n_a")), "bucket").filter(alike)
@@ -267,15 +283,58 @@ def near_duplicates(
         going = linked.count() >= FAIR * max(1, open_.filter("component <> largest").select("id").distinct().count())
         labels = _joined(labels, linked)
 
-    open_ = still_open()
-    pairs = _estimated(_pairs(open_.filter(F.col("rows") <= FEW), share), nodes, least).select("a", "b")
-    crossing = materialize(pairs.unionByName(_block_links(open_.filter(F.col("rows") > FEW), texts, width, share)).distinct(), "crossing")
-    linked = _joined(labels, materialize(_confirmed(crossing, texts, width, share), "linked"))
+    open_ = _several_components(open_, labels)
+    large = open_.filter(F.col("rows") > FEW)
+    sets = materialize(_whole_sets(large, texts, width), "sets")
+    rare = _several_components(_by_rare_shingle(large, sets, share), labels)
+    few = open_.filter(F.col("rows") <= FEW).unionByName(rare.filter(F.col("rows") <= FEW))
+    pairs = _estimated(_pairs(few, share), nodes, least).select("a", "b")
+    crossing = materialize(pairs.unionByName(_block_links(rare.filter(F.col("rows") > FEW), sets, share)).distinct(), "crossing")
+    labels = _joined(labels, materialize(_confirmed(crossing, texts, width, share), "linked"))
+
+    placed = nodes.select(*keys, "id", "first").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    heads = placed.groupBy("component").agg(F.min("first").alias("head"))
+    of_set = placed.select(*keys, "component").join(heads, "component").select(*keys, "head")
+    found = sketched.filter("n_shingles > 0 and id is not null").select("id", "t", *keys).join(of_set, keys)
+    judged = found.select("id", "t", "n_shingles", F.col("head.id").alias("component_id"), (F.struct("id", "t") == F.col("head")).alias("least"))
+    rest = sketched.filter("n_shingles = 0 or id is null").select("id", "t", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("least"))
+    return judged.unionByName(rest)
+
+
+@settled
+def near_duplicates(
+    docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), bands: int = 40, rows: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Per row: id, ``n_shingles`` (size of its set), ``component_id`` (least id that links reach) and ``kept`` (the id is
+    its component's). Two documents are linked if share[1] * shared >= share[0] * all shingles of both.
+
+    ``width`` words make a shingle; a text with fewer words is one shingle, one without words (null, empty, blank) is
+    linked with nothing. A row is judged by its own text, so rows that repeat an id with other texts may differ in
+    component; repeated rows agree. Rows with a null id are kept and have a null component.
+    """
+    judged = _judged(docs, width, share, bands, rows, id_col, text_col)
+    component = F.coalesce("component_id", "id")
+    return judged.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
-    of_set = nodes.select(*keys, F.col("id").alias("node")).join(linked.withColumnRenamed("id", "node"), "node", "left").select(*keys, F.coalesce("component", "node").alias("component"))
-    found = sketched.select("id", *keys).join(of_set, keys, "left")
-    component = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+def deduplicated(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), bands: int = 40, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, of which one stays for each component of ``near_duplicates``: that of the
+    least id, and among texts of this id that of the least hash.
+
+    Every row is judged by its own text, so of rows that repeat an id only the copies go. Rows equal in id and text
+    become one, with the other columns of the least of them in JSON. Rows without an id or without words are linked
+    with nothing: they stay, but for such repetitions.
+    """
+    judged = _judged(docs, width, share, bands, rows, id_col, text_col)
+    known, t, of_id, of_t, verdict = fresh(docs, "_nd_id", "_nd_t", "_nd_of_id", "_nd_of_t", "_nd_verdict")
+    several = judged.groupBy("id", "t").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).filter("n > 1 or not least")
+    several = materialize(several.select(F.col("id").alias(of_id), F.col("t").alias(of_t), F.when(F.col("least"), "one").otherwise("none").alias(verdict)), "verdicts")
+    keyed = docs.select("*", F.col(id_col).cast("long").alias(known), F.xxhash64(text_col).alias(t))
+    same = F.col(known).eqNullSafe(F.col(of_id)) & (F.col(t) == F.col(of_t))
+    single = keyed.join(several, same, "left").filter(F.col(verdict).isNull()).select(*docs.columns)
+    repeated = keyed.join(several.filter(F.col(verdict) == "one"), same).groupBy(known, t)
+    row = F.struct(*docs.columns)
+    return single.unionByName(repeated.agg(F.min_by(row, F.to_json(row)).alias(verdict)).select(F.inline(F.array(verdict))))
 
 
 #: The same for two-word shingles in DuckDB: all pairs that share a shingle, and everything that links reach.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm import bpe, chroma, fingerprints, license_scan, mixing, near_dedup, quality, secrets, sharding, substring_dedup
-from lodestore.llm.common import materialize, table
+from lodestore.llm.common import materialize, settled, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+@settled
 def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no media, so each vector of ``embeddings`` is turned into a recording first."""
     found = materialize(chroma.of_vectors(table(spark, sf_dir, "embeddings")), "vector-recordings")
@@ -48,7 +49,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.trained(spark))
     listed = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["nth"], x["length"], x["masked"])), ",")
     return found.select("doc_id", "n_candidates", "n_findings", "score", listed.alias("findings"), F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))
 

@@ -25,12 +25,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestore.llm.common import materialize, text_or_empty
+from lodestore.llm.common import materialize, settled, text_or_empty
 
 #: Rows of at least this size count for balance even if the text is empty.
 OVERHEAD = 16
 
 
+@settled
 def shard(docs: DataFrame, n_shards: int = 40, ranges: int = 64, draws: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``size`` (UTF-8 bytes of the text, null: none, plus 16), ``text_crc32`` (null: 0), ``law``,
     ``shard``, ``slot`` (gapless from 0 in each shard) and ``grown_shard`` (null: this law does not keep rows in place).

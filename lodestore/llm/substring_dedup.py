@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import lean_batches, materialize, text_or_empty, worker_state
+from lodestore.llm.common import lean_batches, materialize, settled, text_or_empty, worker_state
 from lodestore.llm.words import Powers, find_words, mix, text_chunks, word_hashes
 
 
@@ -77,6 +77,7 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.array(x.as_py() or [], dtype=np.int64)
 
 
+@settled
 def repeats(docs: DataFrame, length: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_words``, ``n_removed``, ``kept_sha256`` (of the kept words, joined by one space) and ``spans``:
     the maximal repeats as (first word, word past the last).

@@ -93,3 +93,15 @@ def test_awkward(awkward, clashing, empty):
     assert by[None]["kept"] and by[None]["component_id"] is None
     assert same(nd.near_duplicates(awkward, width=2), nd.near_duplicates(clashing, width=2))
     assert nd.near_duplicates(empty).count() == 0
+
+
+def test_strays_beside_a_large_group_meet_by_rare_shingles(spark, monkeypatch):
+    """Texts that share most of a group's shingles, but too few for a link, and a few that do link to one of its members."""
+    monkeypatch.setattr(nd, "FEW", 4)
+    random.seed(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = {i: " ".join([*base[: 180 + i % 3], *(f"t{i % 7}_{k}" for k in range(18))]) for i in range(80)}
+    for i in range(80, 120):
+        cut = random.randrange(130, 170)
+        texts[i] = " ".join([*base[:cut], *(f"u{i % 5}_{k}" for k in range(200 - cut))])
+    check(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, 2)
