@@ -7,39 +7,49 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestore.llm import bpe, mixing, near_dedup, quality, secrets
-from lodestore.llm.common import drop_materialized, materialize, table
+from lodestore.llm.common import drop_materialized, settled, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from the labelled ones of the raw table."""
+    """Documents that the classifier rejects go. It learns from the labelled ones of the raw table.
+
+    Null and empty texts get the score of no words; repeated rows and repeated ids are judged row by row, by their
+    texts; an empty table gives an empty one. Extra columns pass, whatever their names.
+    """
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates (five-word shingles, similarity 0.8) the document of least id stays."""
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of every group of near-duplicates (five-word shingles, similarity 0.8) the document of least id stays.
+
+    Rows are told apart by id and text: of rows that repeat an id only the copies go; rows equal in both become one.
+    Rows without an id or without words stay, but for such repetitions. Extra columns pass, whatever their names.
+    """
+    return near_dedup.deduplicated(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; every document stays."""
-    forest = secrets.train(secrets.labelled_findings(spark))
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = secrets.scan(docs, forest, keep=others)
-    return found.select(*(F.col("redacted").alias("text") if c == "text" else F.length("redacted").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+    """Secrets are masked in the texts, and ``n_chars`` counts anew where a text changed; every row stays.
+
+    Null and empty texts stay as they are, so do repeated rows. Extra columns pass, whatever their names.
+    """
+    return secrets.redacted(docs, secrets.trained(spark), length_col="n_chars")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares: documents stay, go, or are repeated."""
+    """Sources in their target shares: documents stay, go, or are repeated.
+
+    A null source is a source of its own, last in order; null and empty texts have no words and stay with the
+    whole epochs of their source. Extra columns pass, whatever their names.
+    """
     return mixing.mixed(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and back: counts and digests."""
+    """Token ids of every text, and back: counts and digests, a row for each row; null texts are empty."""
     return bpe.round_trip(docs)
 
 
@@ -56,10 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage by stage; when a stage is written, its intermediate tables and its predecessor are deleted."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, last = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-').lower()}"), before
-        if last is not None:
-            drop_materialized(last)  # its successor is written
+        docs = settled(stage)(spark, docs, sf_dir)
+        if before is not None:
+            drop_materialized(before)
         before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
