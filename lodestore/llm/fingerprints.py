@@ -8,8 +8,9 @@ wherever they stand. Runs of one symbol are one symbol of its own. A phrase's na
 
 The fingerprint is a one-permutation sketch of the names of ``LEVELS``: of each bin the least name. Likeness is
 the share of equal bins among those filled in either sketch, an estimate of the Jaccard similarity of the names.
-A few further bins hold names of the lowest level; they count where both texts are so short, or so repetitive,
-that they fill few of the others.
+A few further bins hold names of the lowest level; they count where neither text fills ``FEW`` of the others. Without
+them the likeness of two short texts would rest on a handful of bins; with them everywhere, texts of one language would
+be alike by their common syllables. A pair is judged by the same bins whichever of the two comes first.
 """
 
 from __future__ import annotations
@@ -78,11 +79,10 @@ class Parser:
         peak[second] = False
         peak[start] = True
         at = np.flatnonzero(peak)
-        up, down = self.powers.upto(len(x) + 1)
-        summed = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(x * up[: len(x)], out=summed[1:])
-        ends = np.append(at[1:], len(x))
-        names = mix((summed[ends] - summed[at]) * down[at] + (ends - at).astype(np.uint64))
+        # Labels of neighbours differ and are small, so a phrase is short and few powers are needed, however long the text.
+        n = np.diff(np.append(at, len(x)))
+        up, _ = self.powers.upto(int(n.max()) + 1)
+        names = mix(np.add.reduceat(x * up[np.arange(len(x)) - np.repeat(at, n)], at) + n.astype(np.uint64))
         return names, np.searchsorted(at, first)
 
     def sketches(self, texts: list[str]) -> np.ndarray:
@@ -150,24 +150,53 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Rows (``part``, ``copy``, ``id``, ``text``), dealt and sorted so that in each part every row's successor in the
     order of ids follows it; a last row with ``copy`` = 1 is the first row of the next part (after the last: of the first).
 
-    Parts are ranges of ids with boundaries from quantiles; only the boundaries reach the driver.
+    Parts are ranges of ids with boundaries from quantiles; the rows of an id that is more than a part's share (null
+    ids, or one that repeats) are dealt by ranges of their texts' hash. Only boundaries and such ids reach the driver.
+    Rows equal in id and text stay in one part.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = base.select("id")
     wanted = [k / (4 * tasks) for k in range(1, 4 * tasks)]
-    bounds = sorted({int(b) for b in (ids.filter("id is not null").approxQuantile("id", wanted, 1 / (16 * tasks)) or [])})
-    part = F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
-    part = F.when(F.col("id").isNull(), 0).otherwise(part)  # null ids come first
-    least = ids.select(part.alias("part"), F.struct(F.col("id").isNotNull().alias("known"), "id").alias("x")).groupBy("part").agg(F.min("x")["id"].alias("id"))
-    firsts = sorted(((r["part"], r["id"]) for r in least.collect()), key=lambda x: x[0])
-    before = [(i, firsts[k - 1][0]) for k, (_, i) in enumerate(firsts)]
-    before_df = F.broadcast(spark.createDataFrame(before, "first long, previous int"))
-    placed = base.withColumn("part", part).join(before_df, F.col("id").eqNullSafe(F.col("first")), "left")
-    own, copied = F.struct(F.col("part").cast("int").alias("part"), F.lit(0).alias("copy")), F.struct(F.col("previous").alias("part"), F.lit(1).alias("copy"))
-    dealt = placed.select("id", "text", F.explode(F.when(F.col("previous").isNull(), F.array(own)).otherwise(F.array(own, copied))).alias("to"))
-    return dealt.select(F.col("to.part").alias("part"), F.col("to.copy").alias("copy"), "id", "text").repartition(tasks, "part").sortWithinPartitions("part", "copy", "id", F.xxhash64("text"))
+    bounds = {int(b) for b in (ids.filter("id is not null").approxQuantile("id", wanted, 1 / (16 * tasks)) or [])}
+    share = max(1.0, ids.count() / (4 * tasks))
+    heavy = [(r["id"], int(r["count"] // share) + 1) for r in ids.groupBy("id").count().filter(F.col("count") > 2 * share).collect()]
+    bounds |= {b for i, _ in heavy if i is not None for b in (i, min(i + 1, (1 << 63) - 1))}  # such an id is a range of its own
+    heavy_df = F.broadcast(spark.createDataFrame(heavy, "heavy_id long, ways int"))
+    placed = _with_part(base, sorted(bounds)).withColumn("h", F.xxhash64("text")).join(heavy_df, F.col("id").eqNullSafe(F.col("heavy_id")), "left")
+    piece = F.floor((F.col("h") / float(1 << 63) + 1) / 2 * F.col("ways")).cast("int")
+    placed = placed.select("id", "text", "h", "part", F.coalesce(F.least(piece, F.col("ways") - 1), F.lit(0)).alias("piece"))
+
+    least = placed.groupBy("part", "piece").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "h")).alias("x")).select("part", "piece", "x.id", "x.h")
+    units = sorted(least.collect(), key=lambda r: (r["part"], r["piece"]))
+    unit_df = F.broadcast(spark.createDataFrame([(r["part"], r["piece"], k) for k, r in enumerate(units)], "part int, piece int, unit int"))
+    first_df = F.broadcast(spark.createDataFrame([(r["id"], r["h"], (k - 1) % len(units)) for k, r in enumerate(units)], "first_id long, first_h long, previous int"))
+    placed = placed.join(unit_df, ["part", "piece"]).join(first_df, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")), "left")
+    own, copied = F.struct(F.col("unit").alias("part"), F.lit(0).alias("copy")), F.struct(F.col("previous").alias("part"), F.lit(1).alias("copy"))
+    dealt = placed.select("id", "text", "h", F.explode(F.when(F.col("previous").isNull(), F.array(own)).otherwise(F.array(own, copied))).alias("to"))
+    return dealt.select(F.col("to.part").alias("part"), F.col("to.copy").alias("copy"), "id", "text", "h").repartition(tasks, "part").sortWithinPartitions("part", "copy", "id", "h").drop("h")
+
+
+def _with_part(base: DataFrame, bounds: list[int]) -> DataFrame:
+    """``part``: how many of the boundaries are at most the id (null ids: -1). Looked up by cells of equal width over their
+    range, each with the few boundaries inside it; so a row costs no step for each of all boundaries."""
+    if not bounds:
+        return base.withColumn("part", F.when(F.col("id").isNull(), -1).otherwise(0))
+    low, n = bounds[0], 4 * len(bounds)
+    width = max(1, -(-(bounds[-1] + 1 - low) // n))
+    cells: dict[int, list[int]] = {}
+    for b in bounds:
+        cells.setdefault((b - low) // width, []).append(b)
+    table, below = [], 0
+    for k in range(n + 1):
+        table.append((k, below, cells.get(k, [])))
+        below += len(cells.get(k, []))
+    found = F.broadcast(base.sparkSession.createDataFrame(table, "cell long, below int, inside array<long>"))
+    far = F.col("id").cast("decimal(20,0)") - F.lit(low)
+    cell = F.when(F.col("id") < low, F.lit(-1)).otherwise(F.least(F.lit(n), F.floor(far / width))).cast("long")
+    part = F.when(F.col("id").isNull(), -1).otherwise(F.coalesce(F.col("below") + F.size(F.filter("inside", lambda b: b <= F.col("id"))), F.lit(0)))
+    return base.withColumn("cell", cell).join(found, "cell", "left").select(*base.columns, part.alias("part"))
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

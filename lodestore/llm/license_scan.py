@@ -1,29 +1,34 @@
 """License scans: an exact set-similarity join of text blocks with license templates; DataFrame operations only.
 
-A block is a line of a document; sets are distinct words. A block meets a template if it holds at least
-``threshold`` of the template's words. Tokens are ordered by their frequency over all blocks, rarest first:
+A block is as many consecutive words of a document as a template has, and a quarter more; line breaks, comment marks
+and other punctuation are no words, so a template is found however it is wrapped. A block meets a template if it holds
+at least ``threshold`` of the template's distinct words. Tokens are ordered by their frequency over all documents,
+rarest first, and templates are a table, so more of them mean more rows and not a longer plan:
 
-* prefix filter: of a template with n words that needs a of them, a match holds one of the n - a + 1 rarest;
-* length filter: the block has at least a words of the templates' vocabulary;
-* positional filter: what follows the first shared word on either side suffices for a.
+* prefix filter: of a template with n words that needs a of them, a match holds one of the n - a + 1 rarest; these are
+  the index that the words of all documents are joined with;
+* positional filter: around a place of the k-th rarest word, as far as a block reaches, there must be a words of the
+  template at that rank or after it, or one of the rarer ones would have been met elsewhere;
+* length filter: a block within the document has at least a words.
 
-Templates are a small fixed list, so the join is an expression over each document and shuffles nothing but the
-word counts of the vocabulary. The prefix words are so rare that few documents are split into blocks at all.
-Template phrases that stand word by word are found as well, in any layout (``base``).
+What is left is compared block by block. Phrases that stand word by word are found through the same index (``base``).
+
+Rows: null texts are empty: no words, no labels, score 0. Rows are told apart by id and text, and repeated rows have
+equal results. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import LOWER, UPPER, ascii_lower, text_or_empty
+from lodestore.llm.common import LOWER, UPPER, materialize, settled, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before capitals are lowered.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Phrases whose consecutive words are a label.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -39,129 +44,134 @@ TEMPLATES = (
     ("all-rights-reserved", "all rights reserved"),
 )
 THRESHOLD = 0.8
+#: Words of a block beyond those of the template, as a share of them.
+SLACK = 0.25
+#: Rows of the index up to which it is broadcast: short words and a few numbers each.
+BROADCAST_ROWS = 200_000
 
 
-def vocabulary(templates: tuple[tuple[str, str], ...]) -> list[str]:
-    return sorted({w for _, t in templates for w in t.split()})
+def needed(n_distinct: int, threshold: float = THRESHOLD) -> int:
+    """Distinct words of a template that a block must hold."""
+    return math.ceil(threshold * n_distinct - 1e-9)
 
 
-def token_order(docs: DataFrame, templates: tuple[tuple[str, str], ...], text_col: str) -> list[str]:
-    """The vocabulary of the templates, rarest first over all texts (ties by word). The driver sees one row a word.
+def block_length(n_words: int) -> int:
+    return n_words + math.floor(SLACK * n_words)
 
-    Any order gives the same matches; so words are counted in the faster ``lower``, which differs beyond ASCII.
-    """
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0))).alias("w"))
-    found = {r["w"]: r["count"] for r in words.filter(F.col("w").isin(vocabulary(templates))).groupBy("w").count().collect()}
-    return sorted(vocabulary(templates), key=lambda w: (found.get(w, 0), w))
+
+def plain_words(text: Column) -> Column:
+    """Words of a text with A-Z lowered, exact where a word is ASCII; other letters may be lowered too. Of all letters
+    beyond ASCII only the Kelvin sign has a lower form in ASCII, so it is replaced by another letter first."""
+    return F.regexp_extract_all(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138"))), F.lit(WORD), F.lit(0))
+
+
+def _patterns(spark, templates: tuple[tuple[str, str], ...], phrases: dict[str, str]) -> DataFrame:
+    """One row a template or phrase: ``pattern`` (number), ``label``, ``phrase`` (whether it is one) and ``words``."""
+    rows = [(k, label, False, t) for k, (label, t) in enumerate(templates)] + [(len(templates) + k, label, True, p) for k, (p, label) in enumerate(phrases.items())]
+    made = spark.createDataFrame(rows, "pattern int, label string, phrase boolean, text string")
+    return made.select("pattern", "label", "phrase", plain_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
 
 
-def order_key(order: list[str]):
-    """Rarest first; words that no template has come before all."""
-    rank = {w: i for i, w in enumerate(order)}
-    return lambda w: (rank.get(w, -1), w)
+def _index(patterns: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Rows (``word``, ``pattern``, ``label``, ``phrase``, ``words``, ``tokens``, ``rank``, ``need``, ``length``) of the
+    prefix of every template, of a phrase its rarest word. ``tokens``: its distinct words, rarest first over all texts
+    (ties by word); ``rank``: place of the word among them, from 0."""
+    vocabulary = patterns.select(F.explode("words").alias("word")).distinct()
+    vocabulary = F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_ROWS else vocabulary
+    counted = texts.select(F.explode(plain_words(F.col("_text"))).alias("word")).join(vocabulary, "word").groupBy("word").count()
+    distinct = patterns.select("pattern", F.explode(F.array_distinct("words")).alias("word")).join(counted, "word", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word")))
+    sets = patterns.join(distinct.groupBy("pattern").agg(F.transform(order, lambda x: x["word"]).alias("tokens")), "pattern")
+    n = F.size("words")
+    need = F.when(F.col("phrase"), F.size("tokens")).otherwise(F.ceil(threshold * F.size("tokens") - 1e-9)).cast("int")
+    length = F.when(F.col("phrase"), n).otherwise(n + F.floor(SLACK * n).cast("int"))
+    shaped = sets.withColumn("need", need).withColumn("length", length)
+    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + 1)
+    rows = shaped.select("*", F.posexplode(prefix).alias("rank", "word"))
+    return materialize(rows, "license-index")
 
 
-def _starts(words: Column, phrase: str) -> Column:
-    parts = phrase.split()
-    at = lambda i, k: F.get(words, i + k) == F.lit(parts[k])
+def _hits(worded: DataFrame, index: DataFrame) -> DataFrame:
+    """Places ``at`` of words of the index, with the words of the text from ``begin`` on as far as a block over this
+    place can reach (``window``), that pass the length filter and the positional filter."""
+    met = worded.select("_id", "_t", "doc_words", F.posexplode("doc_words").alias("at", "word")).join(index, "word").filter(F.size("doc_words") >= F.col("need"))
+    met = met.withColumn("begin", F.greatest(F.lit(0), F.col("at") - F.col("length") + 1))
+    met = met.withColumn("window", F.slice("doc_words", F.col("begin") + 1, F.col("at") - F.col("begin") + F.col("length")))
+    # Words of lower rank are not counted: a block that holds one is found from there.
+    room = F.expr("size(array_intersect(window, slice(tokens, rank + 1, size(tokens))))")
+    return met.filter(room >= F.col("need")).drop("doc_words")
 
-    def here(i: Column) -> Column:
-        found = at(i, 0)
-        for k in range(1, len(parts)):
-            found = found & at(i, k)
-        return found
 
-    return F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
+def _blocks(hits: DataFrame) -> DataFrame:
+    """The blocks that meet a template: ``first`` (word at which one begins, a word of the template), ``containment``.
 
+    Of the blocks over a place those whose rarest word it has: another block is found from its own rarest word.
+    """
+    near = hits.withColumn("near", F.expr("transform(window, w -> array_position(tokens, w))"))
+    starts = F.expr("filter(sequence(0, at - begin), k -> near[k] > 0)")
+    block = lambda k: F.filter(F.array_distinct(F.slice("near", k + 1, F.col("length"))), lambda r: r > 0)
+    each = F.transform(starts, lambda k: F.struct((F.col("begin") + k).cast("long").alias("first"), F.size(block(k)).alias("have"), F.array_min(block(k)).alias("least")))
+    met = F.filter(each, lambda x: (x["have"] >= F.col("need")) & (x["least"] == F.col("rank") + 1))
+    return near.select("_id", "_t", "pattern", "label", "tokens", F.inline(met)).select("_id", "_t", "pattern", "label", "first", (F.col("have") / F.size("tokens")).alias("containment"))
+
+
+def _places(hits: DataFrame) -> DataFrame:
+    """The places of phrases, shaped as blocks without a pattern: the rarest word stands where the phrase has it."""
+    here = F.expr("filter(sequence(0, size(words) - 1), k -> words[k] = word AND at >= k AND slice(window, at - begin - k + 1, size(words)) = words)")
+    met = hits.select("_id", "_t", "label", "at", F.explode(here).alias("k"))
+    return met.select("_id", "_t", F.lit(None).cast("int").alias("pattern"), "label", (F.col("at") - F.col("k")).cast("long").alias("first"), F.lit(1.0).alias("containment"))
 
+
+@settled
 def scan(
     docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per row: id, ``n_words``, ``n_base`` (places of all phrases), ``first_word``, ``last_word`` (least and greatest
     start of a phrase, else null), ``base_labels``, ``labels`` (with those of the join), ``score`` (greatest
-    containment that met the threshold, 1 for a phrase, else 0) and ``blocks``: an array of (line, template,
-    containment) for every block and template of the join. Null texts are empty: no words, no labels, score 0.
-    """
-    phrases = PHRASES if phrases is None else phrases
-    order = token_order(docs, templates, text_col)
-    rank = {w: i + 1 for i, w in enumerate(order)}
-    sets = [(label, sorted({rank[w] for w in t.split()})) for label, t in templates]
-    need = [math.ceil(threshold * len(s) - 1e-9) for _, s in sets]
-    prefixes = [s[: len(s) - a + 1] for (_, s), a in zip(sets, need, strict=True)]
-    rare = F.array(*(F.lit(order[i - 1]) for i in sorted({i for p in prefixes for i in p})))
-
-    # ``lower`` keeps every ASCII word and every boundary of words, so it serves to pass over most documents.
-    text, words = F.col("_text"), F.col("_any")
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(F.col(text_col)).alias("_text"))
-    tokens = base.select("_id", "_text", F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("_any"))
-    in_phrase = reduce(or_, (reduce(and_, (F.array_contains(words, w) for w in sorted(set(p.split()), key=order_key(order)))) for p in phrases), F.lit(False))
-    marked = tokens.select(
-        "_id",
-        F.size(words).cast("long").alias("n_words"),
-        F.when(in_phrase, F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))).alias("_words"),
-        F.when(F.arrays_overlap(words, rare), F.split(ascii_lower(text), "\n")).alias("_lines"),
-    )
-
-    # Each line as its ranks, rarest first.
-    known = F.array(*(F.lit(w) for w in order))
-    ranks = lambda line: F.array_sort(F.filter(F.transform(F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0))), lambda w: F.array_position(known, w).cast("int")), lambda r: r > 0))
-    lines = F.transform("_lines", lambda line, i: F.struct(i.alias("line"), ranks(line).alias("ranks")))
-
-    def met(block: Column) -> Column:
-        have, out = block["ranks"], []
-        for k, ((_, s), a, p) in enumerate(zip(sets, need, prefixes, strict=True)):
-            whole, prefix = F.array(*(F.lit(x) for x in s)), F.array(*(F.lit(x) for x in p))
-            shared = F.array_min(F.array_intersect(have, prefix))
-            room = F.least(F.lit(len(s)) - F.array_position(whole, shared), F.size(have) - F.array_position(have, shared)) + 1
-            overlap = F.size(F.array_intersect(have, whole))
-            out.append(
-                F.when(
-                    (F.size(have) >= a) & F.arrays_overlap(have, prefix) & (room >= a) & (overlap >= a),
-                    F.struct(block["line"].alias("line"), F.lit(k).alias("template"), (overlap / F.lit(float(len(s)))).alias("containment")),
-                )
-            )
-        return F.array_compact(F.array(*out))
-
-    starts = F.array_sort(F.flatten(F.array(*(_starts(F.col("_words"), p) for p in phrases))))
-    found = marked.select(
-        "_id", "n_words",
-        F.when(F.col("_words").isNotNull(), starts).otherwise(F.array().cast("array<int>")).alias("_starts"),
-        *(F.when(F.col("_words").isNotNull(), F.size(_starts(F.col("_words"), p)) > 0).otherwise(F.lit(False)).alias(f"_p{k}") for k, p in enumerate(phrases)),
-        F.coalesce(F.flatten(F.transform(lines, met)), F.array().cast("array<struct<line:int,template:int,containment:double>>")).alias("blocks"),
+    containment that met the threshold, 1 for a phrase, else 0) and ``blocks``: an array of (template, first word,
+    containment) of every block that meets a template. Templates are words of ASCII in lower case."""
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_t"), text_or_empty(F.col(text_col)).alias("_text"))
+    patterns = _patterns(docs.sparkSession, templates, PHRASES if phrases is None else phrases)
+    index = _index(patterns, texts, threshold)
+    index = F.broadcast(index) if index.count() <= BROADCAST_ROWS else index
+
+    worded = texts.select("_id", "_t", plain_words(F.col("_text")).alias("doc_words"))
+    hits = materialize(_hits(worded, index), "license-hits")
+    found = materialize(_blocks(hits.filter("not phrase")).unionByName(_places(hits.filter("phrase"))).distinct(), "license-blocks")
+
+    base = F.col("pattern").isNull()
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    per_text = found.groupBy("_id", "_t").agg(
+        F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("first"))).alias("first_word"), F.max(F.when(base, F.col("first"))).alias("last_word"),
+        joined(F.when(base, F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("containment").alias("score"),
+        F.array_sort(F.collect_list(F.when(~base, F.struct(F.col("pattern").alias("template"), F.col("first").alias("first"), F.col("containment").alias("containment"))))).alias("blocks"),
     )
-    base_labels = F.array_compact(F.array(*(F.when(F.col(f"_p{k}"), F.lit(label)) for k, label in enumerate(phrases.values()))))
-    labels = F.array(*(F.lit(label) for label, _ in sets))
-    more = F.transform("blocks", lambda b: F.element_at(labels, b["template"] + 1))
-    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    return found.select(
-        F.col("_id").alias(id_col), "n_words", F.size("_starts").cast("long").alias("n_base"),
-        F.array_min("_starts").cast("long").alias("first_word"), F.array_max("_starts").cast("long").alias("last_word"),
-        joined(base_labels).alias("base_labels"), joined(F.concat(base_labels, more)).alias("labels"),
-        F.when(F.size("_starts") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))).alias("score"),
-        "blocks",
+    rows = texts.select("_id", "_t", F.regexp_count("_text", F.lit(ANY_WORD)).cast("long").alias("n_words"))
+    all_ = rows.join(per_text.withColumnRenamed("_id", "_of").withColumnRenamed("_t", "_of_t"), F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_t") == F.col("_of_t")), "left")
+    none = F.array().cast("array<struct<template:int,first:bigint,containment:double>>")
+    return all_.select(
+        F.col("_id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("blocks", none).alias("blocks"),
     )
 
 
 def oracle(docs: str = "documents") -> str:
-    """The same scan, without ``blocks``, for DuckDB."""
-    words = lambda t: f"regexp_extract_all({t}, '{WORD}')"
+    """The same scan, without ``blocks``, for DuckDB: every block that begins at a word of a template."""
     starts = {}
     for phrase in PHRASES:
         parts = phrase.split()
         starts[phrase] = f"list_filter(range(len(words) - {len(parts) - 1}), lambda i: " + " AND ".join(f"words[i + {k + 1}] = '{p}'" for k, p in enumerate(parts)) + ")"
-    sets = [(label, sorted(set(t.split()))) for label, t in TEMPLATES]
-    shares = ", ".join(f"len(list_intersect(tokens, {s!r})) / {len(s)}.0::DOUBLE AS s{k}" for k, (_, s) in enumerate(sets))
-    least = [math.ceil(THRESHOLD * len(s) - 1e-9) / len(s) for _, s in sets]
-    met = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, s{k} AS share FROM shares WHERE s{k} >= {least[k]!r} - 1e-12" for k, (label, _) in enumerate(sets))
+    rows = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))!r}, {needed(len(set(t.split())))}, {block_length(len(t.split()))})" for k, (label, t) in enumerate(TEMPLATES))
     base = ", ".join(f"CASE WHEN len({starts[p]}) > 0 THEN '{label}' END" for p, label in PHRASES.items())
     return f"""
-WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM {docs}),
-worded AS (SELECT doc_id, {words('low')} AS words FROM low),
+WITH worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM {docs}),
 based AS (SELECT doc_id, len(words) AS n_words, list_concat({', '.join(starts.values())}) AS pos, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM worded),
-lines AS (SELECT doc_id, list_distinct({words('line')}) AS tokens FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM low)),
-shares AS (SELECT doc_id, {shares} FROM lines),
-met AS (SELECT doc_id, list(label) AS labels, max(share) AS share FROM ({met}) GROUP BY doc_id)
+templates(template, label, tokens, need, length) AS (VALUES {rows}),
+places AS (SELECT doc_id, words, unnest(words) AS word, unnest(range(len(words))) AS place FROM worded),
+begun AS (SELECT p.doc_id, p.words, p.place, t.* FROM places p JOIN (SELECT template, label, tokens, need, length, unnest(tokens) AS word FROM templates) t ON p.word = t.word),
+shares AS (SELECT doc_id, label, len(list_intersect(tokens, words[place + 1:place + length])) AS have, need, len(tokens) AS n FROM begun),
+met AS (SELECT doc_id, list(label) AS labels, max(have / n::DOUBLE) AS share FROM shares WHERE have >= need GROUP BY doc_id)
 SELECT b.doc_id, n_words, len(pos) AS n_base, list_min(pos) AS first_word, list_max(pos) AS last_word, coalesce(array_to_string(list_sort(list_distinct(base)), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(base, coalesce(m.labels, [])))), ','), '') AS labels, CASE WHEN len(pos) > 0 THEN 1.0::DOUBLE ELSE coalesce(m.share, 0.0::DOUBLE) END AS score
 FROM based b LEFT JOIN met m ON b.doc_id = m.doc_id

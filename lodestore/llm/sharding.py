@@ -5,11 +5,13 @@ stand together, and dealt in ranges:
 
 1. A size-weighted sample of keys (``draws`` a range, so at most about ``n_shards * ranges * draws`` keys)
    gives quantile boundaries, ``ranges`` ranges to a shard.
-2. Every range is measured over all rows. A range of more than twice its share is subdivided by a second hash
-   of the key; a text whose copies alone exceed a range's share gets ranges of its own, dealt by id. So no
-   window below sees more than about two shares, however many copies a text has.
-3. Ranges go to shards by their exact bytes. All copies of a text stay in one shard, unless they exceed what
-   a shard may hold; then they are cut into their ranges.
+2. Every range is measured over all rows. A range of more than twice its share is subdivided at quantiles of a
+   denser sample of its own keys, and measured again, until none is left. A text whose copies alone exceed a
+   range's share gets ranges of its own, dealt by row. So no window below sees more than about two shares,
+   however many copies a text has.
+3. Ranges go to shards by their exact bytes. All copies of a text stay in one shard if they fit into one; only a
+   text of more bytes than a shard's share is cut into its ranges. Large texts go first, each to the emptiest
+   shard; the ranges of the others fill up what is left.
 
 What the driver sees is bounded by the parameters alone: the sample, the ranges, the texts larger than a range.
 """
@@ -36,12 +38,15 @@ def shard(docs: DataFrame, n_shards: int = 40, ranges: int = 64, draws: int = 8,
     """Per row: id, ``size`` (UTF-8 bytes of the text, null: none, plus 16), ``text_crc32`` (null: 0), ``law``,
     ``shard``, ``slot`` (gapless from 0 in each shard) and ``grown_shard`` (null: this law does not keep rows in place).
 
-    Ties (repeated rows) get neighbouring slots in any order.
+    Ties (repeated rows) get neighbouring slots in any order. Null and empty texts are two texts of 16 bytes a row. A
+    null id is an id like another. With fewer texts than shards some shards stay empty.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
+    # The number of a row tells copies apart that share id and text; it is fixed, since the rows are written once.
     rows = materialize(
         docs.select(
+            F.monotonically_increasing_id().alias("row"),
             F.col(id_col).cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(OVERHEAD)).cast("long").alias("size"),
             F.crc32(text_or_empty(text).cast("binary")).alias("text_crc32"),
@@ -59,25 +64,23 @@ def shard(docs: DataFrame, n_shards: int = 40, ranges: int = 64, draws: int = 8,
     heavy_df = F.broadcast(spark.createDataFrame([(h, i, ways[h]) for i, h in enumerate(sorted(heavy))], "h long, heavy int, ways int"))
     rows = rows.join(heavy_df, "h", "left")
 
-    # Boundaries of the other ranges from a size-weighted sample.
+    # Boundaries of the other ranges from a size-weighted sample, denser ones where a range is too large.
     step = max(1.0, per_range / draws)
-    chance = F.pmod(F.xxhash64("h", "doc_id", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.filter(F.col("heavy").isNull()).select("h", F.floor(F.col("size") / step + chance).cast("int").alias("n")).filter("n > 0")
-    keys = sorted((r["h"], r["n"]) for r in drawn.collect())
-    splitters, seen = [], 0
-    for h, n in keys:
-        if (seen + n) // draws > seen // draws:
-            splitters.append(h)
-        seen += n
-    splitters = sorted(set(splitters))
-    rows = _with_range(rows, splitters)
-
-    measured = _measure(rows)
-    over = [(r["unit"], math.ceil(r["bytes"] / per_range)) for r in measured if not r["heavy"] and r["bytes"] > 2 * per_range]
-    over_df = F.broadcast(spark.createDataFrame(over, "unit string, parts int"))
-    part = F.pmod(F.xxhash64("h", F.lit("part")), F.col("parts"))
-    rows = rows.join(over_df, "unit", "left").withColumn("unit", F.when(F.col("parts").isNull(), F.col("unit")).otherwise(F.concat_ws(".", "unit", part)))
-    measured = _measure(rows) if over else measured
+    light = rows.filter(F.col("heavy").isNull())
+    splitters = _quantiles(light, step, draws, "draw")
+    ranged, measured = None, []
+    for nth in range(1, 64):
+        ranged = _with_range(rows, splitters)
+        measured = _measure(ranged)
+        over = [r["unit"] for r in measured if not r["heavy"] and r["bytes"] > 2 * per_range]
+        if not over:
+            break
+        inside = ranged.filter(F.col("unit").isin(over))
+        new = _quantiles(inside, max(1.0, step / 2**nth), max(1, draws * 2**nth // 2), f"draw{nth}", "unit")
+        if set(new) <= set(splitters) and step <= 2**nth:
+            break  # every key of the range is a boundary
+        splitters = sorted({*splitters, *new})
+    rows = ranged
 
     plan = _place(measured, {i: heavy[h] for i, h in enumerate(sorted(heavy))}, n_shards, share)
     plan_df = F.broadcast(spark.createDataFrame(plan, T.StructType.fromDDL("unit string, first_shard int, bytes_before double, bounds array<double>, rows_before long, slot_base long")))
@@ -95,10 +98,10 @@ def shard(docs: DataFrame, n_shards: int = 40, ranges: int = 64, draws: int = 8,
     )
     # Light rows follow the heavy ones of their shard, in the order of ranges. At most n_shards rows.
     starts = F.broadcast(placed.filter("slot_base is null").groupBy("shard").agg(F.min("rank").alias("start")))
-    held = {}
+    held, n_rows = {}, {r["unit"]: r["rows"] for r in measured}
     for unit in plan:
         if unit[5] is not None:
-            held[unit[1]] = max(held.get(unit[1], 0), unit[5] + next(r["rows"] for r in measured if r["unit"] == unit[0]))
+            held[unit[1]] = max(held.get(unit[1], 0), unit[5] + n_rows[unit[0]])
     held_df = F.broadcast(spark.createDataFrame(list(held.items()), "shard int, held long"))
     slot = F.when(F.col("slot_base").isNotNull(), F.col("slot_base") + F.col("rank")).otherwise(F.col("rank") - F.col("start") + F.coalesce("held", F.lit(0)))
     return placed.join(starts, "shard", "left").join(held_df, "shard", "left").select(
@@ -106,6 +109,21 @@ def shard(docs: DataFrame, n_shards: int = 40, ranges: int = 64, draws: int = 8,
     )
 
 
+def _quantiles(rows: DataFrame, step: float, every: int, salt: str, group: str | None = None) -> list[int]:
+    """Every ``every``-th of the keys of a sample in which a row comes about once for each ``step`` bytes, in order
+    (of each ``group`` by itself)."""
+    chance = F.pmod(F.xxhash64("h", "row", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.select((F.col(group) if group else F.lit("")).alias("g"), "h", F.floor(F.col("size") / step + chance).cast("long").alias("n")).filter("n > 0")
+    found, seen, of = [], 0, None
+    for g, h, n in sorted((r["g"], r["h"], r["n"]) for r in drawn.groupBy("g", "h").agg(F.sum("n").alias("n")).collect()):
+        seen = 0 if g != of else seen
+        of = g
+        if (seen + n) // every > seen // every:
+            found.append(h)
+        seen += n
+    return sorted(set(found))
+
+
 def _with_range(rows: DataFrame, splitters: list[int]) -> DataFrame:
     """``unit``: the range of each row, found in two steps: the key's leading bits, then the few splitters that share them."""
     spark = rows.sparkSession
@@ -116,9 +134,9 @@ def _with_range(rows: DataFrame, splitters: list[int]) -> DataFrame:
     ]
     table_df = F.broadcast(spark.createDataFrame(table, "bits long, below int, near array<long>"))
     nth = F.col("below") + F.size(F.filter("near", lambda s: s <= F.col("h")))
-    salt = F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.col("ways"))
+    salt = F.pmod(F.xxhash64("row", F.lit("salt")), F.col("ways"))
     return rows.join(table_df, F.shiftright("h", 54) == F.col("bits")).select(
-        "doc_id", "size", "text_crc32", "h",
+        "row", "doc_id", "size", "text_crc32", "h",
         F.when(F.col("heavy").isNull(), F.concat(F.lit("r"), nth)).otherwise(F.concat_ws(".", F.concat(F.lit("t"), F.col("heavy")), salt)).alias("unit"),
     )
 
@@ -130,8 +148,8 @@ def _measure(rows: DataFrame) -> list:
 
 
 def _place(measured: list, heavy: dict[int, int], n_shards: int, share: float) -> list[tuple]:
-    """For each range its (first) shard. Large texts first, largest first, each to the emptiest shard; then the
-    ranges of the others fill up the shards in order."""
+    """For each range its (first) shard. Texts that fit into a shard first, largest first, each to the emptiest shard,
+    then the ranges of those that do not, and at last the ranges of all others fill up the shards in order."""
     load, rows = [0.0] * n_shards, [0] * n_shards
     plan: list[tuple] = []
     queue = [(0.0, s) for s in range(n_shards)]
@@ -144,11 +162,8 @@ def _place(measured: list, heavy: dict[int, int], n_shards: int, share: float) -
     for unit in measured:
         if unit["heavy"]:
             parts.setdefault(int(unit["unit"][1:].split(".")[0]), []).append(unit)
-    cut = []
-    for i in sorted(parts, key=lambda i: (-heavy[i], i)):
-        if heavy[i] + queue[0][0] > share:
-            cut += parts[i]
-            continue
+    cut = [unit for i in parts if heavy[i] > share for unit in parts[i]]
+    for i in sorted((i for i in parts if heavy[i] <= share), key=lambda i: (-heavy[i], i)):
         held, s = heapq.heappop(queue)
         for unit in parts[i]:
             put(unit, s)

@@ -34,7 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd number and of its inverse modulo 2 ** 64, as many as asked for."""
+    """Powers of an odd number and of its inverse modulo 2 ** 64, as many as asked for; up to ``KEPT`` are kept."""
+
+    KEPT = 1 << 22
 
     def __init__(self, base: int):
         self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
@@ -49,7 +51,10 @@ class Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             n = 1 << (n - 1).bit_length()
-            self.up, self.down = self._first(self.base, n), self._first(self.inverse, n)
+            made = self._first(self.base, n), self._first(self.inverse, n)
+            if n > self.KEPT:
+                return made
+            self.up, self.down = made
         return self.up, self.down
 
 

@@ -2,6 +2,7 @@ import re
 
 from lodestore.llm import license_scan as ls
 from lodestore.llm.common import LOWER, UPPER
+from tests.conftest import rows
 from tests.llm.conftest import same
 
 
@@ -12,11 +13,10 @@ def brute(text):
         p = phrase.split()
         found += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
     labels, score = {x for _, x in found}, 1.0 if found else 0.0
-    for line in low.split("\n"):
-        have = set(re.findall(ls.WORD, line))
-        for label, template in ls.TEMPLATES:
-            want = set(template.split())
-            share = len(have & want) / len(want)
+    for label, template in ls.TEMPLATES:
+        want, n = set(template.split()), ls.block_length(len(template.split()))
+        for i in range(len(words)):
+            share = len(want & set(words[i : i + n])) / len(want)
             if share >= ls.THRESHOLD - 1e-9:
                 labels.add(label)
                 score = max(score, share)
@@ -42,3 +42,38 @@ def test_awkward(awkward, clashing, empty):
     assert ls.scan(awkward).count() == awkward.count()
     assert same(ls.scan(awkward), ls.scan(clashing))
     assert ls.scan(empty).count() == 0
+
+
+def test_wrapped_and_commented_templates(spark):
+    """Hard-wrapped, behind comment marks, re-wrapped at another width, with words changed, and spread too far."""
+    import textwrap
+
+    grant, bsd = ls.TEMPLATES[1][1], ls.TEMPLATES[5][1]
+    wrapped = {1: textwrap.fill(grant, 40), 2: textwrap.indent(textwrap.fill(bsd, 30), "# "), 3: textwrap.indent(textwrap.fill(grant.upper(), 55), " * "), 4: textwrap.indent(textwrap.fill(bsd, 25), "// ")}
+    words = grant.split()
+    changed = {10: " ".join(w if k % 8 else "changed" for k, w in enumerate(words)), 11: " ".join(w if k % 3 else "changed" for k, w in enumerate(words)), 12: " filler ".join(words), 13: "All rights\nreserved", 14: "license " * 5000, 15: "the mit license under the mit license"}
+    texts = {i: f"some words before\n{t}\nand words after" for i, t in (wrapped | changed).items()}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(frame, texts)
+    got = {r["doc_id"]: r for r in ls.scan(frame).collect()}
+    assert [got[i]["labels"] for i in range(1, 5)] == ["mit", "bsd", "mit", "bsd"] and all(got[i]["score"] == 1.0 for i in range(1, 5))
+    assert got[10]["labels"] == "mit" and got[11]["labels"] == "" and got[12]["labels"] == ""
+    for r in got.values():
+        for b in r["blocks"]:
+            template = set(ls.TEMPLATES[b["template"]][1].split())
+            block = re.findall(ls.WORD, texts[r["doc_id"]].lower())[b["first"] : b["first"] + ls.block_length(len(ls.TEMPLATES[b["template"]][1].split()))]
+            assert len(template & set(block)) / len(template) == b["containment"] >= ls.THRESHOLD
+
+
+def test_same_as_sql(docs, duck):
+    mine = ls.scan(docs).drop("blocks")
+    other = duck.execute(ls.oracle())
+    assert rows(mine.columns, map(tuple, mine.collect())) == rows([d[0] for d in other.description], other.fetchall())
+
+
+def test_no_python_on_the_main_path(spark, docs):
+    from lodestore.llm.common import text_or_empty
+
+    texts = docs.select("doc_id", text_or_empty(docs["text"]).alias("_text"))
+    patterns = ls._patterns(spark, ls.TEMPLATES, ls.PHRASES)
+    assert "Python" not in ls._index(patterns.hint("broadcast"), texts, 0.8)._jdf.queryExecution().executedPlan().toString()

@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+import pytest
+
 from lodestore.llm import sharding
 from tests.llm.conftest import same
 
@@ -34,6 +36,35 @@ def test_one_text_beyond_a_shard_is_cut(spark):
     assert max(bytes_.values()) <= 1.05 * sum(bytes_.values()) / 8
 
 
+@pytest.mark.parametrize("n", [41, 39, 80])
+def test_no_group_below_a_shard_is_cut(spark, n):
+    """Equal groups, more and fewer than shards, with small texts among them: all copies of a text stay together."""
+    group = [(g * 1000 + k, f"group {g} " + "x" * 90) for g in range(n) for k in range(40)]
+    rows = [*group, *((10**6 + i, f"single {i}") for i in range(300))]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=40).collect()
+    bytes_ = laws(found, 40)
+    where = defaultdict(set)
+    for r in found:
+        where[r["doc_id"] // 1000].add(r["shard"])
+    assert all(len(where[g]) == 1 for g in range(n))
+    share, largest = sum(bytes_.values()) / 40, max(40 * (len(t) + 16) for _, t in group)
+    assert max(bytes_.values()) <= share + largest
+
+
+def test_copies_of_one_row_and_null_ids_are_cut_by_row(spark):
+    rows = [(1, "same row " * 20)] * 1500 + [(None, "no id " * 20)] * 1500 + [(10 + i, f"other {i}") for i in range(500)]
+    bytes_ = laws(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=6).collect(), 6)
+    assert max(bytes_.values()) <= 1.1 * sum(bytes_.values()) / 6
+
+
+def test_overfull_ranges_are_subdivided(spark):
+    """A sample of one draw a range leaves uneven ranges; measured and divided again, none stays above twice its share."""
+    rows = [(i, f"{i} " + "y" * (i % 50)) for i in range(4000)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=4, ranges=32, draws=1)
+    bytes_ = laws(found.collect(), 4)
+    assert max(bytes_.values()) <= 1.02 * sum(bytes_.values()) / 4
+
+
 def test_awkward(awkward, clashing, empty):
     rows = sharding.shard(awkward, n_shards=3).collect()
     laws(rows, 3)

@@ -64,4 +64,16 @@ def test_spans_are_maximal(spark):
     same_ = " ".join(f"s{i}" for i in range(60))
     rows = spark.createDataFrame([(1, f"a b {same_} c"), (2, f"x {same_} y z")], "doc_id long, text string")
     spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in sd.repeats(rows).collect()}
-    assert spans == {1: [], 2: [(1, 61)]}
+    assert spans == {1: [], 2: [(1, 61, 1, 2)]}
+
+
+def test_equal_hashes_of_other_words_remove_nothing(spark):
+    """With word hashes that collide throughout, hashes propose everything; the words themselves decide."""
+    import numpy as np
+
+    def one(data, starts, ends, lower):
+        return np.full(len(starts), 7, np.uint64)
+
+    rows = [(1, " ".join(f"a{i}" for i in range(40))), (2, " ".join(f"b{i}" for i in range(40)))]
+    got = sd.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 10, 3, hashed=one).collect()
+    assert [r["n_removed"] for r in got] == [0, 0] and all(r["spans"] == [] for r in got)
