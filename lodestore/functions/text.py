@@ -6,9 +6,12 @@ Lower case here is Spark's ``lower``; the full case folding and NFKC of ``normal
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a keyword query leaves out.
@@ -66,8 +69,16 @@ def identifiers(text: Column) -> Column:
 
 
 def segmented(text: Column) -> Column:
-    """Lower-case word runs followed by whole identifiers, which therefore count twice (STR02)."""
-    return F.concat(F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), F.lit(0)), identifiers(text))
+    """Lower-case word runs followed by whole identifiers, which therefore count twice (STR02).
+
+    Runs of Chinese characters have no blanks between words and there is no dictionary here, so a run of more than two is
+    all its pairs of neighbours: a word of the query is found wherever it stands in a sentence.
+    """
+    low = F.lower(text)
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))
+    mixed = F.regexp_extract_all(low, F.lit(r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
+    runs = F.flatten(F.transform(mixed, lambda r: F.when(r.rlike(r"^\p{IsHan}{3,}"), pairs(r)).otherwise(F.array(r))))
+    return F.concat(F.when(low.rlike(r"\p{IsHan}"), runs).otherwise(F.regexp_extract_all(low, F.lit(WORD_RUN), F.lit(0))), identifiers(text))
 
 
 def keywords(text: Column) -> Column:
@@ -106,25 +117,59 @@ def parse_timeout(size: Column) -> Column:
     return F.least(F.lit(120) + F.floor(size / F.lit(512 * 1024)), F.lit(600)).cast("long")
 
 
-#: A reading with its diameter or radius mark, sign and degree mark.
-NUMBER = r"(?<![A-Za-z0-9_.])(?:[φR]\s*)?(?:[+±-]\s*)?[0-9]+(?:[.,][0-9]+)*(?:\s*°)?"
+# Fixed value: the grammar of a reading, with its diameter or radius mark, sign and degree mark.
+NUMBER = r"(?<![A-Za-z0-9_.])(?:[φR]\s*)?(?:[+±-]\s*)?\p{Nd}+(?:[.,]\p{Nd}+)*(?:\s*°)?"
+
+
+@cache
+def _compatible() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """By rule from the Unicode tables: characters whose NFKC form is one other character that matters to readings, these
+    forms, and those whose form has several characters."""
+    one, several = {}, []
+    for code in range(0x80, 0x10000):
+        form = unicodedata.normalize("NFKC", chr(code))
+        if form != chr(code) and re.search(r"[\dA-Za-z_.,+±°φΦØøρ\s−-]", form) and not 0xD800 <= code < 0xE000:
+            if len(form) == 1:
+                one[chr(code)] = form
+            elif re.search(r"[\d°±+−-]", form):
+                several.append((chr(code), form))
+    return "".join(one), "".join(one.values()), tuple(several)
+
+
+def compatible(text: Column) -> Column:
+    """NFKC, as far as readings are concerned: full-width and raised forms become plain ones. Stays in the JVM; the few
+    forms of several characters are replaced only in texts that have one."""
+    from_, to, several = _compatible()
+    plain = F.translate(text, from_, to)
+    spelled = plain
+    for mark, form in several:
+        spelled = F.replace(spelled, F.lit(mark), F.lit(form))
+    return F.when(plain.rlike("[" + "".join(m for m, _ in several) + "]"), spelled).otherwise(plain)
 
 
 def numeric_tokens(text: Column) -> Column:
-    """Distinct readings of a text (STR14): marks unified, white space removed, in order of appearance."""
-    unified = F.translate(text, "ΦØø⌀−", "φφφφ-")
+    """Distinct readings of a text (STR14): compatibility forms and marks unified, white space removed, in order of appearance."""
+    unified = F.translate(compatible(text), "ΦØø⌀−", "φφφφ-")
     return F.array_distinct(F.transform(F.regexp_extract_all(unified, F.lit(f"(?i){NUMBER}"), F.lit(0)), lambda t: F.replace(squash(t), F.lit("r"), F.lit("R"))))
 
 
 def equivalent_number(token: Column) -> Column:
     """Plain decimals without the zeros that do not count; codes and commas stay as they are."""
-    plain = token.rlike(r"^[φR]?[+±-]?[0-9]+(\.[0-9]+)?°?$")
-    short = F.when(F.contains(token, F.lit(".")), F.regexp_replace(token, r"\.?0+(°?)$", "$1")).otherwise(token)
-    return F.when(plain, F.regexp_replace(short, r"^([φR]?[+±-]?)0+(?=[0-9])", "$1")).otherwise(token)
+    return F.regexp_replace(token, r"^([φR]?[+±-]?)0*([0-9]+?)(?:\.0*|(\.[0-9]*?[1-9])0*)?(°?)$", "$1$2$3$4")
+
+
+def with_numeric_gaps(df: DataFrame, evidence: str, summary: str, gaps: str = "gaps", readings: str = "readings") -> DataFrame:
+    """``df`` with the readings of the evidence and, sorted, those without an equivalent in the summary (AGG13, SET03).
+
+    Tokens and their keys are columns, so each is computed once a row.
+    """
+    tokens = df.select("*", numeric_tokens(F.col(evidence)).alias(readings), F.transform(numeric_tokens(F.col(summary)), equivalent_number).alias("_known"))
+    keyed = tokens.select("*", F.transform(readings, equivalent_number).alias("_keys"))
+    return keyed.select("*", F.array_sort(F.filter(readings, lambda t, i: ~F.array_contains("_known", F.get("_keys", i)))).alias(gaps)).drop("_known", "_keys")
 
 
 def numeric_gaps(evidence: Column, summary: Column) -> Column:
-    """Readings of the evidence without an equivalent in the summary, sorted (AGG13, SET03)."""
+    """The same as one expression, for rows that are few."""
     actual = F.transform(numeric_tokens(summary), equivalent_number)
     return bind(actual, lambda known: F.array_sort(F.filter(numeric_tokens(evidence), lambda t: ~F.array_contains(known, equivalent_number(t)))))
 
@@ -169,7 +214,8 @@ def generic_title_stored(title: Column) -> Column:
 
 def generic_title_named(title: Column) -> Column:
     """As naming sees it: any part but the first ends generically, also without an extension (FLT07)."""
-    return F.exists(F.slice(F.split(stem(title), "_"), 2, 1000), lambda p: F.btrim(p).rlike(f"^.*{GENERIC_PARTS}$") & F.btrim(p).rlike(f"^{GENERIC_PARTS}$"))
+    parts = F.split(stem(title), "_")
+    return F.exists(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.btrim(p).rlike(f"^{GENERIC_PARTS}$"))
 
 
 def shared_identifiers(left: Column, right: Column) -> Column:

@@ -35,22 +35,25 @@ class HashedModel:
 def embed(chunks: DataFrame, model: Callable[[list[str]], list], identity: str, batch: int = 16, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """``chunk_id``, ``embedding``, ``model_identity`` in batches of ``batch`` texts (EMB01).
 
-    A batch that the model fails on gets null vectors, so the rest goes on (EMB02).
+    A batch that the model fails on gets null vectors, so the rest goes on (EMB02); ``error`` says why, so that failures
+    can be counted and told from texts without a vector.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            vectors: list = []
+            vectors, errors = [], []
             texts = frame["text"].fillna("").tolist()
             for at in range(0, len(texts), batch):
                 part = texts[at : at + batch]
                 try:
                     vectors += model(part)
-                except Exception:  # noqa: BLE001 - whatever the model raises
+                    errors += [None] * len(part)
+                except Exception as e:  # noqa: BLE001 - whatever the model raises
                     vectors += [None] * len(part)
-            yield pd.DataFrame({"chunk_id": frame["chunk_id"], "embedding": vectors, "model_identity": identity})
+                    errors += [f"{type(e).__name__}: {e}"] * len(part)
+            yield pd.DataFrame({"chunk_id": frame["chunk_id"], "embedding": vectors, "model_identity": identity, "error": errors})
 
-    return chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")).mapInPandas(run, "chunk_id long, embedding array<float>, model_identity string")
+    return chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")).mapInPandas(run, "chunk_id long, embedding array<float>, model_identity string, error string")
 
 
 def status_with_vectors(status: Column, missing: Column) -> Column:

@@ -35,7 +35,11 @@ def row_digest(columns: list[str]) -> Column:
 
 def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
     """Rows and a sum over row digests that no order changes (AGG19): one aggregate, at any size. Equal tables are equal
-    in both; the sum is of the digests' leading 60 bits, in decimals."""
+    in both; the sum is of the digests' leading 60 bits, in decimals.
+
+    It is comparable with fingerprints made here only. A SHA-256 over all sorted rows, as a single machine makes it, would
+    pass the whole table through one task.
+    """
     value = F.conv(F.substring(row_digest(df.columns), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest")).select(F.lit(name).alias("table_name"), "n_rows", "digest")
 
@@ -62,6 +66,23 @@ def reconcile(references: DataFrame, files: DataFrame) -> DataFrame:
     return r.join(f, "path", "full").select("path", status.alias("status"))
 
 
+#: Device names that no file may have.
+DEVICES = ("CON", "PRN", "AUX", "NUL", *(f"{d}{k}" for d in ("COM", "LPT") for k in range(1, 10)))
+
+
+def copy_status(asked: DataFrame, standing: DataFrame, longest: int = 240) -> DataFrame:
+    """``status`` of copies to be made (``name``, ``digest``) beside those that stand in a folder (OPS06): ``unsafe`` or
+    ``reserved`` names, ``copied`` under a free one, ``identical_copy_exists``, or ``conflict`` with other contents."""
+    held = standing.groupBy(F.col("name").alias("_name")).agg(F.min("digest").alias("_low"), F.max("digest").alias("_high"))
+    name = F.col("name")
+    unsafe = (name == "") | name.isin(".", "..") | name.rlike(r'[/\\:\x00-\x1f<>|?*"]') | name.rlike("[ .]$") | (F.length(name) > longest)
+    status = (
+        F.when(unsafe, "unsafe").when(F.upper(F.split_part(name, F.lit("."), F.lit(1))).isin(*DEVICES), "reserved").when(F.col("_name").isNull(), "copied")
+        .when((F.col("_low") == F.col("digest")) & (F.col("_high") == F.col("digest")), "identical_copy_exists").otherwise("conflict")
+    )
+    return asked.join(held, name == F.col("_name"), "left").withColumn("status", status).drop("_name", "_low", "_high")
+
+
 def nearest_rank(value: str, p: float) -> Column:
     """The ceil(n * p)-th of the sorted values (AGG15)."""
     return F.expr(f"percentile_disc({p}) within group (order by {value})")

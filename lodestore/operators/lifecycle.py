@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestore.functions.text import renamed
+
 
 def latest(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last event of every key (MUT08): an aggregate, so a key of many events is reduced before it is shuffled."""
@@ -112,3 +114,34 @@ def anchored_windows(events: DataFrame, key: list[str], at: str, seconds: int) -
         return F.when(inside, grown).otherwise(F.concat(done, F.array(one(t))))
 
     return times.select(*key, F.inline(F.aggregate("_t", empty, lambda s, t: F.when(F.size(s) > 0, step(s, t)).otherwise(F.array(one(t)))))).withColumnRenamed("n", "events")
+
+
+def publish_outcome(title_ok: Column, accept_incomplete: Column) -> Column:
+    """What asking to publish a version comes to (MUT03), from the columns ``expected``, ``base``, ``revision``, ``state``,
+    ``needs_review``, ``reviewed``, ``suffix``, ``job_state`` and ``processing``; the first gate that is shut decides.
+
+    Else ``content`` where the text is searchable, or ``file_only``.
+    """
+    done = F.col("processing").isin("ready", "stored_only")
+    cad = F.col("suffix").isin(".dwg", ".dxf") & ~F.coalesce((F.col("job_state") == "complete") & (done | (F.col("processing") == "partial")), F.lit(False))
+    return (
+        F.when((F.col("expected") != F.col("revision")) | (F.col("base") != F.col("revision")), "revision_conflict").when(F.col("state") != "draft", "version_conflict")
+        .when(F.col("needs_review"), "naming_review").when(~title_ok & ~F.col("reviewed"), "generic_title").when(cad, "drawing_incomplete")
+        .when(~done & ~accept_incomplete, "incomplete").when(F.col("processing") == "ready", "content").otherwise("file_only")
+    )
+
+
+def live_challenges(challenges: DataFrame, limits: DataFrame, at: Column, most: int = 60) -> DataFrame:
+    """Challenges (``key``, ``expires_at``) that stay when expired ones are deleted, and whose address has not failed more
+    than ``most`` times in its window (OPS09). ``limits``: one row a key with its ``failures``."""
+    blocked = limits.filter(F.col("failures") > most).select("key")
+    return challenges.filter(F.col("expires_at") >= at).join(blocked, "key", "left_anti")
+
+
+def promoted(documents: DataFrame, promotions: DataFrame) -> DataFrame:
+    """Titles after projects got other names (MUT10): ``title`` of every document linked to a promoted project
+    (``project_id``, ``previous``, ``official``) has its first part renamed; the former name stays an alias."""
+    renames = promotions.select(F.col("project_id").alias("_of"), F.col("previous").alias("_previous"), F.col("official").alias("_official"))
+    met = documents.join(renames, F.col("project_id") == F.col("_of"), "left")
+    title = F.when(F.col("_of").isNotNull(), renamed(F.col("title"), F.col("_previous"), F.col("_official"))).otherwise(F.col("title"))
+    return met.withColumn("title", title).withColumn("former", F.col("_previous")).drop("_of", "_previous", "_official")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,22 +85,22 @@ def within(accounts: DataFrame, memberships: DataFrame, mine: list[str]) -> Data
     return accounts.join(inside, "account_id", "left_semi").join(outside, "account_id", "left_anti")
 
 
-def ancestors(nodes: DataFrame, most: int = 50) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """Of rows (id, parent): ``id``, ``ancestor`` (itself included), ``depth``; cycles end where they close (HIE01).
 
-    One join a level; the rows in hand shrink as roots are reached.
+    One join a level, down to the last one; the rows in hand shrink as roots are reached. Where the session has a
+    checkpoint folder each level is written there, so none is computed twice.
     """
-    edges = nodes.select(F.col("id").alias("node"), F.col("parent"))
-    found = front = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.array("id").alias("path"))
-    for k in range(1, most + 1):
-        front = (
-            front.join(edges, F.col("ancestor") == F.col("node")).filter(F.col("parent").isNotNull() & ~F.array_contains("path", F.col("parent")))
-            .select("id", F.col("parent").alias("ancestor"), F.lit(k).alias("depth"), F.concat("path", F.array("parent")).alias("path"))
-        )
-        found = found.unionByName(front)
-        if k >= 2 and not front.limit(1).count():
-            break
-    return found.drop("path")
+    kept = (lambda df: df.checkpoint()) if nodes.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda df: df)
+    edges = nodes.filter(F.col("parent").isNotNull()).select(F.col("id").alias("node"), F.col("parent"))
+    front = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.array("id").alias("path"))
+    levels, k = [], 0
+    while k < 2 or not front.isEmpty():
+        levels.append(front.drop("path"))
+        k += 1
+        met = front.join(edges, F.col("ancestor") == F.col("node")).filter(~F.array_contains("path", F.col("parent")))
+        front = kept(met.select("id", F.col("parent").alias("ancestor"), F.lit(k).alias("depth"), F.concat("path", F.array("parent")).alias("path")))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def role_rank(role: Column) -> Column:
@@ -111,3 +112,16 @@ def effective(memberships: DataFrame, defaults: list[str], principals: DataFrame
     given = principals.select("principal_id", F.explode(F.array(*(F.lit(d) for d in defaults))).alias("organization_id")).withColumn("role", F.lit("member"))
     both = memberships.select("principal_id", "organization_id", "role").unionByName(given)
     return both.groupBy("principal_id", "organization_id").agg(F.max_by("role", role_rank(F.col("role"))).alias("role"))
+
+
+def load_principals(users: DataFrame, principals: DataFrame, memberships: DataFrame, organizations: DataFrame, defaults: list[str]) -> DataFrame:
+    """Rows (``principal_id``, ``organization_id``, ``role``) of every account that may act (IDN01).
+
+    Accounts must be active, as users and as principals, and have a password or a bound identity. A superadmin is a
+    publisher of all organizations; others have their own memberships, and the default organizations as member at least.
+    """
+    able = users.join(principals.filter("active").select("principal_id"), "principal_id", "left_semi").filter("status = 'active' AND (has_password OR bound)")
+    every = F.broadcast(organizations.agg(F.collect_list("organization_id").alias("all")))  # organizations are few
+    over = able.filter("account_role = 'superadmin'").select("principal_id", F.lit(True).alias("_one")).join(every.withColumn("_one", F.lit(True)), "_one").select("principal_id", F.explode("all").alias("organization_id"), F.lit("publisher").alias("role"))
+    plain = able.filter("account_role <> 'superadmin'").select("principal_id")
+    return over.unionByName(effective(memberships.join(plain, "principal_id", "left_semi"), defaults, plain))

@@ -52,9 +52,13 @@ def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("doc_id % 13 = 0").select("doc_id", F.lit("u7").alias("principal_id"))
 
 
+#: More than a text can have lines, so ids of chunks never meet.
+LINES = 1 << 31
+
+
 def chunks_of(docs: DataFrame) -> DataFrame:
     """A chunk is a line; its id orders by document and line."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("ordinal"))
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).withColumn("chunk_id", F.col("doc_id") * LINES + F.col("ordinal"))
 
 
 #: The same for DuckDB, as common table expressions.

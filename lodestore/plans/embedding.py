@@ -10,7 +10,7 @@ from lodestore.plans.base import chunks_of, documents, query, table
 
 @query("embedded_emb01")
 def embedded(spark, sf_dir):
-    """Vectors of all chunks by the stand-in model; their digests."""
+    """Vectors of all chunks by the stand-in model; their dimensions."""
     model = em.HashedModel()
     found = em.embed(chunks_of(documents(spark, sf_dir)), model, model.identity)
     return found.select("chunk_id", F.size("embedding").alias("dimension"), "model_identity")

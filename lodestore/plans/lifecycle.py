@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestore.functions.text import generic_title_named
 from lodestore.operators import lifecycle as lc
 from lodestore.plans.base import KB, documents, query, table
 
@@ -252,3 +255,46 @@ def generation(spark, sf_dir):
     docs = documents(spark, sf_dir)
     chunks = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("generation"), F.length("text").alias("n"))
     return chunks.join(docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("generation")), ["doc_id", "generation"])
+
+
+@query(
+    "publish_gates_mut03",
+    """WITH v AS (SELECT doc_id, (doc_id % 3)::INT AS expected, (doc_id % 3)::INT AS base, CASE WHEN doc_id % 19 = 0 THEN 9 ELSE (doc_id % 3)::INT END AS revision, CASE WHEN doc_id % 10 = 1 THEN 'superseded' ELSE 'draft' END AS state,
+      doc_id % 7 = 3 AS needs_review, doc_id % 4 = 0 AS reviewed, CASE doc_id % 6 WHEN 0 THEN '.dwg' WHEN 1 THEN '.dxf' ELSE '.pdf' END AS suffix, CASE doc_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN NULL ELSE 'complete' END AS job_state,
+      CASE doc_id % 8 WHEN 0 THEN 'partial' WHEN 1 THEN 'stored_only' WHEN 2 THEN 'failed' ELSE 'ready' END AS processing, doc_id % 9 <> 2 AS title_ok, doc_id % 16 = 2 AS accepts FROM documents)
+    SELECT doc_id, CASE WHEN expected <> revision OR base <> revision THEN 'revision_conflict' WHEN state <> 'draft' THEN 'version_conflict' WHEN needs_review THEN 'naming_review' WHEN NOT title_ok AND NOT reviewed THEN 'generic_title'
+      WHEN suffix IN ('.dwg', '.dxf') AND (job_state IS DISTINCT FROM 'complete' OR processing = 'failed') THEN 'drawing_incomplete' WHEN processing IN ('partial', 'failed') AND NOT accepts THEN 'incomplete' WHEN processing = 'ready' THEN 'content' ELSE 'file_only' END AS outcome FROM v""",
+)
+def publish_gates(spark, sf_dir):
+    """Every gate in turn; titles are generic where their type is (FLT07)."""
+    i = F.col("doc_id")
+    pick = lambda n, values, other: reduce(lambda c, v: c.when(i % n == v[0], v[1]), values[1:], F.when(i % n == values[0][0], values[0][1])).otherwise(other)
+    revision = (i % 3).cast("int")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", revision.alias("expected"), revision.alias("base"), F.when(i % 19 == 0, 9).otherwise(revision).alias("revision"), pick(10, [(1, "superseded")], "draft").alias("state"), (i % 7 == 3).alias("needs_review"),
+        (i % 4 == 0).alias("reviewed"), pick(6, [(0, ".dwg"), (1, ".dxf")], ".pdf").alias("suffix"), pick(5, [(0, "queued"), (1, None)], "complete").alias("job_state"),
+        pick(8, [(0, "partial"), (1, "stored_only"), (2, "failed")], "ready").alias("processing"), F.concat(F.lit("Kiln_"), F.when(i % 9 == 2, "资料").otherwise("图纸"), F.lit(".pdf")).alias("title"), (i % 16 == 2).alias("accepts"),
+    )
+    return rows.select("doc_id", lc.publish_outcome(~generic_title_named(F.col("title")), F.col("accepts")).alias("outcome"))
+
+
+@query(
+    "challenges_ops09",
+    "SELECT event_id FROM events WHERE event_type = 'click' AND ts + INTERVAL 3 DAY >= (SELECT max(ts) FROM events) AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 2)",
+)
+def challenges(spark, sf_dir):
+    """Clicks as challenges of three days, errors as failures of their users."""
+    events = table(spark, sf_dir, "events")
+    now = F.lit(events.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    limits = events.filter("event_type = 'error'").groupBy(F.col("user_id").alias("key")).agg(F.count(F.lit(1)).alias("failures"))
+    opened = events.filter("event_type = 'click'").select("event_id", F.col("user_id").alias("key"), (F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("expires_at"))
+    return lc.live_challenges(opened, limits, now, most=2).select("event_id")
+
+
+@query("promotions_mut10", "SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'W' || o_custkey || substr(t, length('P' || o_custkey) + 1) ELSE t END AS title, CASE WHEN o_custkey % 5 = 0 THEN 'P' || o_custkey END AS former FROM (SELECT o_orderkey, o_custkey, 'P' || o_custkey || '_' || o_orderpriority AS t FROM orders)")
+def promotions(spark, sf_dir):
+    """A project's promotion reaches all documents linked to it."""
+    k = F.col("o_custkey")
+    linked = table(spark, sf_dir, "orders").select("o_orderkey", k.alias("project_id"), F.concat(F.lit("P"), k, F.lit("_"), "o_orderpriority").alias("title"))
+    promoted = table(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("project_id"), F.concat(F.lit("P"), "c_custkey").alias("previous"), F.concat(F.lit("W"), "c_custkey").alias("official"))
+    return lc.promoted(linked, promoted).select("o_orderkey", "title", "former")

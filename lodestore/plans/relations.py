@@ -200,6 +200,23 @@ def tree_pages(spark, sf_dir):
     return roots.join(F.broadcast(ranked), "root").select("id", "root", "branch")
 
 
+@query(
+    "principals_idn01",
+    """WITH able AS (SELECT c_custkey AS p, CASE WHEN c_custkey % 50 = 0 THEN 'superadmin' ELSE 'user' END AS kind FROM customer WHERE c_custkey % 7 <> 1 AND c_custkey % 11 <> 2 AND (c_custkey % 3 <> 0 OR c_custkey % 2 = 0)),
+    own AS (SELECT o_custkey AS p, o_orderpriority AS o, max(CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END) AS r FROM orders GROUP BY 1, 2),
+    every AS (SELECT DISTINCT o_orderpriority AS o FROM orders)
+    SELECT p AS principal_id, o AS organization_id, CASE WHEN max(r) = 2 THEN 'publisher' ELSE 'member' END AS role FROM (
+      SELECT p, o, 2 AS r FROM able, every WHERE kind = 'superadmin' UNION ALL SELECT p, o, r FROM own JOIN able USING (p) WHERE kind = 'user'
+      UNION ALL SELECT p, unnest(['1-URGENT', '5-LOW']) AS o, 1 AS r FROM able WHERE kind = 'user') GROUP BY p, o""",
+)
+def loaded_principals(spark, sf_dir):
+    """Customers as accounts, orders as memberships."""
+    k = F.col("c_custkey")
+    accounts = table(spark, sf_dir, "customer").select(k.alias("principal_id"), F.when(k % 50 == 0, "superadmin").otherwise("user").alias("account_role"), F.when(k % 7 == 1, "disabled").otherwise("active").alias("status"), (k % 3 != 0).alias("has_password"), (k % 2 == 0).alias("bound"), (k % 11 != 2).alias("active"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("principal_id"), F.col("o_orderpriority").alias("organization_id"), F.when(F.col("o_orderstatus") == "P", "publisher").otherwise("member").alias("role"))
+    return sec.load_principals(accounts, accounts, orders, orders.select("organization_id").distinct(), ["1-URGENT", "5-LOW"])
+
+
 @query("account_scope_flt13", "WITH m AS (SELECT o_custkey AS account_id, o_orderpriority AS o FROM orders) SELECT c_custkey AS account_id FROM customer WHERE EXISTS (SELECT 1 FROM m WHERE account_id = c_custkey AND o IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')) AND NOT EXISTS (SELECT 1 FROM m WHERE account_id = c_custkey AND o NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'))")
 def account_scope(spark, sf_dir):
     accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"))
@@ -252,6 +269,25 @@ def providers(spark, sf_dir):
     return models.groupBy("n_regionkey").agg(F.min_by(F.when(~F.col("cooling"), F.col("n_name")), F.when(~F.col("cooling"), F.col("n_nationkey"))).alias("active"), F.count_if("cooling").alias("cooling"))
 
 
+#: Of the copies that stand in the folder already, under the names of the even parts: every fourth has other contents.
+STANDING = "SELECT p_name AS name, md5(p_name || CASE WHEN p_partkey % 4 = 0 THEN '!' ELSE '' END) AS digest FROM part WHERE p_partkey % 2 = 0"
+
+
+@query(
+    "upload_copies_ops06",
+    f"""WITH asked AS (SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'con.txt' WHEN 4 THEN p_name || '?' WHEN 7 THEN p_name || ' ' ELSE p_name END AS name, md5(p_name) AS digest FROM part),
+    standing AS (SELECT name, min(digest) AS low, max(digest) AS high FROM ({STANDING}) GROUP BY name)
+    SELECT p_partkey, CASE WHEN regexp_matches(a.name, '[/\\:\x00-\x1f<>|?*"]') OR regexp_matches(a.name, '[ .]$') OR length(a.name) > 240 THEN 'unsafe' WHEN upper(split_part(a.name, '.', 1)) IN ('CON', 'PRN', 'AUX', 'NUL') THEN 'reserved'
+      WHEN s.name IS NULL THEN 'copied' WHEN s.low = a.digest AND s.high = a.digest THEN 'identical_copy_exists' ELSE 'conflict' END AS status FROM asked a LEFT JOIN standing s ON a.name = s.name""",
+)
+def upload_copies(spark, sf_dir):
+    """Names for copies against the folder's listing, by contents."""
+    i, name = F.col("p_partkey"), F.col("p_name")
+    asked = table(spark, sf_dir, "part").select(i, F.when(i % 9 == 0, "con.txt").when(i % 9 == 4, F.concat(name, F.lit("?"))).when(i % 9 == 7, F.concat(name, F.lit(" "))).otherwise(name).alias("name"), F.md5(name.cast("binary")).alias("digest"))
+    standing = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(name.alias("name"), F.md5(F.concat(name, F.when(i % 4 == 0, "!").otherwise("")).cast("binary")).alias("digest"))
+    return it.copy_status(asked, standing).select("p_partkey", "status")
+
+
 @query("upload_names_ops06", r"SELECT p_partkey, CASE WHEN n IN ('CON', 'NUL', 'AUX') THEN 'reserved' WHEN regexp_matches(n, '[/\\:<>|?*]') THEN 'unsafe' WHEN p_partkey % 4 = 1 THEN 'identical' WHEN p_partkey % 4 = 2 THEN 'conflict' ELSE 'copy' END AS outcome FROM (SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'CON' WHEN 4 THEN p_name || '?' ELSE p_name END AS n FROM part)")
 def upload_names(spark, sf_dir):
     i = F.col("p_partkey")
@@ -259,9 +295,24 @@ def upload_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select(i, F.when(name.isin("CON", "NUL", "AUX"), "reserved").when(name.rlike(r"[/\\:<>|?*]"), "unsafe").when(i % 4 == 1, "identical").when(i % 4 == 2, "conflict").otherwise("copy").alias("outcome"))
 
 
+#: Filenames and whether they keep to the contract.
+NAMING_CASES = (
+    ("菏泽双龙_工艺设备表_燃烧系统_ZH.xls", True), ("AGICO_产品宣传册_EN.pdf", True), ("Cedar Plant_Equipment List_20261015_EN_V2.xlsx", True), ("回转窑_RK-081_总装图_ZH_R1.dwg", True), ("石灰煅烧厂_总平面布置图.pdf", True),
+    ("scan001.pdf", False), ("对象_文件.pdf", False), ("未知_设备清单.pdf", False), ("对象__设备清单.pdf", False), ("对象_设备清单_20260230_ZH.pdf", False), ("对象_设备清单_ZH_20261015.pdf", False), ("对象_设备清单_ZH_FR.pdf", False),
+    ("../对象_设备清单.pdf", False), ("对象_设备清单_待确认.pdf", False), ("对象_设备清单_中文.pdf", False), ("回转窑_设备清单_20261015_ZH_V2.exe", False), ("回转窑_设备清单_ZH-EN.PDF", True),
+)
+
+
+@query("naming_cases_str16", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {str(c).lower()})" for k, (_, c) in enumerate(NAMING_CASES)) + ") AS t(nr, compliant)")
+def naming_cases(spark, sf_dir):
+    """Expected rows are literal: nothing of the grammar is repeated."""
+    cases = spark.createDataFrame([(k, n) for k, (n, _) in enumerate(NAMING_CASES)], "nr int, name string")
+    return cases.select("nr", rs.compliant(F.col("name")).alias("compliant"))
+
+
 @query("compliant_names_str16")
 def compliant_names(spark, sf_dir):
-    """The naming grammar; held against a plain parser in the tests."""
+    """The naming grammar over all titles; ``naming_cases_str16`` holds it to literal rows."""
     return names(spark, sf_dir).select("p_partkey", "title", rs.compliant(F.col("title")).alias("compliant"))
 
 
@@ -316,7 +367,7 @@ REQUESTED = ("Brand#1 17 layout", "OPP-2024-000042 report", "Brand#12 112 steel
 
 @query("references_ord09_nam02")
 def references(spark, sf_dir):
-    """Scored references for five filenames; held against a plain version in the tests."""
+    """Scored references for five filenames, of all projects: scores are no equality, so every pair is scored."""
     wanted = spark.createDataFrame(list(enumerate(REQUESTED)), "request_id int, source string")
     known = projects(spark, sf_dir).select("project_id", "name", "code", F.get("aliases", F.lit(0)).alias("alias"))
     met = known.join(F.broadcast(wanted))  # five rows

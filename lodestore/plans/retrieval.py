@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestore.functions import text as tx
 from lodestore.operators import retrieval as rt
 from lodestore.operators import security as sec
-from lodestore.plans.base import ALICE, BOUND, CHUNKS, KB, SEGMENTED, chunks_of, documents, grants, query, readable_sql, table
+from lodestore.plans.base import LINES, ALICE, BOUND, CHUNKS, KB, SEGMENTED, chunks_of, documents, grants, query, readable_sql, table
 
 #: The query text of the registered searches, and its keywords.
 TEXT = "The reor of the tion"
@@ -28,17 +28,17 @@ def visible(spark: SparkSession, sf_dir: str, who=ALICE) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     """Vectors stand on the first chunk of the document of the same id."""
     found = table(spark, sf_dir, "embeddings").withColumn("doc_id", F.col("vec_id")).join(docs.select("doc_id"), "doc_id", "left_semi")
-    return found.select((F.col("doc_id") * 100000).alias("chunk_id"), "embedding")
+    return found.select((F.col("doc_id") * LINES).alias("chunk_id"), "embedding")
 
 
 LEXICAL = f"""lexical AS (
   SELECT chunk_id, row_number() OVER (ORDER BY value DESC, chunk_id) AS rank FROM (
-    SELECT doc_id * 100000 + ordinal AS chunk_id, 0.1::DOUBLE * len(list_filter({SEGMENTED.format('text')}, lambda t: t IN ('the', 'reor', 'of', 'tion'))) AS value FROM chunks)
+    SELECT doc_id * 2147483648 + ordinal AS chunk_id, 0.1::DOUBLE * len(list_filter({SEGMENTED.format('text')}, lambda t: t IN ('the', 'reor', 'of', 'tion'))) AS value FROM chunks)
   WHERE value > 0 ORDER BY value DESC, chunk_id LIMIT 1100
 )"""
 SEMANTIC = """semantic AS (
   SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM (
-    SELECT vec_id * 100000 AS chunk_id, round(list_cosine_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 9) AS distance
+    SELECT vec_id * 2147483648 AS chunk_id, round(list_cosine_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 9) AS distance
     FROM embeddings WHERE vec_id IN (SELECT doc_id FROM visible))
   WHERE distance < {near} ORDER BY distance, chunk_id LIMIT 1100
 )"""
@@ -47,7 +47,7 @@ HYBRID = f"""WITH {VISIBLE}, {LEXICAL}, {SEMANTIC.format(near=1.0)},
 fused AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM lexical UNION ALL SELECT * FROM semantic) GROUP BY chunk_id),
 page AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS place FROM fused)
 SELECT p.chunk_id, c.doc_id, p.score, p.place, left(c.text, 600) AS excerpt, length(c.text) > 600 AS excerpt_truncated
-FROM page p JOIN chunks c ON p.chunk_id = c.doc_id * 100000 + c.ordinal """
+FROM page p JOIN chunks c ON p.chunk_id = c.doc_id * 2147483648 + c.ordinal """
 
 
 def hybrid(spark: SparkSession, sf_dir: str, offset: int, limit: int) -> DataFrame:
@@ -72,7 +72,7 @@ def lexical(spark, sf_dir):
     return rt.lexical(chunks_of(visible(spark, sf_dir)), WORDS).select("chunk_id", F.col("rank").cast("long"))
 
 
-@query("lexical_no_words", f"WITH {VISIBLE} SELECT doc_id * 100000 + ordinal AS chunk_id, row_number() OVER (ORDER BY doc_id, ordinal) AS rank FROM chunks ORDER BY doc_id, ordinal LIMIT 1100")
+@query("lexical_no_words", f"WITH {VISIBLE} SELECT doc_id * 2147483648 + ordinal AS chunk_id, row_number() OVER (ORDER BY doc_id, ordinal) AS rank FROM chunks ORDER BY doc_id, ordinal LIMIT 1100")
 def lexical_no_words(spark, sf_dir):
     return rt.lexical(chunks_of(visible(spark, sf_dir)), []).select("chunk_id", F.col("rank").cast("long"))
 
@@ -148,7 +148,7 @@ def scope(spark, sf_dir):
 
 @query(
     "context_search",
-    f"""WITH {KB}, chunks AS ({CHUNKS} FROM kb WHERE state = 'published' AND {readable_sql(ALICE)} AND category_id = 'fr') SELECT doc_id * 100000 + ordinal AS chunk_id FROM chunks
+    f"""WITH {KB}, chunks AS ({CHUNKS} FROM kb WHERE state = 'published' AND {readable_sql(ALICE)} AND category_id = 'fr') SELECT doc_id * 2147483648 + ordinal AS chunk_id FROM chunks
     WHERE len(list_filter({SEGMENTED.format('text')}, lambda t: t = 'de')) > 0 ORDER BY len(list_filter({SEGMENTED.format('text')}, lambda t: t = 'de')) DESC, chunk_id LIMIT 5""",
 )
 def context_search(spark, sf_dir):

@@ -8,13 +8,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestore.functions import notices
+from lodestore.functions import contract, notices
 from lodestore.functions import text as tx
 from lodestore.functions.unicode import normalize, normalized
 from lodestore.operators import dataflow as df
 from lodestore.operators import lifecycle as lc
 from lodestore.operators import resolve as rs
 from lodestore.operators import retrieval as rt
+from lodestore.operators import security as sec
 from lodestore.plans import retrieval as rq
 
 
@@ -108,14 +109,42 @@ def test_version_fold_equals_replay(spark):
 @pytest.mark.parametrize(
     ("name", "good"),
     [
-        ("Plant_报告.pdf", True), ("Plant_报告_北线.pdf", True), ("Plant_报告_20240229_ZH_V2.pdf", True), ("Plant_报告_20230229.pdf", False), ("Plant_AX-1_尺寸图.pdf", True), ("Plant_AX 1_尺寸图.pdf", False),
-        ("Plant.pdf", False), ("P_报告.pdf", False), ("drawing 1_报告.pdf", False), ("Plant_报告.exe", False), ("Plant_未知.pdf", False), (" Plant_报告.pdf", False), ("Plant_报告_ZH_北线.pdf", False), ("Pl:ant_报告.pdf", False),
+        ("Plant_检验报告.pdf", True), ("Plant_检验报告_北线.pdf", True), ("Plant_检验报告_20240229_ZH_V2.pdf", True), ("Plant_检验报告_20230229.pdf", False), ("Plant_AX-1_总装图.pdf", True), ("Plant_AX 1_总装图.pdf", False),
+        ("Plant.pdf", False), ("P_检验报告.pdf", False), ("drawing 1_检验报告.pdf", False), ("Plant_检验报告.exe", False), ("Plant_未知.pdf", False), (" Plant_检验报告.pdf", False), ("Plant_检验报告_ZH_北线.pdf", False), ("Pl:ant_检验报告.pdf", False),
     ],
 )
 def test_compliant_names(spark, name, good):
     assert column(spark, [name], rs.compliant) == [good]
 
 
+def test_a_contract_is_data(spark):
+    assert len(contract.BUSINESS_TYPES) == 75 and len(contract.EXTENSIONS) == 33 and len(contract.LANGUAGES) == 11
+    names = [f"回转窑_{t}.pdf" for t in contract.BUSINESS_TYPES] + [f"回转窑_图纸_{x}.dwg" for x in contract.LANGUAGES] + [f"回转窑_图纸.{e}" for e in contract.EXTENSIONS]
+    assert column(spark, names, rs.compliant) == [True] * len(names)
+    assert column(spark, ["x" * 233 + "_图纸.pdf", "x" * 234 + "_图纸.pdf"], rs.compliant) == [True, False]
+
+
+def test_ancestors_of_a_deep_chain_and_a_cycle(spark):
+    rows = [(i, i - 1 if i else None) for i in range(70)] + [(100, 101), (101, 102), (102, 100)]
+    got = {(r["id"], r["ancestor"]): r["depth"] for r in sec.ancestors(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    assert got[(69, 0)] == 69 and len(got) == 70 * 71 // 2 + 9
+
+
+def test_principals(spark):
+    users = spark.createDataFrame([("a", "user", "active", True, False), ("s", "superadmin", "active", True, False), ("n", "user", "active", False, False), ("b", "user", "active", False, True), ("d", "user", "disabled", True, False), ("g", "user", "active", True, False)], "principal_id string, account_role string, status string, has_password boolean, bound boolean")
+    principals = spark.createDataFrame([(p, p != "g") for p in "asnbdg"], "principal_id string, active boolean")
+    members = spark.createDataFrame([("a", "x", "publisher"), ("b", "y", "member"), ("s", "x", "member"), ("d", "x", "publisher")], "principal_id string, organization_id string, role string")
+    orgs = spark.createDataFrame([("x",), ("y",), ("z",)], "organization_id string")
+    got = {tuple(r) for r in sec.load_principals(users, principals, members, orgs, ["x", "z"]).select("principal_id", "organization_id", "role").collect()}
+    assert got == {("a", "x", "publisher"), ("a", "z", "member"), ("b", "x", "member"), ("b", "y", "member"), ("b", "z", "member"), ("s", "x", "publisher"), ("s", "y", "publisher"), ("s", "z", "publisher")}
+
+
+def test_explicit_labels(spark):
+    rows = [("Karabakh Cement Plant", "x Karabakh cement-plant y", "Karabakh Cement Plant\nEPC contract", True), ("Karabakh Cement Plant", "x Karabakh cement plant y", "Karabakh Cement Plant\nnothing", False), ("Lime Project", "the lime project", "", True), ("", "x", "x", False), ("Other", "x", "x", False)]
+    got = spark.createDataFrame(rows, "p string, s string, o string, w boolean").select(rs.explicit_label(F.col("p"), F.col("s"), F.col("o")).alias("g"), "w").collect()
+    assert all(r["g"] == r["w"] for r in got)
+
+
 def test_notices_and_numbers(spark):
     frame = spark.createDataFrame([(["a", "PDF 3 页扫描正文采用 OCR 提取；未调用视觉 API。", "a", "b"],), (None,)], "w array<string>")
     assert [r[0] for r in frame.select(notices.public(F.col("w"))).collect()] == [["a", "b"], []]
