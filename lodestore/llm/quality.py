@@ -1,20 +1,22 @@
 """Quality classifier: supervised subword embeddings, averaged per document, with a softmax output.
 
-Every whitespace-separated word contributes the vector of its hash and of its hashed byte n-grams; of the hashed
-pairs of words, those of a word with itself share one vector. A document is the mean of these vectors; a linear layer and a softmax give the class. Training is stochastic gradient descent
-in numpy on the driver, over a bounded sample of labelled rows. Since output and mean are linear, scoring needs
-one number a hash bucket: that table (``2 ** bits`` floats) is what travels to the executors.
+Every whitespace-separated word contributes the vectors of its hash and of its hashed byte n-grams, and every two
+neighbours that of their hashed pair. A document is the mean of these vectors; a linear layer and a softmax give the
+class. Training is stochastic gradient descent in numpy on the driver, over a bounded sample of labelled rows. Since
+output and mean are linear, scoring needs one number a hash bucket: that table (``2 ** bits`` floats) is what travels
+to the executors.
+
+Rows: null and empty texts have no features and get the bias alone; repeated rows get equal scores; an empty table
+gives an empty one, and without labelled rows the score is 0.5.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,6 @@ from lodestore.llm.common import lean_batches, text_or_empty, worker_state
 #: Words whose numbers a worker keeps before it starts anew, and characters that are scored together.
 KEPT, CHUNK_CHARS = 300_000, 1_000_000
 NGRAMS = (3, 4)
-#: A word that repeats its predecessor counts as so many features.
-REPEATED = 8
 LEAST_STEPS = 1500
 
 
@@ -38,6 +38,12 @@ def features(word: str, mask: int) -> list[int]:
     return [zlib.crc32(raw) & mask, *(zlib.crc32(marked[i : i + n]) & mask for n in NGRAMS for i in range(len(marked) - n + 1))]
 
 
+def pairs(first: np.ndarray, second: np.ndarray, mask: int) -> np.ndarray:
+    """Buckets of pairs of neighbours, from the hashes of the words; a word beside itself is one pair, whichever word it is."""
+    mixed = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.where(first == second, 0, (mixed >> np.uint64(29)) & np.uint64(mask)).astype(np.int64)
+
+
 @dataclass
 class Model:
     """``table``: what each bucket adds to the difference of the two classes' logits; ``bias``: of this difference."""
@@ -65,19 +71,22 @@ def train(
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << bits, np.float32), float(np.log(p / (1 - p))))
     mask, rng = (1 << bits) - 1, np.random.default_rng(seed)
-    known = {"": 0}  # stands for a repeated word
-    flat, ends = array("i", [zlib.crc32(b"", 2) & mask]), array("q", [1])
-    docs: list[tuple[np.ndarray, np.ndarray]] = []
+    known: dict[str, int] = {}
+    flat, ends, hashes = array("i"), array("q"), array("L")
+    docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     for text in texts:
         words = text.split()
-        found = Counter(words)
-        for w in found:
+        for w in words:
             if w not in known:
                 known[w] = len(ends)
                 flat.extend(features(w, mask))
                 ends.append(len(flat))
-        found[""] = REPEATED * sum(map(eq, words, words[1:]))
-        docs.append((np.fromiter((known[w] for w in found), np.int32, len(found)), np.fromiter(found.values(), np.float32, len(found))))
+                hashes.append(zlib.crc32(w.encode("utf-8", "surrogatepass")))
+        of = np.fromiter((known[w] for w in words), np.int64, len(words))
+        crc = np.frombuffer(hashes, dtype=np.uint64)[of] if len(of) else np.zeros(0, np.uint64)
+        unique, counts = np.unique(of, return_counts=True)
+        pair, pair_counts = np.unique(pairs(crc[:-1], crc[1:], mask), return_counts=True)
+        docs.append((unique.astype(np.int32), counts.astype(np.float32), pair.astype(np.int32), pair_counts.astype(np.float32)))
     known.clear()
     sizes = np.diff(np.frombuffer(ends, dtype=np.int64), prepend=0)
     starts, buckets = np.frombuffer(ends, dtype=np.int64) - sizes, np.frombuffer(flat, dtype=np.int32)
@@ -98,7 +107,10 @@ def train(
             n = sizes[words]
             upto = np.cumsum(n)
             picked = buckets[np.repeat(starts[words] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
-            doc, weight = np.repeat(of_doc, n), np.repeat(counts, n)
+            couples = [len(docs[d][2]) for d in chosen]
+            picked = np.concatenate([picked, *(docs[d][2] for d in chosen)])
+            doc = np.concatenate([np.repeat(of_doc, n), np.repeat(np.arange(len(chosen)), couples)])
+            weight = np.concatenate([np.repeat(counts, n), *(docs[d][3] for d in chosen)])
             total = np.maximum(np.bincount(doc, weight, len(chosen)), 1).astype(np.float32)
             weight = weight / total[doc]
             hidden = np.stack([np.bincount(doc, weight * embedding[picked, k], len(chosen)) for k in range(dim)], 1).astype(np.float32)
@@ -129,7 +141,7 @@ class Scorer:
 
     def _forget(self) -> None:
         self.slot_of: dict[str, int] = {}
-        self.sums, self.counts = np.zeros(0), np.zeros(0)
+        self.sums, self.counts, self.hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
 
     def score(self, texts: list[str]) -> np.ndarray:
         out, at = [], 0
@@ -154,14 +166,15 @@ class Scorer:
             values = self.model.table[np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))]
             self.sums = np.concatenate([self.sums, np.add.reduceat(values.astype(np.float64), np.cumsum(n) - n)])
             self.counts = np.concatenate([self.counts, n])
+            self.hashes = np.concatenate([self.hashes, np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in new), np.uint64, len(new))])
             self.slot_of.update(zip(new, range(len(self.slot_of), len(self.slot_of) + len(new)), strict=True))
         slots = np.fromiter(map(self.slot_of.__getitem__, words), np.int64, len(words))
         of_doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        same = np.zeros(len(slots), dtype=bool)
-        same[1:] = (slots[1:] == slots[:-1]) & (of_doc[1:] == of_doc[:-1])
-        repeats = REPEATED * np.bincount(of_doc[same], minlength=len(docs))
-        total = np.bincount(of_doc, self.sums[slots], len(docs)) + repeats * float(self.model.table[zlib.crc32(b"", 2) & self.model.mask])
-        mean = total / np.maximum(np.bincount(of_doc, self.counts[slots], len(docs)) + repeats, 1)
+        crc, beside = self.hashes[slots], of_doc[1:] == of_doc[:-1]
+        couples = of_doc[1:][beside]
+        both = self.model.table[pairs(crc[:-1][beside], crc[1:][beside], self.model.mask)]
+        total = np.bincount(of_doc, self.sums[slots], len(docs)) + np.bincount(couples, both, len(docs))
+        mean = total / np.maximum(np.bincount(of_doc, self.counts[slots], len(docs)) + np.bincount(couples, minlength=len(docs)), 1)
         return 1 / (1 + np.exp(-(mean + self.model.bias)))
 
 
@@ -170,18 +183,30 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", **how) -> Model:
-    """Train on at most ``sample`` labelled rows (half of each class, those of least id hash) that are not held out.
+def fit(
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 4000, chars: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text", **how
+) -> Model:
+    """Train on at most ``sample`` labelled rows (half of each class, those of least id hash) that are not held out, and
+    of these on the first ones whose texts have ``chars`` characters together: what the driver holds is bounded.
 
-    Rows with other labels than 0 and 1 are left out; of a label given twice the greater counts.
+    Rows with other labels than 0 and 1 are left out, and ids that have both. Of an id with several texts the least one
+    is taken.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").filter(~held_out(F.col("_id")))
+    known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_also")).filter("_y = _also").drop("_also")
     n = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    halves = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2) for y in (0, 1)]
-    chosen = [(r["_id"], r["_y"]) for half in halves for r in half.collect()]
-    chosen_df = docs.sparkSession.createDataFrame(chosen, "_id long, _y int")
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(F.col(text_col)).alias("_text")).join(F.broadcast(chosen_df), "_id").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["_id"], r["_text"]))
+    halves = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2).collect() for y in (0, 1)]
+    spark, texts = docs.sparkSession, docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(F.col(text_col)).alias("_text"))
+    wanted = lambda rows: texts.join(F.broadcast(spark.createDataFrame(rows, "_id long, _y int")), "_id").groupBy("_id", "_y")
+    chosen = [(r["_id"], r["_y"]) for half in halves for r in half]
+    place, size = {i: k for half in halves for k, (i, _) in enumerate(half)}, {r["_id"]: r["n"] for r in wanted(chosen).agg(F.length(F.min("_text")).alias("n")).collect()}
+    fitting, room = [], chars
+    for row in sorted((r for r in chosen if r[0] in size), key=lambda r: (place[r[0]], r[1])):
+        room -= size[row[0]]
+        if room < 0 and len({y for _, y in fitting}) == 2:
+            break
+        fitting.append(row)
+    rows = sorted(wanted(fitting).agg(F.min("_text").alias("_text")).collect(), key=lambda r: r["_id"])
     prior = n.get(1, 0) / max(1, sum(n.values()))
     return train([r["_text"] for r in rows], [r["_y"] for r in rows], prior=prior, **how)
 
