@@ -170,19 +170,23 @@ def labelled_findings(spark: SparkSession, per_kind: int = 80, kinds: tuple[int,
     chosen = [KINDS[i] for i in (range(len(KINDS)) if kinds is None else kinds)]
     quoted = lambda values: "array(" + ", ".join(f"'{v}'" for v in values) + ")"
     one = lambda salt, values, n: f"element_at({values}, int(pmod(xxhash64(id, '{salt}'), {n})) + 1)"
-    word = lambda salt: one(salt, "words", len(dictionary()))
     signs = (" = ", "=", ": ", " := ", " => ", ":")
-    drawn = spark.range(0, per_kind * len(chosen), 1, 1).selectExpr("id", f"{quoted(dictionary())} words").selectExpr(
+    # The dictionary is a table, not a literal in every plan.
+    words, ids = spark.createDataFrame(list(enumerate(dictionary())), "nr int, word string"), spark.range(0, per_kind * len(chosen), 1, 1)
+    for salt, name in (("w", "wd"), ("e", "we"), ("f", "wf")):
+        nr = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(dictionary()))).cast("int")
+        ids = ids.withColumn("nr", nr).join(F.broadcast(words.withColumnRenamed("word", name)), "nr").drop("nr")
+    drawn = ids.coalesce(1).sortWithinPartitions("id").selectExpr(
         f"int(id % {len(chosen)}) kind", "sha2(concat('h', id), 256) hx", "translate(base64(unhex(sha2(concat('a', id), 256))), '+/=', 'kQ') an",
         "translate(translate(base64(unhex(sha2(concat('b', id), 256))), '+/=', 'kQ'), '0123456789', 'qZxWvKjHgB') al",
-        "translate(left(sha2(concat('d', id), 256), 20), 'abcdef', '123456') dg", "int(pmod(xxhash64(id, 'k'), 19)) k", f"{word('w')} wd", f"{word('e')} we", f"{word('f')} wf",
+        "translate(left(sha2(concat('d', id), 256), 20), 'abcdef', '123456') dg", "int(pmod(xxhash64(id, 'k'), 19)) k", "wd", "we", "wf",
         one("kw", quoted(NAMES), len(NAMES)) + " kw", one("op", quoted(signs), len(signs)) + " op", one("q", "array('\"', chr(39), '')", 3) + " q",
     )
     column = lambda n: "case kind " + " ".join(f"when {i} then {kind[n]}" for i, kind in enumerate(chosen)) + " end"
     return drawn.selectExpr(f"{column(1)} before", f"{column(2)} candidate", f"{column(3)} after", f"{column(0)} label")
 
 
-def train(findings: DataFrame, trees: int = 21, depth: int = 9, seed: int = 9) -> str:
+def train(findings: DataFrame, trees: int = 15, depth: int = 6, seed: int = 9) -> str:
     """SQL over an array ``f`` of features: the share of trees that call it a secret."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
