@@ -190,22 +190,6 @@ def _whole_sets(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return texts.join(nodes.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, tokens array<long>")
 
 
-def _by_rare_shingle(open_: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Rows (``bucket``, ``id``, ``n``, ``component``): each node under the shingles of its prefix, as the bucket.
-
-    Of a set of n shingles that share[0] / share[1] asks for at least a = ceil(n * share) common ones, any similar
-    set holds one of the n - a + 1 rarest. Shingles that one node alone has lead the order and find nobody, so they
-    are only counted.
-    """
-    tokens = sets.select("id", F.explode("tokens").alias("token"))
-    several = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "frequencies")
-    ranked = tokens.join(several, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("ranked"))
-    nodes = open_.select("id", "n", "component").distinct()
-    length = F.col("n") - F.ceil(F.col("n") * share[0] / share[1] - 1e-9) + 1 - (F.col("n") - F.size("ranked"))
-    prefix = F.slice("ranked", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
-    return nodes.join(ranked, "id").select(F.explode(prefix).alias("x"), "id", "n", "component").select(F.col("x.token").alias("bucket"), "id", "n", "component")
-
-
 def _block_links(open_: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) between components of a bucket, by blocks: of each document outside the largest component one link
     to each other component of the block. Blocks hold ``BLOCK`` rows of either side at most, about."""
@@ -286,10 +270,8 @@ def _judged(docs: DataFrame, width: int, share: tuple[int, int], bands: int, row
     open_ = _several_components(open_, labels)
     large = open_.filter(F.col("rows") > FEW)
     sets = materialize(_whole_sets(large, texts, width), "sets")
-    rare = _several_components(_by_rare_shingle(large, sets, share), labels)
-    few = open_.filter(F.col("rows") <= FEW).unionByName(rare.filter(F.col("rows") <= FEW))
-    pairs = _estimated(_pairs(few, share), nodes, least).select("a", "b")
-    crossing = materialize(pairs.unionByName(_block_links(rare.filter(F.col("rows") > FEW), sets, share)).distinct(), "crossing")
+    pairs = _estimated(_pairs(open_.filter(F.col("rows") <= FEW), share), nodes, least).select("a", "b")
+    crossing = materialize(pairs.unionByName(_block_links(large, sets, share)).distinct(), "crossing")
     labels = _joined(labels, materialize(_confirmed(crossing, texts, width, share), "linked"))
 
     placed = nodes.select(*keys, "id", "first").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
