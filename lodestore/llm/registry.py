@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm import bpe, chroma, fingerprints, license_scan, mixing, near_dedup, quality, secrets, sharding, substring_dedup
+from lodestore.llm import bitplanes, bpe, chroma, fingerprints, license_scan, mixing, near_dedup, quality, runs, secrets, sharding, substring_dedup, topk
 from lodestore.llm.common import materialize, settled, table
 
 
@@ -58,6 +58,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), edited=True, texts=False)
+
+
+def op13_bitplane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -70,6 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_near_dedup": op10_near_dedup,
+        "op11_exact_topk": op11_exact_topk,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_bitplane_clusters": op13_bitplane_clusters,
     }
 
 
@@ -79,4 +94,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_source_mixing": mixing.SQL.format(docs="documents"),
         "op8_substring_dedup": substring_dedup.SQL.format(docs="documents"),
         "op10_near_dedup": near_dedup.SQL.format(docs="documents"),
+        "op11_exact_topk": topk.SQL,
+        "op12_periodic_runs": runs.SQL,
+        "op13_bitplane_clusters": bitplanes.oracle(),
     }
