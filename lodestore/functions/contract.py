@@ -17,6 +17,6 @@ BUSINESS_TYPES = (
     "售后报告", "标准", "SOP", "报价模板", "培训计划", "培训材料", "经营报表", "管理制度", "预算", "会议纪要", "问题与核心诉求汇总", "Equipment List", "Scope of Works", "Scope of Work", "Basis of Design", "Process Flow Diagram",
     "Product Catalogue", "Technical Specification", "Performance Guarantee Requirements", "HSE Requirements",
 )
-#: Objects that say nothing, dates and versions.
+# Objects that say nothing, dates and versions; they too must equal the published contract.
 GENERIC_OBJECT = r"(?i)^(drawing\s*[0-9]*|图纸\s*[0-9]*|新建(文档|文件)|scan\s*[0-9]*|image\s*[0-9]*)$"
 DATE, VERSION = r"^(19|20)[0-9]{6}$", r"(?i)^[VR][0-9]{1,3}$"

@@ -136,15 +136,27 @@ def _compatible() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(one), "".join(one.values()), tuple(several)
 
 
+def _one_of(characters: str) -> str:
+    """A character class in ranges of neighbours."""
+    codes, ranges = sorted(map(ord, set(characters))), []
+    for code in codes:
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
+
+
 def compatible(text: Column) -> Column:
-    """NFKC, as far as readings are concerned: full-width and raised forms become plain ones. Stays in the JVM; the few
-    forms of several characters are replaced only in texts that have one."""
+    """NFKC, as far as readings are concerned: full-width and raised forms become plain ones. Stays in the JVM; ASCII
+    texts are left alone, and the few forms of several characters are replaced only in texts that have one."""
     from_, to, several = _compatible()
     plain = F.translate(text, from_, to)
     spelled = plain
     for mark, form in several:
         spelled = F.replace(spelled, F.lit(mark), F.lit(form))
-    return F.when(plain.rlike("[" + "".join(m for m, _ in several) + "]"), spelled).otherwise(plain)
+    marks = _one_of("".join(m for m, _ in several))
+    return F.when(F.octet_length(text) == F.char_length(text), text).when(text.rlike(marks), spelled).otherwise(plain)
 
 
 def numeric_tokens(text: Column) -> Column:
@@ -161,11 +173,12 @@ def equivalent_number(token: Column) -> Column:
 def with_numeric_gaps(df: DataFrame, evidence: str, summary: str, gaps: str = "gaps", readings: str = "readings") -> DataFrame:
     """``df`` with the readings of the evidence and, sorted, those without an equivalent in the summary (AGG13, SET03).
 
-    Tokens and their keys are columns, so each is computed once a row.
+    The readings are a column that two expressions use, so it is computed once a row; the keys of the summary are bound,
+    or the optimizer would move them into the lambda and compute them for every reading.
     """
-    tokens = df.select("*", numeric_tokens(F.col(evidence)).alias(readings), F.transform(numeric_tokens(F.col(summary)), equivalent_number).alias("_known"))
-    keyed = tokens.select("*", F.transform(readings, equivalent_number).alias("_keys"))
-    return keyed.select("*", F.array_sort(F.filter(readings, lambda t, i: ~F.array_contains("_known", F.get("_keys", i)))).alias(gaps)).drop("_known", "_keys")
+    known = F.transform(numeric_tokens(F.col(summary)), equivalent_number)
+    missing = bind(known, lambda keys: F.array_sort(F.filter(readings, lambda t: ~F.array_contains(keys, equivalent_number(t)))))
+    return df.withColumn(readings, numeric_tokens(F.col(evidence))).withColumn(gaps, missing)
 
 
 def numeric_gaps(evidence: Column, summary: Column) -> Column:
@@ -174,12 +187,23 @@ def numeric_gaps(evidence: Column, summary: Column) -> Column:
     return bind(actual, lambda known: F.array_sort(F.filter(numeric_tokens(evidence), lambda t: ~F.array_contains(known, equivalent_number(t)))))
 
 
+# The characters of a bare dimension. They must be these for the same texts to count as drawing text (FLT15).
+DIMENSION_MARKS = {
+    "digits and separators": "0123456789.,",
+    "signs": "+-−–—±=*/xX×",
+    "brackets": "()[]<>",
+    "degrees and diameters": "°ºφΦØø⌀",
+    "letters of radii, fits and threads": "RrHhMmKkFfGgJjSsPp",
+}
+
+
 def meaningful(text: Column) -> Column:
-    """Drawing text worth finding: codes, or two letters and not a bare dimension (FLT15)."""
+    """Drawing text worth finding (FLT15): a code (three numbers or more, joined by dots, underscores, slashes or hyphens,
+    and perhaps a word), or what has two letters and other characters than a bare dimension."""
     clean = F.btrim(text)
-    return F.when(clean == "", False).when(clean.rlike(r"^([0-9]+[._/-]){2,}[0-9]+([._/-][A-Za-z0-9_]+)?$"), True).when(
-        clean.rlike(r"^[\s0-9.,+−–—±°º×xX*/=()\[\]<>φΦØø⌀RrHhMmKkFfGgJjSsPp-]+$"), False
-    ).otherwise(F.regexp_count(clean, F.lit(r"\p{L}")) >= 2)
+    code = clean.rlike(r"^[0-9]+([._/-][0-9]+){2,}([._/-][A-Za-z0-9_]+)?$")
+    beyond = F.translate(F.regexp_replace(clean, r"\s", ""), "".join(DIMENSION_MARKS.values()), "") != ""
+    return (clean != "") & (code | (beyond & (F.regexp_count(clean, F.lit(r"\p{L}")) >= 2)))
 
 
 def broken_mapping(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestore.functions import contract
 from lodestore.operators import integrity as it
 from lodestore.operators import resolve as rs
 from lodestore.operators import security as sec
@@ -295,30 +296,54 @@ def upload_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select(i, F.when(name.isin("CON", "NUL", "AUX"), "reserved").when(name.rlike(r"[/\\:<>|?*]"), "unsafe").when(i % 4 == 1, "identical").when(i % 4 == 2, "conflict").otherwise("copy").alias("outcome"))
 
 
-#: Filenames and whether they keep to the contract.
-NAMING_CASES = (
-    ("菏泽双龙_工艺设备表_燃烧系统_ZH.xls", True), ("AGICO_产品宣传册_EN.pdf", True), ("Cedar Plant_Equipment List_20261015_EN_V2.xlsx", True), ("回转窑_RK-081_总装图_ZH_R1.dwg", True), ("石灰煅烧厂_总平面布置图.pdf", True),
-    ("scan001.pdf", False), ("对象_文件.pdf", False), ("未知_设备清单.pdf", False), ("对象__设备清单.pdf", False), ("对象_设备清单_20260230_ZH.pdf", False), ("对象_设备清单_ZH_20261015.pdf", False), ("对象_设备清单_ZH_FR.pdf", False),
-    ("../对象_设备清单.pdf", False), ("对象_设备清单_待确认.pdf", False), ("对象_设备清单_中文.pdf", False), ("回转窑_设备清单_20261015_ZH_V2.exe", False), ("回转窑_设备清单_ZH-EN.PDF", True),
-)
+@query("compliant_names_str16")
+def compliant_names(spark, sf_dir):
+    """The naming grammar over all titles; the tests hold it to literal rows."""
+    return names(spark, sf_dir).select("p_partkey", "title", rs.compliant(F.col("title")).alias("compliant"))
 
 
-@query("naming_cases_str16", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {str(c).lower()})" for k, (_, c) in enumerate(NAMING_CASES)) + ") AS t(nr, compliant)")
-def naming_cases(spark, sf_dir):
-    """Expected rows are literal: nothing of the grammar is repeated."""
-    cases = spark.createDataFrame([(k, n) for k, (n, _) in enumerate(NAMING_CASES)], "nr int, name string")
-    return cases.select("nr", rs.compliant(F.col("name")).alias("compliant"))
+#: Titles after the naming contract, with faults in some: an object, a business type, perhaps a topic, a date, a language, a version.
+TITLES = f"""SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'scan 7' ELSE split_part(p_name, ' ', 1) END || '_' || CASE WHEN p_partkey % 7 = 3 THEN 'notes' ELSE {{types}}[1 + p_partkey % {len(contract.BUSINESS_TYPES)}] END
+  || CASE p_partkey % 5 WHEN 1 THEN '_' || lower(p_brand) WHEN 2 THEN '_ZH_EN' ELSE '' END || CASE p_partkey % 4 WHEN 1 THEN '_2024' || lpad((1 + p_partkey % 14)::VARCHAR, 2, '0') || '30' WHEN 2 THEN '_20240229' ELSE '' END
+  || CASE p_partkey % 3 WHEN 0 THEN '_ZH' WHEN 1 THEN '_RU' ELSE '' END || CASE p_partkey % 6 WHEN 0 THEN '_V2' WHEN 4 THEN '_r12' ELSE '' END || CASE p_partkey % 11 WHEN 0 THEN '.exe' WHEN 1 THEN '' ELSE '.PDF' END AS title FROM part"""
 
 
-@query("compliant_names_str16")
-def compliant_names(spark, sf_dir):
-    """The naming grammar over all titles; ``naming_cases_str16`` holds it to literal rows."""
-    return names(spark, sf_dir).select("p_partkey", "title", rs.compliant(F.col("title")).alias("compliant"))
+def titles(spark, sf_dir):
+    i, when = F.col("p_partkey"), F.when
+    types = F.array(*(F.lit(t) for t in contract.BUSINESS_TYPES))
+    day = F.concat(F.lit("_2024"), F.lpad((1 + i % 14).cast("string"), 2, "0"), F.lit("30"))
+    title = F.concat(
+        when(i % 13 == 0, "scan 7").otherwise(F.split_part("p_name", F.lit(" "), F.lit(1))), F.lit("_"), when(i % 7 == 3, "notes").otherwise(F.get(types, (i % len(contract.BUSINESS_TYPES)).cast("int"))),
+        when(i % 5 == 1, F.concat(F.lit("_"), F.lower("p_brand"))).when(i % 5 == 2, "_ZH_EN").otherwise(""), when(i % 4 == 1, day).when(i % 4 == 2, "_20240229").otherwise(""),
+        when(i % 3 == 0, "_ZH").when(i % 3 == 1, "_RU").otherwise(""), when(i % 6 == 0, "_V2").when(i % 6 == 4, "_r12").otherwise(""), when(i % 11 == 0, ".exe").when(i % 11 == 1, "").otherwise(".PDF"),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", title.alias("title"))
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_SPOKEN = "|".join(contract.LANGUAGES)
+
+
+@query(
+    "contract_names_str16",
+    rf"""WITH t AS ({TITLES.replace('{types}', _listed(contract.BUSINESS_TYPES))}), s AS (SELECT *, regexp_replace(title, '([^/])\.[^./]+$', '\1') AS stem FROM t),
+    c AS (SELECT *, regexp_extract(stem, '^(.*?)(_(?:19|20)[0-9]{{6}})?(?:_(?:{_SPOKEN}))?(?:_[VRvr][0-9]{{1,3}})?$', 1) AS core, regexp_extract(stem, '^(.*?)(?:_((?:19|20)[0-9]{{6}}))?(?:_(?:{_SPOKEN}))?(?:_[VRvr][0-9]{{1,3}})?$', 2) AS day FROM s)
+    SELECT p_partkey, title, length(title) <= {contract.LONGEST} AND trim(title) = title AND NOT regexp_matches(title, '[/\\:<>|?*]') AND list_contains({_listed(contract.EXTENSIONS)}, lower(regexp_extract(title, '\.([^./]+)$', 1)))
+      AND (day = '' OR try_strptime(day, '%Y%m%d') IS NOT NULL) AND len(string_split(core, '_')) BETWEEN 2 AND 3 AND NOT regexp_matches('_' || stem || '_', '(?i)_(?:[ .]|{'|'.join(contract.PLACEHOLDERS)})?_')
+      AND NOT regexp_matches('_' || core || '_', '_(?:{_SPOKEN}|{'|'.join(contract.OTHER_LANGUAGE_NAMES)}|(?:19|20)[0-9]{{6}}|[VRvr][0-9]{{1,3}})_')
+      AND length(string_split(core, '_')[1]) >= 2 AND NOT regexp_matches(string_split(core, '_')[1], '{contract.GENERIC_OBJECT}') AND list_contains(list_transform({_listed(contract.BUSINESS_TYPES)}, lambda x: lower(x)), lower(string_split(core, '_')[2])) AS compliant FROM c""".replace("\\\\", "\\"),
+)
+def contract_names(spark, sf_dir):
+    return titles(spark, sf_dir).select("p_partkey", "title", rs.compliant(F.col("title")).alias("compliant"))
 
 
 @query("inquiry_names_str17", "SELECT c_custkey, regexp_extract(f, '(?i)^C[0-9]+_([A-Za-z][A-Za-z-]*)_([A-Za-z][A-Za-z0-9-]*)_([A-Za-z][A-Za-z0-9-]*)_销_((?:19|20)[0-9]{6})[0-9]{4}\\.pdf$', 2) AS product, CASE WHEN c_custkey % 2 = 0 THEN regexp_extract(f, '(?i)^C[0-9]+_([A-Za-z][A-Za-z-]*)_([A-Za-z][A-Za-z0-9-]*)_([A-Za-z][A-Za-z0-9-]*)_销_((?:19|20)[0-9]{6})[0-9]{4}\\.pdf$', 4) ELSE '' END AS business_date FROM (SELECT c_custkey, 'C' || c_custkey || '_Peru_' || c_mktsegment || '_Unknown_销_20240' || (1 + c_custkey % 9) || '151200.pdf' AS f FROM customer)")
 def inquiry_names(spark, sf_dir):
     """The date counts only where the document repeats it."""
+    # Fixed value: the grammar of generated inquiry filenames (STR17).
     pattern = r"(?i)^C[0-9]+_([A-Za-z][A-Za-z-]*)_([A-Za-z][A-Za-z0-9-]*)_([A-Za-z][A-Za-z0-9-]*)_销_((?:19|20)[0-9]{6})[0-9]{4}\.pdf$"
     f = F.concat(F.lit("C"), "c_custkey", F.lit("_Peru_"), "c_mktsegment", F.lit("_Unknown_销_20240"), 1 + F.col("c_custkey") % 9, F.lit("151200.pdf"))
     date = F.regexp_extract(f, pattern, 4)

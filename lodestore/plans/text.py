@@ -122,30 +122,6 @@ def numeric_gaps(spark, sf_dir):
     return done.select("l_orderkey", "l_linenumber", F.array_join("gaps", " ").alias("missing"), F.size("tokens").cast("long").alias("readings"))
 
 
-#: Evidence, summary, readings of the evidence that the summary lacks.
-NUMERIC_CASES = (
-    ("孔径 φ12；内侧 350", "孔径 R1.2；内侧 330", "350 φ12"), ("外径 Ø675 h8；公差 -0.125；圆角 R2", "外径 φ675 h8；公差 -0.125", "R2"), ("内侧350，允许±0.3", "内侧330，允许0.3", "350 ±0.3"), ("φ12 350 Ø675 h8 -0.125 R2", "φ12 350 Ø675 h8 -0.125 R2", ""),
-    ("φ12", "ø１２", ""), ("公差 －0.5 φ１２", "0.5", "-0.5 φ12"), ("角 45 ° 与 4⁵", "45°", "45"), ("½ 1.50 007", "1⁄2 1.5 7", ""), ("1,5 1.2.3", "1.5", "1,5 1.2.3"), ("㎜ 12㎜", "12mm", ""), ("10.0 100", "10 1e2", "100"),
-)
-
-
-@query("numeric_cases_str14", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{g}')" for k, (_, _, g) in enumerate(NUMERIC_CASES)) + ") AS t(nr, missing)")
-def numeric_cases(spark, sf_dir):
-    """Expected rows are literal: nothing of the expression is repeated."""
-    cases = spark.createDataFrame([(k, e, s) for k, (e, s, _) in enumerate(NUMERIC_CASES)], "nr int, evidence string, summary string")
-    return tx.with_numeric_gaps(cases, "evidence", "summary").select("nr", F.array_join("gaps", " ").alias("missing"))
-
-
-#: Texts and their tokens, joined by bars.
-SEGMENT_CASES = (("最高工作温度为80摄氏度", "最高|高工|工作|作温|温度|度为|80|摄氏|氏度"), ("AX-210B 型号", "ax|210b|型号|ax-210b"), ("水", "水"), ("plain words only", "plain|words|only"), ("", ""))
-
-
-@query("segmented_cases_str02_str03", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{g}')" for k, (_, g) in enumerate(SEGMENT_CASES)) + ") AS t(nr, tokens)")
-def segmented_cases(spark, sf_dir):
-    cases = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(SEGMENT_CASES)], "nr int, text string")
-    return cases.select("nr", F.array_join(tx.segmented(F.col("text")), "|").alias("tokens"))
-
-
 @query("timeout_str15", "SELECT doc_id, least(120 + n_chars * 5000 // 524288, 600) AS seconds FROM documents")
 def timeout(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.parse_timeout(F.col("n_chars") * 5000).alias("seconds"))
