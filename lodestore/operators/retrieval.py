@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestore.functions.text import segmented
+from lodestore.operators.postings import Postings
 
 POOL, PAGE_END, RRF = 1100, 1000, 60
 NEAR = 0.65
@@ -45,6 +46,13 @@ def lexical(chunks: DataFrame, words: list[str], pool: int = POOL) -> DataFrame:
     return ranked(scored.filter("value > 0") if words else scored, F.desc("value"), F.asc("chunk_id"), pool=pool)
 
 
+def lexical_of(index: Postings, words: list[str], visible: DataFrame, pool: int = POOL) -> DataFrame:
+    """``lexical`` from an index: the buckets of the words are read, and no text. ``visible``: ``doc_id`` of the documents
+    whose chunks count."""
+    scored = index.ranked(words).join(visible.select("doc_id"), "doc_id", "left_semi")
+    return ranked(scored, F.desc("value"), F.asc("doc_id"), F.asc("ordinal"), pool=pool).drop("value")
+
+
 def semantic(vectors: DataFrame, query: list[float], near: float = NEAR, pool: int = POOL) -> DataFrame:
     """``chunk_id``, ``rank`` of vectors nearer than ``near``; the query is a literal, so nothing is joined."""
     literal, length = F.array(*(F.lit(float(x)) for x in query)), math.sqrt(sum(float(x) ** 2 for x in query))

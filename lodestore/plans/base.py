@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestore.operators.postings import Postings
 from lodestore.operators.security import Principal
+from lodestore.sources.shared import derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +63,12 @@ def chunks_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).withColumn("chunk_id", F.col("doc_id") * LINES + F.col("ordinal"))
 
 
+def chunk_index(spark: SparkSession, sf_dir: str) -> Postings:
+    """The index of the chunks of all documents, in whatever state; made once a session and state of the table."""
+    source = table(spark, sf_dir, "documents")
+    return Postings(spark, derived(source, "postings", lambda folder: Postings(spark, folder).build(chunks_of(source.select("doc_id", "text")))))
+
+
 #: The same for DuckDB, as common table expressions.
 KB = """kb AS (
   SELECT doc_id, text, lang AS category_id, source AS organization_id, 'u' || (doc_id % 50) AS created_by,

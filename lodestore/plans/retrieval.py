@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestore.functions import text as tx
 from lodestore.operators import retrieval as rt
 from lodestore.operators import security as sec
-from lodestore.plans.base import LINES, ALICE, BOUND, CHUNKS, KB, SEGMENTED, chunks_of, documents, grants, query, readable_sql, table
+from lodestore.plans.base import LINES, ALICE, BOUND, CHUNKS, KB, SEGMENTED, chunk_index, chunks_of, documents, grants, query, readable_sql, table
 
 #: The query text of the registered searches, and its keywords.
 TEXT = "The reor of the tion"
@@ -50,10 +50,16 @@ SELECT p.chunk_id, c.doc_id, p.score, p.place, left(c.text, 600) AS excerpt, len
 FROM page p JOIN chunks c ON p.chunk_id = c.doc_id * 2147483648 + c.ordinal """
 
 
+def lexical_ranks(spark: SparkSession, sf_dir: str, words: list[str], docs: DataFrame, pool: int = rt.POOL) -> DataFrame:
+    """``chunk_id``, ``rank`` from the index of chunks."""
+    found = rt.lexical_of(chunk_index(spark, sf_dir), words, docs, pool)
+    return found.select((F.col("doc_id") * LINES + F.col("ordinal")).alias("chunk_id"), "rank")
+
+
 def hybrid(spark: SparkSession, sf_dir: str, offset: int, limit: int) -> DataFrame:
     docs = visible(spark, sf_dir)
     chunks = chunks_of(docs)
-    scores = rt.fused(rt.lexical(chunks, WORDS), rt.semantic(vectors(spark, sf_dir, docs), query_vector(spark, sf_dir), near=1.0))
+    scores = rt.fused(lexical_ranks(spark, sf_dir, WORDS, docs), rt.semantic(vectors(spark, sf_dir, docs), query_vector(spark, sf_dir), near=1.0))
     return rt.hydrated(rt.page(scores, offset, limit), chunks).select("chunk_id", "doc_id", "score", "place", "excerpt", "excerpt_truncated")
 
 
@@ -69,7 +75,7 @@ def hybrid_page(spark, sf_dir):
 
 @query("lexical_vec03", f"WITH {VISIBLE}, {LEXICAL} SELECT chunk_id, rank FROM lexical")
 def lexical(spark, sf_dir):
-    return rt.lexical(chunks_of(visible(spark, sf_dir)), WORDS).select("chunk_id", F.col("rank").cast("long"))
+    return lexical_ranks(spark, sf_dir, WORDS, visible(spark, sf_dir)).select("chunk_id", F.col("rank").cast("long"))
 
 
 @query("lexical_no_words", f"WITH {VISIBLE} SELECT doc_id * 2147483648 + ordinal AS chunk_id, row_number() OVER (ORDER BY doc_id, ordinal) AS rank FROM chunks ORDER BY doc_id, ordinal LIMIT 1100")
@@ -121,7 +127,7 @@ def filtered(spark, sf_dir):
 def files_search(spark, sf_dir):
     """Wildcards of the request act as wildcards; words match any chunk of the document."""
     docs, asked = visible(spark, sf_dir), "%an_%"
-    hit = chunks_of(docs).filter(F.array_contains(tx.segmented(F.col("text")), "an")).select("doc_id").distinct().withColumn("hit", F.lit(True))
+    hit = chunk_index(spark, sf_dir).holding(["an"]).withColumn("hit", F.lit(True))
     found = docs.join(hit, "doc_id", "left").filter(F.lower("title").like(asked) | (F.lower("model") == asked) | F.col("hit"))
     return found.select("doc_id", "title", F.when(F.lower(F.btrim("model")) == asked, 2).otherwise(0).alias("rank")).orderBy(F.desc("rank"), F.desc("doc_id")).limit(26)
 
@@ -153,7 +159,7 @@ def scope(spark, sf_dir):
 )
 def context_search(spark, sf_dir):
     """A search within one category."""
-    return rt.lexical(chunks_of(sec.matching(visible(spark, sf_dir), category="fr")), ["de"], pool=5).select("chunk_id")
+    return lexical_ranks(spark, sf_dir, ["de"], sec.matching(visible(spark, sf_dir), category="fr"), pool=5).select("chunk_id")
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestore.functions.text import without_nul
 from lodestore.operators.dataflow import sections
+from lodestore.sources.commits import read_active, write_generation  # noqa: F401
 
 TEXT = ("txt", "md", "markdown", "csv", "json", "log")
 GB_NOTICE = "文本按 GB18030 解码；请核对个别字符。"
@@ -74,29 +75,3 @@ def append_failures(events: DataFrame, folder: str) -> None:
     details = F.array_join(F.transform(F.array_sort(F.map_entries("details")), lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
     line = F.concat_ws(" | ", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"), "kind", F.regexp_replace("message", r"[\r\n]+", " "), details)
     events.select(line.alias("value")).write.mode("append").text(folder)
-
-
-def write_generation(chunks: DataFrame, folder: str, generation: int) -> None:
-    """All chunks of a generation in a folder of its own, then one more row in the log of switches, which is the pointer:
-    a row appears whole or not at all, so readers see the old generation or the new one (SNK01)."""
-    spark = chunks.sparkSession
-    chunks.write.mode("overwrite").parquet(f"{folder}/generation={generation}")
-    nth = (_switches(spark, folder).agg(F.max("nth")).first()[0] or 0) + 1
-    spark.createDataFrame([(nth, generation)], SWITCH).coalesce(1).write.mode("append").parquet(f"{folder}/_switches")
-
-
-SWITCH = "nth long, generation int"
-
-
-def _switches(spark: SparkSession, folder: str) -> DataFrame:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_switches")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(SWITCH).parquet(f"{folder}/_switches") if there else spark.createDataFrame([], SWITCH)
-
-
-def read_active(spark: SparkSession, folder: str) -> DataFrame:
-    """The chunks of the generation that the last switch names. The log has one row a switch; one of them is read."""
-    last = _switches(spark, folder).agg(F.max_by("generation", F.struct("nth", "generation"))).first()[0]
-    if last is None:
-        raise FileNotFoundError(f"no generation is active in {folder}")
-    return spark.read.parquet(f"{folder}/generation={last}")
