@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from lodestore.functions import notices
 from lodestore.functions import text as tx
+from lodestore.operators.segmentation import Segmenter, learn
 from lodestore.plans.base import KB, documents, query, table
+from lodestore.sources.shared import derived
 
 FOLD = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 #: Lines of documents, the units that most functions are applied to.
@@ -122,6 +124,29 @@ def numeric_gaps(spark, sf_dir):
     return done.select("l_orderkey", "l_linenumber", F.array_join("gaps", " ").alias("missing"), F.size("tokens").cast("long").alias("readings"))
 
 
+def unspaced(spark, sf_dir):
+    """``doc_id``, ``text``: the letters of each document in one run, as text without blanks."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.regexp_replace("text", r"[^\p{L}]+", "")).alias("text"))
+
+
+def vocabulary_of(spark, sf_dir):
+    """Words of up to four letters, learned from the texts without their blanks; made once a session and state of the table."""
+    source = table(spark, sf_dir, "documents")
+    folder = derived(source, "vocabulary", lambda f: learn(unspaced(spark, sf_dir), least=20, cohesion=1.5, runs=r"\p{L}+").write.parquet(f))
+    return spark.read.schema("word string, n long").parquet(folder)
+
+
+@query("segmented_documents_str02_str03")
+def segmented_documents(spark, sf_dir):
+    """Texts whose blanks were taken out, cut into words of a vocabulary learned from them, beyond SQL: held against a plain
+    dynamic program in the tests. ``found``: the words that the texts had."""
+    words = Segmenter(vocabulary_of(spark, sf_dir), r"\p{L}+").words
+    known = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("own"))
+    cut = unspaced(spark, sf_dir).select("doc_id", words(F.array("text"), search=False).alias("cut"), words(F.array("text")).alias("search"))
+    digest = lambda c: F.sha2(F.array_join(c, "|"), 256)
+    return cut.join(known, "doc_id").select("doc_id", F.size("cut").alias("n_words"), F.size("search").alias("n_search"), F.size(F.array_intersect("own", "cut")).alias("found"), digest("cut").alias("cut_sha256"), digest("search").alias("search_sha256"))
+
+
 @query("timeout_str15", "SELECT doc_id, least(120 + n_chars * 5000 // 524288, 600) AS seconds FROM documents")
 def timeout(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.parse_timeout(F.col("n_chars") * 5000).alias("seconds"))
