@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestore.functions import contract
 from lodestore.operators import integrity as it
+from lodestore.operators import merkle as mk
 from lodestore.operators import resolve as rs
 from lodestore.operators import security as sec
 from lodestore.plans.base import ALICE, KB, chunks_of, documents, grants, query, readable_sql, table
@@ -302,6 +303,52 @@ def compliant_names(spark, sf_dir):
     return names(spark, sf_dir).select("p_partkey", "title", rs.compliant(F.col("title")).alias("compliant"))
 
 
+#: Items of orders as text, and the same after changes: other quantities, lines gone, lines twice.
+ITEMS = "SELECT CAST(l_orderkey AS VARCHAR) AS k, CAST(l_linenumber AS VARCHAR) AS line, CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR) AS quantity, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS price, CAST(l_shipdate AS DATE)::VARCHAR AS shipped FROM lineitem"
+CHANGED = "SELECT k, line, CASE WHEN l % 997 = 5 THEN '0.00' ELSE quantity END AS quantity, price, shipped FROM (SELECT *, CAST(k AS BIGINT) AS l FROM items) WHERE l % 499 <> 7 UNION ALL SELECT * FROM items WHERE CAST(k AS BIGINT) % 1499 = 11"
+MERKLE_DEPTH = 3
+
+
+def items(spark, sf_dir):
+    amount = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("k"), F.col("l_linenumber").cast("string").alias("line"), amount("l_quantity").alias("quantity"), amount("l_extendedprice").alias("price"), F.col("l_shipdate").cast("date").cast("string").alias("shipped")
+    )
+
+
+def changed_items(spark, sf_dir):
+    all_, key = items(spark, sf_dir), F.col("k").cast("long")
+    kept = all_.filter(key % 499 != 7).withColumn("quantity", F.when(key % 997 == 5, "0.00").otherwise(F.col("quantity")))
+    return kept.unionByName(all_.filter(key % 1499 == 11))
+
+
+_NODES = " UNION ALL ".join(f"SELECT {d}::INT AS depth, prefix, n_rows, digest FROM l{d}" for d in range(MERKLE_DEPTH, -1, -1))
+
+
+@query(
+    "merkle_agg19",
+    f"""WITH items AS ({ITEMS}), r AS (SELECT sha256('{{"k":"' || k || '","line":"' || line || '","price":"' || price || '","quantity":"' || quantity || '","shipped":"' || shipped || '"}}') AS row FROM items),
+    c AS (SELECT row, count(*) AS n FROM r GROUP BY row), l{MERKLE_DEPTH} AS (SELECT left(row, {MERKLE_DEPTH}) AS prefix, sum(n)::BIGINT AS n_rows, sha256(string_agg(row || ':' || n, chr(10) ORDER BY row)) AS digest FROM c GROUP BY 1), """
+    + ", ".join(f"l{d} AS (SELECT left(prefix, {d}) AS prefix, sum(n_rows)::BIGINT AS n_rows, sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix)) AS digest FROM l{d + 1} GROUP BY 1)" for d in range(MERKLE_DEPTH - 1, -1, -1))
+    + " "
+    + _NODES,
+)
+def merkle_tree(spark, sf_dir):
+    """The digests of all ranges of ``lineitem`` and of the nodes above them."""
+    return mk.tree(mk.leaves(items(spark, sf_dir), MERKLE_DEPTH), MERKLE_DEPTH)
+
+
+@query(
+    "merkle_changes_ops03_ops04_set08",
+    f"""WITH items AS ({ITEMS}), changed AS ({CHANGED}),
+    g AS (SELECT k, line, quantity, price, shipped, sum(x) AS more FROM (SELECT *, 1 AS x FROM items UNION ALL SELECT *, -1 AS x FROM changed) GROUP BY ALL HAVING sum(x) <> 0)
+    SELECT CASE WHEN more > 0 THEN 'before' ELSE 'after' END AS side, abs(more)::BIGINT AS times, k, line, quantity, price, shipped FROM g""",
+)
+def merkle_changes(spark, sf_dir):
+    """The rows by which a changed copy differs, found below the nodes that differ."""
+    return mk.changes(items(spark, sf_dir), changed_items(spark, sf_dir), MERKLE_DEPTH).select("side", "times", "k", "line", "quantity", "price", "shipped")
+
+
 #: Titles after the naming contract, with faults in some: an object, a business type, perhaps a topic, a date, a language, a version.
 TITLES = f"""SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'scan 7' ELSE split_part(p_name, ' ', 1) END || '_' || CASE WHEN p_partkey % 7 = 3 THEN 'notes' ELSE {{types}}[1 + p_partkey % {len(contract.BUSINESS_TYPES)}] END
   || CASE p_partkey % 5 WHEN 1 THEN '_' || lower(p_brand) WHEN 2 THEN '_ZH_EN' ELSE '' END || CASE p_partkey % 4 WHEN 1 THEN '_2024' || lpad((1 + p_partkey % 14)::VARCHAR, 2, '0') || '30' WHEN 2 THEN '_20240229' ELSE '' END
