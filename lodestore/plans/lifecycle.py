@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lodestore.functions.text import generic_title_named
 from lodestore.operators import lifecycle as lc
 from lodestore.plans.base import KB, documents, query, table
+from lodestore.streaming import timers as tm
+from lodestore.streaming.timers import Leases
 
 #: Jobs made of orders; all times are compared with one instant.
 AS_OF = "1995-06-01 00:00:00"
@@ -111,6 +113,43 @@ def cooldown(spark, sf_dir):
     return spells.groupBy("user_id", "spell").agg(F.count(F.lit(1)).alias("failures"), F.unix_micros((F.max("ts") + half).cast("timestamp")).alias("ends"))
 
 
+#: The events are days apart, so are these leases.
+LEASES = Leases(lease=3 * 86400, most=3, wait=86400, keep=20 * 86400)
+
+
+def job_events(spark, sf_dir):
+    """Events as those of a job for each user; the fence they bring is the number of claims before them, up to three."""
+    kind = F.col("event_type")
+    action = F.when(kind == "click", "claim").when(kind == "view", "renew").when(kind == "purchase", "finish").when(kind == "error", "fail").otherwise("defer")
+    before = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), action.alias("action"))
+    return events.withColumn("fence", F.greatest(F.lit(1), F.least(F.lit(3), F.sum((F.col("action") == "claim").cast("long")).over(before))).cast("long"))
+
+
+@query(
+    "lease_timers_stm02_stm03",
+    """WITH RECURSIVE a AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS sec, CASE event_type WHEN 'click' THEN 'claim' WHEN 'view' THEN 'renew' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'fail' ELSE 'defer' END AS action,
+        row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    e AS (SELECT *, greatest(1, least(3, sum((action = 'claim')::INT) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING))) AS given FROM a),
+    w AS (
+      SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS sec, '' AS action, false AS ok, 0::BIGINT AS fence, 0::BIGINT AS attempts, -1::BIGINT AS until, 0::BIGINT AS due, false AS done, NULL::BIGINT AS last, NULL::BIGINT AS told, 0::BIGINT AS told_fence, 0::BIGINT AS told_attempts FROM e WHERE n = 1
+      UNION ALL
+      SELECT user_id, n, sec, action, ok, CASE WHEN ok AND action = 'claim' THEN fence + 1 ELSE fence END, CASE WHEN ok AND action = 'claim' THEN attempts + 1 WHEN ok AND action = 'defer' THEN attempts - 1 ELSE attempts END,
+        CASE WHEN NOT ok THEN until WHEN action IN ('claim', 'renew') THEN sec + 259200 ELSE -1 END, CASE WHEN ok AND action IN ('finish', 'fail', 'defer') THEN sec + 86400 ELSE due END,
+        CASE WHEN ok AND action IN ('finish', 'fail', 'defer') THEN action = 'finish' OR (action = 'fail' AND attempts >= 3) ELSE done END, sec, told, told_fence, told_attempts
+      FROM (SELECT *, CASE WHEN action = 'claim' THEN NOT done AND until < 0 AND sec >= due AND attempts < 3 ELSE until >= 0 AND given = fence END AS ok FROM (
+        SELECT user_id, n, sec, action, given, told, told_fence, told_attempts, until, CASE WHEN gone THEN 0 ELSE fence END AS fence, CASE WHEN gone THEN 0 ELSE attempts END AS attempts, CASE WHEN gone THEN 0 ELSE due END AS due, NOT gone AND done AS done FROM (
+          SELECT e.user_id, e.n, e.sec, e.action, e.given, w.fence, w.attempts, CASE WHEN w.until >= 0 AND w.until < e.sec THEN w.until END AS told, w.fence AS told_fence, w.attempts AS told_attempts, CASE WHEN w.until < e.sec THEN -1 ELSE w.until END AS until,
+            CASE WHEN w.until >= 0 AND w.until < e.sec THEN w.until ELSE w.due END AS due, CASE WHEN w.until >= 0 AND w.until < e.sec THEN w.attempts >= 3 ELSE w.done END AS done,
+            w.until < e.sec AND coalesce(CASE WHEN w.until >= 0 THEN w.until ELSE w.last END + 1728000 < e.sec, false) AS gone
+          FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))))
+    SELECT user_id::VARCHAR AS key, sec AS "at", action, CASE WHEN ok THEN 'accepted' ELSE 'rejected' END AS outcome, fence, attempts FROM w WHERE n > 0 UNION ALL SELECT user_id::VARCHAR, told, 'lease', 'expired', told_fence, told_attempts FROM w WHERE told IS NOT NULL""",
+)
+def lease_timers(spark, sf_dir):
+    """Leases, retries and leases that ran out before the next event; ``streaming.timers.stream`` gives the same rows."""
+    return tm.batch(job_events(spark, sf_dir), LEASES, "user_id", "ts", "event_id")
+
+
 @query("fresh_stm09", "SELECT user_id, arg_max(event_id, ts) AS event_id, max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY AS fresh FROM events GROUP BY user_id")
 def fresh(spark, sf_dir):
     events = table(spark, sf_dir, "events")
