@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,39 +47,53 @@ def furniture(lines: DataFrame, group: str, page: str, line: str, share: float =
     return found.join(total, group).filter(F.col("on_pages") >= F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("_pages")))).select(group, line, "on_pages")
 
 
+_WORD, _WORDS = re.compile(r"\S+", re.ASCII), re.compile(r"\s*\S+\s*\Z|\s*\S+", re.ASCII)
+
+
+def pack_lines(lines: list[str], budget: int, header: bool = True) -> list[str]:
+    """Greedy packing of lines into pieces of at most ``budget`` words: see ``packed``. In time of the text's length."""
+    counts = [len(_WORD.findall(t)) for t in lines]
+    first = lines[0] if lines else ""
+    heads = header and len(lines) > 1 and first != "" and counts[0] <= min(32, budget // 3)
+    done: list[str] = []
+    parts: list[str] = []  # of the open piece, which is empty until a line is not
+    n = 0
+    for line, many in zip(lines, counts, strict=True):
+        if n + many <= budget:
+            if parts or line:
+                parts.append(line)
+            n += many
+            continue
+        if parts:
+            done.append("\n".join(parts))
+        headed = heads and bool(done) and line != first
+        head, taken = ([first], counts[0]) if headed else ([], 0)
+        room = budget - taken
+        if many <= room:
+            parts, n = [*head, line], taken + many
+        else:
+            words, size = _WORDS.findall(line), max(1, room)
+            pieces = ["".join(words[i : i + size]) for i in range(0, len(words), size)]
+            done += ["\n".join([*head, p]) for p in pieces[:-1]]
+            parts, n = [*head, pieces[-1]], taken + (len(words) - 1) % size + 1
+    if parts:
+        done.append("\n".join(parts))
+    return done
+
+
 def packed(texts: Column, budget: int, header: bool = True) -> Column:
     """Greedy packing of an array of lines into pieces of at most ``budget`` words (CHK02, WIN07).
 
-    A fold over the lines: a line that does not fit begins a new piece, headed by the first line again if that has
-    at most min(32, budget // 3) words. A line of more than the budget is cut into pieces of its own (CHK03).
+    A line that does not fit begins a new piece, headed by the first line again if that has at most min(32, budget // 3)
+    words. A line of more than the budget is cut into pieces of its own (CHK03). Each piece depends on where the one
+    before ended, which in the JVM's array functions means a fold that copies all it has made; so Arrow batches and a loop.
     """
-    count = lambda t: F.regexp_count(t, F.lit(r"\S+"))
-    line0 = F.coalesce(F.get(texts, F.lit(0)), F.lit(""))
-    heads = (count(line0) <= min(32, budget // 3)) & F.lit(header) & (F.size(texts) > 1) & (line0 != "")
-    # What every step needs is computed once and bound to the variable of an outer lambda.
-    bound = F.struct(
-        F.transform(texts, lambda t: F.struct(t.alias("line"), count(t).alias("n"))).alias("lines"), line0.alias("first"), heads.alias("heads"), count(line0).alias("n")
-    )
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
-
-    def fold(env: Column) -> Column:
-        def step(state: Column, x: Column) -> Column:
-            line = x["line"]
-            candidate = F.when(state["open"] == "", line).otherwise(F.concat(state["open"], F.lit("\n"), line))
-            fits = F.struct(state["done"].alias("done"), candidate.alias("open"), (state["n"] + x["n"]).alias("n"))
-            closed = F.when(state["open"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
-            headed = env["heads"] & (F.size(closed) > 0) & (line != env["first"])
-            head, room = F.when(headed, F.concat(env["first"], F.lit("\n"))).otherwise(F.lit("")), F.lit(budget) - F.when(headed, env["n"]).otherwise(0)
-            whole = F.struct(closed.alias("done"), F.concat(head, line).alias("open"), (x["n"] + F.lit(budget) - room).alias("n"))
-            pieces = F.transform(hard_split(line, F.greatest(F.lit(1), room)), lambda p: F.concat(head, p))
-            cut = F.struct(F.concat(closed, F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("done"), F.element_at(pieces, -1).alias("open"), count(F.element_at(pieces, -1)).alias("n"))
-            return F.when(state["n"] + x["n"] <= budget, fits).when(x["n"] <= room, whole).otherwise(cut)
 
-        return F.aggregate(env["lines"], empty, step)
+    @F.pandas_udf("array<string>")
+    def run(series: pd.Series) -> pd.Series:
+        return series.map(lambda lines: None if lines is None else pack_lines(list(lines), budget, header))
 
-    state = F.get(F.transform(F.array(bound), fold), F.lit(0))
-    done = F.transform(F.array(state), lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
-    return F.get(done, F.lit(0))
+    return run(texts)
 
 
 def hard_split(text: Column, budget: Column | int) -> Column:
@@ -93,9 +110,10 @@ def split_chunks(chunks: DataFrame, limit: int, key: str = "chunk_id", text: str
     and ``parts`` is their number; other chunks stay, with part and parts null (WIN12)."""
     budget = max(1, min(limit - 1, int(limit * 0.85)))
     n = F.regexp_count(F.col(text), F.lit(r"\S+"))
-    lines = chunks.select(key, text, F.split(text, "\n").alias("_lines"))  # a column, or each step of the fold would split again
-    pieces = F.when(n <= limit, F.array(text)).otherwise(packed(F.col("_lines"), budget))
-    out = lines.select(key, pieces.alias("_pieces")).select(key, F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_at", "text"))
+    long = F.when(n > limit, F.split(text, "\n"))  # null for the others, so only long texts pass through Python
+    lines = chunks.select(key, text, packed(long, budget).alias("_packed"))
+    out = lines.select(key, F.coalesce("_packed", F.array(text)).alias("_pieces")).filter(F.col(text).isNotNull())
+    out = out.select(key, F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_at", "text"))
     many = F.col("_n") > 1
     return out.select(key, "text", F.when(many, F.col("_at") + 1).cast("long").alias("part"), F.when(many, F.col("_n")).cast("long").alias("parts"))
 

@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, against plain versions; and plans that must have a certain shape."""
 
 import re
+import time
 from itertools import pairwise
 
 import pytest
@@ -29,13 +30,13 @@ def test_normalize(spark):
 
 
 def cut(line, budget):
-    words = re.findall(r"\s*\S+\s*$|\s*\S+", line)
+    words = re.findall(r"(?a)\s*\S+\s*\Z|\s*\S+", line)
     return ["".join(words[i : i + budget]) for i in range(0, len(words), budget)] or [line]
 
 
 def pack(lines, budget):
     """Greedy packing in a loop."""
-    n = lambda t: len(t.split())
+    n = lambda t: len(re.findall(r"(?a)\S+", t))
     head = lines[0] if len(lines) > 1 and lines[0] and n(lines[0]) <= min(32, budget // 3) else None
     out, current = [], ""
     for line in lines:
@@ -58,6 +59,24 @@ def test_packed_equals_loop(spark):
     assert got == [pack(t.split("\n"), 10) for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab \t\x0b\u2028", max_size=40), min_size=1, max_size=20), st.integers(1, 12))
+def test_packing_equals_loop(lines, budget):
+    assert df.pack_lines(lines, budget) == pack(lines, budget)
+
+
+def test_packing_is_linear():
+    def seconds(n):
+        lines = ["head line"] + [f"row {i} of the table" for i in range(n)]
+        began = time.perf_counter()
+        pieces = df.pack_lines(lines, 200)
+        return time.perf_counter() - began, pieces
+
+    few, _ = seconds(100_000)
+    many, pieces = seconds(1_000_000)
+    assert many < 25 * few + 1 and sum(p.count("row ") for p in pieces) == 1_000_000 and all(p.startswith("head line\n") for p in pieces)
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="ab \t\n", max_size=40), min_size=1, max_size=20))
 def test_hard_split_keeps_all(spark, texts):
