@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestore.functions.text import segmented
 from lodestore.operators.postings import Postings
+from lodestore.operators.vectors import VectorIndex
 
 POOL, PAGE_END, RRF = 1100, 1000, 60
 NEAR = 0.65
@@ -62,6 +63,12 @@ def semantic(vectors: DataFrame, query: list[float], near: float = NEAR, pool: i
     return ranked(scored.filter(F.col("distance") < near), F.asc("distance"), F.asc("chunk_id"), pool=pool)
 
 
+def semantic_of(index: VectorIndex, query: list[float], visible: DataFrame, near: float = NEAR, pool: int = POOL) -> DataFrame:
+    """``semantic`` from an index: ``doc_id``, ``ordinal``, ``rank``; clusters that hold nothing near are not read."""
+    found = index.near(query, near).join(visible.select("doc_id"), "doc_id", "left_semi")
+    return ranked(found, F.asc("distance"), F.asc("doc_id"), F.asc("ordinal"), pool=pool).drop("distance")
+
+
 def fused(*lists: DataFrame) -> DataFrame:
     """``chunk_id``, ``score``: the sum of 1 / (60 + rank) over the lists (AGG08, JOI10)."""
     union = lists[0].select("chunk_id", "rank")

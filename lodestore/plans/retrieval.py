@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from lodestore.functions import text as tx
 from lodestore.operators import retrieval as rt
 from lodestore.operators import security as sec
+from lodestore.operators.vectors import VectorIndex
 from lodestore.plans.base import LINES, ALICE, BOUND, CHUNKS, KB, SEGMENTED, chunk_index, chunks_of, documents, grants, query, readable_sql, table
+from lodestore.sources.shared import derived
 
 #: The query text of the registered searches, and its keywords.
 TEXT = "The reor of the tion"
@@ -89,6 +91,19 @@ def vector(spark, sf_dir):
     return rt.semantic(vectors(spark, sf_dir, docs), query_vector(spark, sf_dir)).select("chunk_id", F.col("rank").cast("long"))
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The index of all vectors, each on the first chunk of the document of its id."""
+    source = table(spark, sf_dir, "embeddings")
+    return VectorIndex(spark, derived(source, "vectors", lambda folder: VectorIndex(spark, folder).build(source.select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("ordinal"), "embedding"))))
+
+
+@query("vector_pruned_vec01", f"WITH {VISIBLE}, {SEMANTIC.format(near=0.65)} SELECT chunk_id, rank FROM semantic")
+def vector_pruned(spark, sf_dir):
+    """The same search by the index, which reads the clusters that can hold something near."""
+    found = rt.semantic_of(vector_index(spark, sf_dir), query_vector(spark, sf_dir), visible(spark, sf_dir))
+    return found.select((F.col("doc_id") * LINES + F.col("ordinal")).alias("chunk_id"), F.col("rank").cast("long"))
+
+
 @query("vector_loose_vec01", f"WITH {VISIBLE}, {SEMANTIC.format(near=1.0)} SELECT chunk_id, rank FROM semantic")
 def vector_loose(spark, sf_dir):
     docs = visible(spark, sf_dir)
