@@ -4,10 +4,10 @@ A candidate is a block of a private key, the password of a URL, a value of any l
 keyword and an assignment or quote, or else a run of at least 16 characters of the alphabets that keys are written in,
 with a digit and without leading ``name=``. The pattern passes over a run once, so its time is linear in the text. The
 features of a candidate are its length, shares of character classes and transitions between them, how much of it
-words of a dictionary cover, its look as a path or reference, and its neighbouring words; those that look inside see
-its first ``INSIDE`` characters. The forest is trained by Spark's own library from labelled findings and then turned
-into one SQL expression, so a scan is one pass over the texts: no shuffle, no join, and a document's text never leaves
-its row.
+words of a dictionary cover, its look as a path or reference, and its neighbouring words, all of the whole candidate. The forest is
+trained by Spark's own library from labelled findings and then turned into tables of nodes that one SQL expression
+walks, so a scan is one pass over the texts: no shuffle, no join, a document's text never leaves its row, and the plan
+grows by some numbers a node.
 
 Rows: null texts are empty and have no candidates; repeated rows have equal results; an empty table gives an empty one.
 """
@@ -39,7 +39,7 @@ BEHIND_NAME = r"(?<==)(?<=(?<![A-Za-z0-9+/=_.@-])(|[A-Za-z0-9+/_.@-]{1,80}={1,3}
 #: Where a value may begin, told from few characters: spares ``ASSIGNED`` at almost all words.
 NEAR = r"(?<=[:=\"'(]|[:=>rcnRCN][ \t]|[ \t]{2})(?<=[:=>\"'(][ \t]{0,4}|(?i:bearer|basic|token)[ \t]{1,4})"
 BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(-----END [A-Z ]{0,40}PRIVATE KEY-----)?+"
-URL_PASSWORD = r"(?<=:)(?<=://[^\s:@/]{1,64}:)[^\s@/]{1,256}+(?=@)"
+URL_PASSWORD = r"(?<=:)(?<=://[^\s:@/]{1,64}:)[^\s@/]++(?=@)"
 #: Key blocks, passwords of URLs, values in quotes (with blanks only where no key is among the words), values without, keys.
 CANDIDATE = (
     rf"{BLOCK}|{URL_PASSWORD}|{NEAR}(?<=(?i:{ASSIGNED}))(?!(?i:bearer|basic|token)[ \t])"
@@ -52,8 +52,6 @@ NEUTRAL = r"(commit|revision|sha\d*|checksum|md5|digest|uuid|guid|order|invoice|
 TECHNICAL = "http https www com org net src main index html java json yaml beta alpha config client admin token secret passwd password handler manager factory controller utils dummy sample".split()
 #: Tokens of a public vocabulary, commonest first, that become dictionary words.
 VOCABULARY = 1200
-#: Characters of a candidate whose variety and words are looked at.
-INSIDE = 200
 MASK = "[SECRET]"
 FEATURES = ("length", "digits", "upper", "lower", "transitions", "distinct", "hex", "dictionary", "segments", "at", "keyword_next", "keyword_near", "assigned", "quoted", "neutral", "placeholder", "special", "blanks", "vowels", "reference")
 
@@ -88,13 +86,12 @@ def features(before: Column, candidate: Column, after: Column) -> Column:
     n = F.length(candidate)
     share = lambda pattern: F.regexp_count(candidate, F.lit(pattern)) / n
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-    inside = F.left(candidate, F.lit(INSIDE))
     return F.array(
         n.cast("double"), share("[0-9]"), share("[A-Z]"), share("[a-z]"),
         share("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]"),
-        F.size(F.array_distinct(F.split(inside, ""))) / F.length(inside),
+        F.size(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(candidate, F.lit("(?s).{1,1000}"), F.lit(0)), lambda p: F.array_distinct(F.split(p, "")))))) / n,
         flag(candidate.rlike("^([0-9a-f]++|[0-9A-F]++)$")),
-        1 - F.length(F.regexp_replace(F.lower(inside), any_of(list(dictionary())), "")) / F.length(inside),
+        1 - F.length(F.regexp_replace(F.lower(candidate), any_of(list(dictionary())), "")) / n,
         F.regexp_count(candidate, F.lit("[/.]")).cast("double"), flag(F.contains(candidate, F.lit("@"))),
         flag(before.rlike(rf"(?i)({KEYWORDS}\W{{0,6}}|{ASSIGNED})$")), flag(before.rlike(rf"(?i){KEYWORDS}")),
         flag(before.rlike(r"[=:]\s*[\"']?$")), flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
@@ -186,16 +183,20 @@ def labelled_findings(spark: SparkSession, per_kind: int = 80, kinds: tuple[int,
     return drawn.selectExpr(f"{column(1)} before", f"{column(2)} candidate", f"{column(3)} after", f"{column(0)} label")
 
 
-def train(findings: DataFrame, trees: int = 15, depth: int = 6, seed: int = 9) -> str:
-    """SQL over an array ``f`` of features: the share of trees that call it a secret."""
+def grown(findings: DataFrame, trees: int = 21, depth: int = 9, seed: int = 9) -> str:
+    """The forest, as Spark's library prints it."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     rows = findings.filter("candidate is not null and label is not null").select(
         array_to_vector(features(F.coalesce("before", F.lit("")), F.col("candidate"), F.coalesce("after", F.lit("")))).alias("features"), F.col("label").cast("double").alias("label")
     )
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
-    return forest_sql(model.toDebugString)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows).toDebugString
+
+
+def train(findings: DataFrame, trees: int = 21, depth: int = 9, seed: int = 9) -> str:
+    """SQL over an array ``f`` of features: the share of trees that call it a secret."""
+    return forest_sql(grown(findings, trees, depth, seed))
 
 
 def trained(spark: SparkSession) -> str:
@@ -204,28 +205,38 @@ def trained(spark: SparkSession) -> str:
 
 
 def forest_sql(printed: str) -> str:
-    """The SQL of a printed forest."""
+    """The SQL of a printed forest: a walk through its nodes, which stand in four arrays. A leaf leads to itself."""
     lines = [x.strip() for x in printed.splitlines()]
-    votes, at = [], 0
+    nodes: list[tuple[int, float, int, int, int]] = []  # feature, bound, where to if at most that, where else, label
+    roots, deepest, at = [], 0, 0
 
-    def node() -> str:
-        nonlocal at
-        line = lines[at]
+    def node(depth: int) -> int:
+        nonlocal at, deepest
+        line, own = lines[at], len(nodes)
         at += 1
+        deepest = max(deepest, depth)
         if found := re.match(r"Predict: (\S+)", line):
-            return "1D" if float(found[1]) == 1 else "0D"
+            nodes.append((0, 0.0, own, own, int(float(found[1]))))
+            return own
         feature, bound = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
-        yes = node()
+        nodes.append((int(feature), float(bound), 0, 0, 0))
+        yes = node(depth + 1)
         at += 1  # Else
-        return f"if(f[{feature}] <= {float(bound)!r}D, {yes}, {node()})"
+        nodes[own] = (int(feature), float(bound), yes, node(depth + 1), 0)
+        return own
 
     while at < len(lines):
         if lines[at].startswith("Tree "):
             at += 1
-            votes.append(node())
+            roots.append(node(0))
         else:
             at += 1
-    return f"({' + '.join(votes)}) / {len(votes)}D"
+    # each table is one string, which the optimizer splits and casts once
+    table = lambda values, kind: f"cast(split('{','.join(map(repr, values))}', ',') as array<{kind}>)"
+    feature, bound, yes, no, label = (table([n[i] for n in nodes], "double" if i == 1 else "int") for i in range(5))
+    step = f"if(get(f, get({feature}, node)) <= get({bound}, node), get({yes}, node), get({no}, node))"
+    walk = f"aggregate(sequence(1, {max(deepest, 1)}), root, (node, _) -> {step})"
+    return f"aggregate({table(roots, 'int')}, 0, (votes, root) -> votes + get({label}, {walk})) / {len(roots)}D"
 
 
 def _scored(docs: DataFrame, forest: str, text_col: str) -> tuple[DataFrame, str, str, str]:

@@ -35,19 +35,50 @@ def test_later_findings_of_known_kinds(spark):
     assert recall >= 0.95 and precision >= 0.95
 
 
+def votes(printed, f):
+    """The share of trees that say 1, read from the printed forest line by line."""
+    said, lines = [], [x.strip() for x in printed.splitlines()]
+    at = 0
+    while at < len(lines):
+        at += 1
+        if not lines[at - 1].startswith("Tree "):
+            continue
+
+        def node(live):
+            nonlocal at
+            line = lines[at]
+            at += 1
+            if found := re.match(r"Predict: (\S+)", line):
+                if live:
+                    said.append(float(found[1]))
+                return
+            feature, bound = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
+            goes = f[int(feature)] <= float(bound)
+            node(live and goes)
+            at += 1  # noqa: B023
+            node(live and not goes)
+
+        node(True)
+    return sum(said) / len(said)
+
+
 def test_forest_is_what_its_trees_say(spark):
-    """The SQL of the forest, evaluated again in Python from the features."""
-    rows = secrets.labelled_findings(spark, 4).select(secrets.features(F.col("before"), F.col("candidate"), F.col("after")).alias("f")).withColumn("s", F.expr(f"transform(array(f), f -> {forest(spark)})[0]")).collect()
-    code = re.sub(r"(\d)D", r"\1", forest(spark)).replace("if(", "pick(").replace("f[", "x[")
-    for r in rows:
-        assert abs(eval(code, {"pick": lambda c, a, b: a if c else b, "x": r["f"]}) - r["s"]) < 1e-12
+    """The SQL of the forest against the printed trees, on findings with labels and on features out of any range."""
+    printed = secrets.grown(secrets.labelled_findings(spark))
+    sql = secrets.forest_sql(printed)
+    assert sql == forest(spark) and printed.count("Tree ") == 21
+    found = secrets.labelled_findings(spark, 4).select(secrets.features(F.col("before"), F.col("candidate"), F.col("after")).alias("f"))
+    n = len(secrets.FEATURES)
+    found = found.unionByName(spark.createDataFrame([([v] * n,) for v in (-1.0, 0.0, 1e9)], "f array<double>"))
+    for r in found.withColumn("s", F.expr(f"transform(array(f), f -> {sql})[0]")).collect():
+        assert abs(votes(printed, r["f"]) - r["s"]) < 1e-12
 
 
 def test_features_by_hand(spark):
     words = secrets.dictionary()
-    for before, candidate, after in [("my token = '", "kd93server!Zq", "' x"), ("commit ", "0a" * 20, ""), ("", "reports/index.html", " "), ("secret: ", "K" * 300 + "1", "")]:
+    for before, candidate, after in [("my token = '", "kd93server!Zq", "' x"), ("commit ", "0a" * 20, ""), ("", "reports/index.html", " "), ("secret: ", "K" * 300 + "1", ""), ("", "report" + "Kz" * 1200 + "main/?", "")]:
         f = dict(zip(secrets.FEATURES, spark.range(1).select(secrets.features(F.lit(before), F.lit(candidate), F.lit(after)).alias("f")).first()["f"], strict=True))
-        inside, n = candidate[: secrets.INSIDE], len(candidate)
+        inside, n = candidate, len(candidate)
         left, at = 0, 0
         while at < len(inside):
             fits = [len(w) for w in words if inside.lower().startswith(w, at)]
@@ -101,7 +132,10 @@ def test_awkward(spark, awkward, clashing, empty):
 
 def test_forest_sql():
     text = "Tree 0 (weight 1.0):\n If (feature 1 <= 0.5)\n  Predict: 0.0\n Else (feature 1 > 0.5)\n  If (feature 0 <= 2.0)\n   Predict: 1.0\n  Else (feature 0 > 2.0)\n   Predict: 0.0\nTree 1 (weight 1.0):\n Predict: 1.0"
-    assert secrets.forest_sql(text) == "(if(f[1] <= 0.5D, 0D, if(f[0] <= 2.0D, 1D, 0D)) + 1D) / 2D"
+    expected = {(0.0, 0.0): 0.5, (0.0, 1.0): 1.0, (2.5, 1.0): 0.5, (2.0, 0.5): 0.5}
+    for f, share in expected.items():
+        assert votes(text, f) == share
+    assert secrets.forest_sql(text).count("split('0.5,0.0,2.0,0.0,0.0,0.0', ',')") == 1
 
 
 def test_short_digit_free_and_unquoted(spark):
