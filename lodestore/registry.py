@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestore.plans import dataflow, embedding, lifecycle, relations, retrieval, text  # noqa: F401
+from lodestore.plans import dataflow, embedding, lifecycle, relations, retrieval, store, text  # noqa: F401
 from lodestore.plans.base import ORACLES, QUERIES
 
 
