@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestore.functions import contract
 from lodestore.operators import integrity as it
 from lodestore.operators import merkle as mk
+from lodestore.operators import naming as nm
 from lodestore.operators import resolve as rs
 from lodestore.operators import security as sec
 from lodestore.plans.base import ALICE, KB, chunks_of, documents, grants, query, readable_sql, table
@@ -448,6 +449,48 @@ def references(spark, sf_dir):
     return rs.select_references(scored, "request_id").select("request_id", "project_id", "is_project", "score")
 
 
+SOURCES = """SELECT s_suppkey AS request_id, 'Brand#' || (1 + s_suppkey % 25) || ' ' || s_suppkey * 7 || ' ' || CASE s_suppkey % 4 WHEN 0 THEN 'layout' WHEN 1 THEN 'OPP-2024-' || lpad((s_suppkey * 3)::VARCHAR, 6, '0') || ' report' WHEN 2 THEN 'steel' ELSE s_name END AS source FROM supplier"""
+
+
+def sources(spark, sf_dir):
+    i = F.col("s_suppkey")
+    what = F.when(i % 4 == 0, "layout").when(i % 4 == 1, F.concat(F.lit("OPP-2024-"), F.lpad((i * 3).cast("string"), 6, "0"), F.lit(" report"))).when(i % 4 == 2, "steel").otherwise(F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select(i.alias("request_id"), F.concat(F.lit("Brand#"), 1 + i % 25, F.lit(" "), i * 7, F.lit(" "), what).alias("source"))
+
+
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9-]{{4,}}'), lambda t: regexp_matches(t, '[0-9]')))"
+
+
+@query(
+    "indexed_references_ord09_nam02",
+    f"""WITH {PROJECTS}, r AS MATERIALIZED (SELECT project_id, project_id % 2 = 0 AS is_project, unnest([name, code, alias]) AS v FROM p), q AS ({SOURCES}),
+    v AS (SELECT DISTINCT v, {FOLD.format('v')} AS t, {_TOKENS.format('v')} AS k FROM r), f AS (SELECT request_id, {FOLD.format('source')} AS s, {_TOKENS.format('source')} AS k FROM q),
+    pair AS (SELECT request_id, v.v, greatest(CASE WHEN length(t) >= 4 AND (contains(s, t) OR (contains(t, s) AND length(s) >= 6)) THEN 100 + least(length(t), 40) ELSE 0 END, 10 * len(list_intersect(v.k, f.k)))::INT AS score FROM f CROSS JOIN v),
+    hit AS (SELECT request_id, project_id, is_project, max(score) AS score FROM pair JOIN r USING (v) WHERE score > 0 GROUP BY ALL),
+    best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY request_id, is_project ORDER BY score DESC, project_id) <= CASE WHEN is_project THEN 12 ELSE 6 END),
+    few AS (SELECT request_id FROM q WHERE (SELECT count(*) FROM best b WHERE b.request_id = q.request_id AND NOT is_project) < 2),
+    fill AS (SELECT request_id, project_id, false AS is_project, 0 AS score FROM few CROSS JOIN (SELECT project_id FROM p WHERE project_id % 2 <> 0 ORDER BY project_id LIMIT 2))
+    SELECT request_id, project_id, is_project, score FROM best UNION ALL SELECT * FROM fill WHERE (request_id, project_id) NOT IN (SELECT (request_id, project_id) FROM best)""",
+)
+def indexed_references(spark, sf_dir):
+    """References for a filename of each supplier, of all projects, proposed by identifiers and runs of four letters."""
+    known = projects(spark, sf_dir).select(
+        F.col("project_id").alias("reference_id"), (F.col("project_id") % 2 == 0).alias("is_project"), F.col("project_id").alias("position"), F.array("name", "code", F.get("aliases", F.lit(0))).alias("values")
+    )
+    return nm.selected(sources(spark, sf_dir), known).withColumnRenamed("reference_id", "project_id")
+
+
+@query(
+    "naming_corpus_nam02",
+    f"""WITH {KB} SELECT doc_id, row_number() OVER (ORDER BY business_date DESC NULLS LAST, doc_id) AS position FROM kb WHERE organization_id = 'src1' AND (state = 'published' OR (state = 'draft' AND created_by = 'u7' AND doc_id % 3 <> 0)) AND (visibility = 'department' OR created_by = 'u7')
+    ORDER BY business_date DESC NULLS LAST, doc_id LIMIT 500""",
+)
+def naming_corpus(spark, sf_dir):
+    """The documents by which a member's names are judged."""
+    docs = documents(spark, sf_dir).withColumn("created_at", F.col("business_date")).withColumn("needs_review", F.col("doc_id") % 3 == 0)
+    return nm.corpus(docs, ALICE, "src1").select("doc_id", "position")
+
+
 @query("grounded_nam01", f"SELECT p_partkey, contains({FOLD.format('t')}, {FOLD.format('p_name')}) AND contains({FOLD.format('t')}, {FOLD.format('b')}) AS grounded FROM (SELECT p_partkey, p_name, CASE WHEN p_partkey % 3 = 0 THEN 'zz' ELSE p_brand END AS b, upper(p_name) || ' / ' || p_brand AS t FROM part)")
 def grounded(spark, sf_dir):
     brand = F.when(F.col("p_partkey") % 3 == 0, "zz").otherwise(F.col("p_brand"))
