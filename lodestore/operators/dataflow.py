@@ -47,6 +47,30 @@ def furniture(lines: DataFrame, group: str, page: str, line: str, share: float =
     return found.join(total, group).filter(F.col("on_pages") >= F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("_pages")))).select(group, line, "on_pages")
 
 
+# Fixed value: the grammar of a page number, in words or figures, alone on its line.
+FOLIO = r"(?i)^[\s\-–—_·/]*(?:第\s*)?(?:page\s*)?[0-9]{1,4}(?:\s*(?:/|of|共)\s*[0-9]{1,4})?\s*(?:页)?[\s\-–—_·/]*$"
+
+
+def page_furniture(lines: DataFrame, group: str, page: str, line: str, position: str, share: float = 0.6, least: int = 3, pages: int = 3, longest: int = 120, top: float = 0.12, bottom: float = 0.88) -> DataFrame:
+    """``group``, ``key``, ``kind`` of the running heads, feet and folios of files (AGG09).
+
+    Only lines in the margins count: their ``position``, the fraction of the page's height, is at most ``top`` or at least
+    ``bottom``. ``repeated``: the key, the line without white space, is on at least max(least, ceil(share * pages)) pages of
+    a file of ``pages`` or more. ``folio``: page numbers differ from page to page, so their pages are counted together;
+    if they are as many, every such line goes. Join on the key of all lines to drop them, also of those in mid-page.
+    """
+    text = F.regexp_replace(F.col(line), r"\s+", "")
+    total = lines.groupBy(group).agg(F.countDistinct(page).alias("_pages")).filter(F.col("_pages") >= pages)
+    enough = F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("_pages")))
+    margin = lines.filter(((F.col(position) <= top) | (F.col(position) >= bottom)) & (F.btrim(line) != ""))
+    named = margin.select(group, page, text.alias("key"), F.col(line).rlike(FOLIO).alias("_folio"), F.length(line).alias("_n"))
+    repeated = named.filter(~F.col("_folio") & (F.col("_n") <= longest)).groupBy(group, "key").agg(F.countDistinct(page).alias("_on"))
+    folios = named.filter("_folio")
+    full = folios.groupBy(group).agg(F.countDistinct(page).alias("_on")).join(total, group).filter(F.col("_on") >= enough).select(group)
+    first = repeated.join(total, group).filter(F.col("_on") >= enough).select(group, "key", F.lit("repeated").alias("kind"))
+    return first.unionByName(folios.join(full, group, "left_semi").select(group, "key", F.lit("folio").alias("kind")).distinct())
+
+
 _WORD, _WORDS = re.compile(r"\S+", re.ASCII), re.compile(r"\s*\S+\s*\Z|\s*\S+", re.ASCII)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -145,3 +147,23 @@ def promoted(documents: DataFrame, promotions: DataFrame) -> DataFrame:
     met = documents.join(renames, F.col("project_id") == F.col("_of"), "left")
     title = F.when(F.col("_of").isNotNull(), renamed(F.col("title"), F.col("_previous"), F.col("_official"))).otherwise(F.col("title"))
     return met.withColumn("title", title).withColumn("former", F.col("_previous")).drop("_of", "_previous", "_official")
+
+
+#: What a replacement has in common with the document it replaces.
+INHERITED = ("category_id", "title", "visibility", "product", "model", "project", "business_date")
+
+
+def submission_outcome(fields: tuple[str, ...] = INHERITED) -> Column:
+    """What becomes of a submission (MUT02), of rows with ``upload_state``, ``same_request``, ``duplicate_of``, ``member``,
+    ``naming_pending``, ``document_id``, ``category_known``, ``doc_found``, ``doc_readable``, ``doc_organization_id``,
+    ``organization_id``, ``base_revision``, and of each field what was asked for and, as ``doc_<field>``, what the document
+    has. Checks in this order; a replacement must leave every field as it is, nulls included.
+    """
+    replaces = F.col("document_id").isNotNull()
+    differs = reduce(lambda a, b: a | b, (~F.col(f).eqNullSafe(F.col(f"doc_{f}")) for f in fields))
+    return (
+        F.when(F.col("upload_state") == "pending", "upload_incomplete").when(F.col("upload_state") == "submitted", F.when(F.col("same_request"), "repeated").otherwise("version_conflict"))
+        .when(F.col("duplicate_of").isNotNull(), "duplicate").when(~F.col("member"), "not_found").when(F.col("naming_pending") & replaces, "invalid_argument").when(~F.col("category_known"), "invalid_argument")
+        .when(replaces & ~(F.coalesce("doc_found", F.lit(False)) & F.coalesce(F.col("doc_organization_id") == F.col("organization_id"), F.lit(False)) & F.coalesce("doc_readable", F.lit(False))), "not_found")
+        .when(replaces & differs, "metadata_differs").when(~replaces & (F.col("base_revision") != 0), "invalid_argument").otherwise("created")
+    )

@@ -8,6 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestore.sources.commits import CommitLog, written
+from lodestore.sources.shared import shared_folder
+
+
+#: Shares into which organizations are dealt where each meets every superadmin.
+SHARES = 16
+
 
 @dataclass(frozen=True)
 class Principal:
@@ -88,10 +95,14 @@ def within(accounts: DataFrame, memberships: DataFrame, mine: list[str]) -> Data
 def ancestors(nodes: DataFrame) -> DataFrame:
     """Of rows (id, parent): ``id``, ``ancestor`` (itself included), ``depth``; cycles end where they close (HIE01).
 
-    One join a level, down to the last one; the rows in hand shrink as roots are reached. Where the session has a
-    checkpoint folder each level is written there, so none is computed twice.
+    One join a level, down to the last one; the rows in hand shrink as roots are reached. Each level is written to the
+    shared folder, so none is computed twice.
     """
-    kept = (lambda df: df.checkpoint()) if nodes.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda df: df)
+    log = CommitLog(nodes.sparkSession, f"{shared_folder(nodes.sparkSession)}/lodestore-{nodes.sparkSession.sparkContext.applicationId}/ancestors")
+
+    def kept(df: DataFrame) -> DataFrame:
+        return nodes.sparkSession.read.schema(df.schema).parquet(log.files.at(written(log, df, "level")))
+
     edges = nodes.filter(F.col("parent").isNotNull()).select(F.col("id").alias("node"), F.col("parent"))
     front = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.array("id").alias("path"))
     levels, k = [], 0
@@ -121,7 +132,9 @@ def load_principals(users: DataFrame, principals: DataFrame, memberships: DataFr
     publisher of all organizations; others have their own memberships, and the default organizations as member at least.
     """
     able = users.join(principals.filter("active").select("principal_id"), "principal_id", "left_semi").filter("status = 'active' AND (has_password OR bound)")
-    every = F.broadcast(organizations.agg(F.collect_list("organization_id").alias("all")))  # organizations are few
-    over = able.filter("account_role = 'superadmin'").select("principal_id", F.lit(True).alias("_one")).join(every.withColumn("_one", F.lit(True)), "_one").select("principal_id", F.explode("all").alias("organization_id"), F.lit("publisher").alias("role"))
+    # superadmins are few; each is dealt to every share of the organizations, however many these are
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    every = organizations.select("organization_id", F.pmod(F.xxhash64("organization_id"), F.lit(SHARES)).cast("int").alias("_share"))
+    over = able.filter("account_role = 'superadmin'").select("principal_id", shares.alias("_share")).join(every, "_share").select("principal_id", "organization_id", F.lit("publisher").alias("role"))
     plain = able.filter("account_role <> 'superadmin'").select("principal_id")
     return over.unionByName(effective(memberships.join(plain, "principal_id", "left_semi"), defaults, plain))

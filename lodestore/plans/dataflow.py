@@ -75,6 +75,22 @@ def furniture_strict(spark, sf_dir):
     return df.furniture(furniture_lines(spark, sf_dir), "source", "doc_id", "line")
 
 
+@query(
+    "margin_furniture_agg09",
+    r"""WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, source, len(l) AS n, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS line FROM d),
+    m AS (SELECT *, regexp_replace(line, '\s+', '', 'g') AS key, regexp_matches(line, '(?i)^[\s\-–—_·/]*(第\s*)?(page\s*)?[0-9]{1,4}(\s*(/|of|共)\s*[0-9]{1,4})?\s*(页)?[\s\-–—_·/]*$') AS folio FROM x WHERE ((i + 0.5) / n <= 0.12 OR (i + 0.5) / n >= 0.88) AND trim(line) <> ''),
+    t AS (SELECT source, greatest(3, ceil(0.02 * count(DISTINCT doc_id))) AS enough FROM x GROUP BY source HAVING count(DISTINCT doc_id) >= 3),
+    f AS (SELECT source FROM m JOIN t USING (source) WHERE folio GROUP BY source, enough HAVING count(DISTINCT doc_id) >= enough)
+    SELECT source, key, 'repeated' AS kind FROM m JOIN t USING (source) WHERE NOT folio AND length(line) <= 120 GROUP BY source, key, enough HAVING count(DISTINCT doc_id) >= enough
+    UNION ALL SELECT DISTINCT source, key, 'folio' FROM m JOIN f USING (source) WHERE folio""".replace("\\\\", "\\"),
+)
+def margin_furniture(spark, sf_dir):
+    """A document stands for a page, its source for the file, a line's place for its height; a fiftieth of the pages suffices."""
+    lines = F.split("text", "\n")
+    placed = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(lines).alias("n"), F.posexplode(lines).alias("i", "line"))
+    return df.page_furniture(placed.withColumn("position", (F.col("i") + 0.5) / F.col("n")), "source", "doc_id", "line", "position", share=0.02)
+
+
 #: Budget and limit of words of the registered split.
 SPLIT_LIMIT, SPLIT_BUDGET = 256, 217
 

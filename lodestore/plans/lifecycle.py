@@ -237,6 +237,30 @@ def duplicates(spark, sf_dir):
     return docs.join(firsts, "h").filter("doc_id <> duplicate_of").select("doc_id", "duplicate_of")
 
 
+@query(
+    "submissions_mut02",
+    f"""WITH {KB}, d AS (SELECT sha256(text) AS h, min(doc_id) AS first FROM kb WHERE state <> 'withdrawn' GROUP BY 1),
+    s AS (SELECT k.doc_id, CASE WHEN k.doc_id % 23 = 1 THEN 'pending' WHEN k.doc_id % 23 = 2 THEN 'submitted' ELSE 'ready' END AS upload_state, k.doc_id % 2 = 0 AS same_request, CASE WHEN d.first <> k.doc_id THEN d.first END AS duplicate_of, k.organization_id IN ('src0', 'src1', 'src2', 'src3') AS member,
+      k.doc_id % 19 = 3 AS naming_pending, CASE WHEN k.doc_id % 3 <> 0 THEN k.doc_id - 1 END AS document_id, k.category_id <> 'es' AS category_known, k.doc_id % 4 AS base_revision, k.organization_id, k.category_id, k.visibility, k.model, k.business_date FROM kb k LEFT JOIN d ON sha256(k.text) = d.h)
+    SELECT s.doc_id, CASE WHEN upload_state = 'pending' THEN 'upload_incomplete' WHEN upload_state = 'submitted' THEN CASE WHEN same_request THEN 'repeated' ELSE 'version_conflict' END WHEN duplicate_of IS NOT NULL THEN 'duplicate' WHEN NOT member THEN 'not_found'
+      WHEN naming_pending AND document_id IS NOT NULL THEN 'invalid_argument' WHEN NOT category_known THEN 'invalid_argument' WHEN document_id IS NOT NULL AND (o.doc_id IS NULL OR o.organization_id <> s.organization_id OR o.state = 'withdrawn') THEN 'not_found'
+      WHEN document_id IS NOT NULL AND (s.category_id IS DISTINCT FROM o.category_id OR s.visibility IS DISTINCT FROM o.visibility OR s.model IS DISTINCT FROM CASE WHEN s.doc_id % 2 = 0 THEN s.model ELSE o.model END OR s.business_date IS DISTINCT FROM CASE WHEN s.doc_id % 2 = 0 THEN s.business_date ELSE o.business_date END) THEN 'metadata_differs'
+      WHEN document_id IS NULL AND base_revision <> 0 THEN 'invalid_argument' ELSE 'created' END AS outcome FROM s LEFT JOIN kb o ON o.doc_id = s.document_id""",
+)
+def submissions(spark, sf_dir):
+    """Documents submitted anew, two in three as replacements of the one before; duplicates by content come first."""
+    i, docs = F.col("doc_id"), documents(spark, sf_dir).withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
+    firsts = docs.filter("state <> 'withdrawn'").groupBy("h").agg(F.min("doc_id").alias("first"))
+    asked = docs.join(firsts, "h", "left").select(
+        i, F.when(i % 23 == 1, "pending").when(i % 23 == 2, "submitted").otherwise("ready").alias("upload_state"), (i % 2 == 0).alias("same_request"), F.when(F.col("first") != i, F.col("first")).alias("duplicate_of"), F.col("organization_id").isin("src0", "src1", "src2", "src3").alias("member"),
+        (i % 19 == 3).alias("naming_pending"), F.when(i % 3 != 0, i - 1).alias("document_id"), (F.col("category_id") != "es").alias("category_known"), (i % 4).alias("base_revision"), "organization_id", "category_id", "visibility", "model", "business_date",
+    )
+    old = docs.select(i.alias("document_id"), F.lit(True).alias("doc_found"), (F.col("state") != "withdrawn").alias("doc_readable"), *(F.col(c).alias(f"doc_{c}") for c in ("organization_id", "category_id", "visibility", "model", "business_date")))
+    met = asked.join(old, "document_id", "left")
+    same = {f"doc_{c}": F.when(i % 2 == 0, F.col(c)).otherwise(F.col(f"doc_{c}")) for c in ("model", "business_date")}  # every second one keeps to its document
+    return met.withColumns(same).select("doc_id", lc.submission_outcome(("category_id", "visibility", "model", "business_date")).alias("outcome"))
+
+
 VERSION_EVENTS = "SELECT user_id % 200 AS doc, (event_id % 3)::BIGINT AS version, CASE event_type WHEN 'signup' THEN 'publish' WHEN 'purchase' THEN 'publish' WHEN 'error' THEN 'withdraw' WHEN 'view' THEN 'restore' ELSE 'reject' END AS action, ts, event_id FROM events"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestore.functions import contract
+from lodestore.operators import identity as ident
 from lodestore.operators import integrity as it
 from lodestore.operators import merkle as mk
 from lodestore.operators import naming as nm
@@ -220,6 +221,76 @@ def loaded_principals(spark, sf_dir):
     return sec.load_principals(accounts, accounts, orders, orders.select("organization_id").distinct(), ["1-URGENT", "5-LOW"])
 
 
+_NOW = "1996-01-01 00:00:00"
+ACCOUNTS = "SELECT c_custkey AS p, CASE WHEN c_custkey % 50 = 0 THEN 'superadmin' WHEN c_custkey % 2 = 0 THEN 'manager' ELSE 'user' END AS kind, CASE WHEN c_custkey % 13 = 1 THEN 'disabled' ELSE 'active' END AS status FROM customer"
+MEMBERS = "SELECT DISTINCT o_custkey AS p, o_orderpriority AS o, CASE WHEN o_orderstatus = 'P' THEN 'publisher' ELSE 'member' END AS r FROM orders"
+
+
+def accounts_of(spark, sf_dir):
+    k = F.col("c_custkey")
+    role = F.when(k % 50 == 0, "superadmin").when(k % 2 == 0, "manager").otherwise("user")
+    return table(spark, sf_dir, "customer").select(k.alias("principal_id"), role.alias("account_role"), F.when(k % 13 == 1, "disabled").otherwise("active").alias("status"))
+
+
+def members_of(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("principal_id"), F.col("o_orderpriority").alias("organization_id"), F.when(F.col("o_orderstatus") == "P", "publisher").otherwise("member").alias("role")).distinct()
+
+
+@query(
+    "bound_identities_idn02",
+    f"""WITH a AS ({ACCOUNTS}), m AS ({MEMBERS}),
+    i AS (SELECT c_custkey AS p, CASE WHEN c_custkey % 17 = 3 THEN 'other' ELSE 'own' END AS company, c_custkey % 7 <> 2 AS enabled, TIMESTAMP '{_NOW}' - INTERVAL 1 HOUR * (c_custkey % 40) AS verified_at, CASE c_custkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['2-HIGH', '5-LOW'] ELSE ['3-MEDIUM'] END AS orgs FROM customer WHERE c_custkey % 3 <> 0),
+    s AS (SELECT a.*, i.orgs, CASE WHEN i.p IS NULL THEN CASE WHEN kind = 'superadmin' AND a.p IN (150, 300, 600) THEN 'unbound' ELSE 'none' END WHEN company = 'own' AND enabled AND verified_at > TIMESTAMP '{_NOW}' - INTERVAL 1 DAY THEN 'bound' ELSE 'none' END AS state FROM a LEFT JOIN i ON a.p = i.p),
+    own AS (SELECT p, kind, unnest(list_distinct(list_concat(orgs, ['1-URGENT', '5-LOW']))) AS o FROM s WHERE state = 'bound' AND kind <> 'superadmin'),
+    inside AS (SELECT p, o, CASE WHEN kind = 'manager' AND EXISTS (SELECT 1 FROM m WHERE m.p = own.p AND m.o = own.o AND r = 'publisher') THEN 'publisher' ELSE 'member' END AS r FROM own),
+    more AS (SELECT p, '4-NOT SPECIFIED' AS o, 'member' AS r FROM s WHERE state = 'bound' AND kind <> 'superadmin' AND p % 4 = 0 UNION SELECT p, '1-URGENT', 'member' FROM s WHERE state = 'bound' AND kind <> 'superadmin' AND p % 6 = 0)
+    SELECT p AS principal_id, o AS organization_id, r AS role, true AS bound FROM inside UNION ALL SELECT p, o, r, true FROM more WHERE (p, o) NOT IN (SELECT (p, o) FROM inside)
+    UNION ALL SELECT s.p, m.o, m.r, state = 'bound' FROM s JOIN m ON s.p = m.p WHERE state <> 'none' AND kind = 'superadmin'""",
+)
+def bound_identities(spark, sf_dir):
+    """Customers as accounts with identities that are verified up to forty hours ago; a day keeps them fresh."""
+    k, now = F.col("c_custkey"), F.lit(_NOW).cast("timestamp_ntz")
+    synced = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 5 == 1, F.array(F.lit("2-HIGH"), F.lit("5-LOW"))).otherwise(F.array(F.lit("3-MEDIUM")))
+    identities = table(spark, sf_dir, "customer").filter(k % 3 != 0).select(
+        k.alias("principal_id"), F.when(k % 17 == 3, "other").otherwise("own").alias("company"), (k % 7 != 2).alias("enabled"), (now - F.make_interval(hours=(k % 40).cast("int"))).alias("verified_at"), synced.alias("organization_ids")
+    )
+    every = table(spark, sf_dir, "customer").select(k.alias("principal_id"))
+    extensions = every.filter("principal_id % 4 = 0").withColumn("organization_id", F.lit("4-NOT SPECIFIED")).unionByName(every.filter("principal_id % 6 = 0").withColumn("organization_id", F.lit("1-URGENT")))
+    return ident.effective_identities(accounts_of(spark, sf_dir), identities, members_of(spark, sf_dir), extensions, ["1-URGENT", "5-LOW"], now, "own", 86400, [150, 300, 600])
+
+
+@query(
+    "invitation_status_idn05",
+    f"""WITH a AS ({ACCOUNTS}), m AS ({MEMBERS}),
+    i AS (SELECT o_orderkey AS id, o_custkey AS p, CASE WHEN o_orderkey % 3 = 0 THEN 50 ELSE 2 * (1 + o_orderkey % 40) END AS by, o_orderdate AS issued, o_orderkey % 11 = 5 AS used, o_orderkey % 13 = 7 AS revoked, o_orderdate + INTERVAL 2000 DAY <= TIMESTAMP '{_NOW}' AS expired FROM orders)
+    SELECT id AS invitation_id, CASE WHEN used THEN 'used' WHEN revoked OR row_number() OVER (PARTITION BY i.p ORDER BY issued DESC, id DESC) > 1 THEN 'revoked' WHEN expired THEN 'expired' WHEN t.p IS NULL OR t.status = 'disabled' THEN 'disabled'
+      WHEN b.status = 'active' AND (b.kind = 'superadmin' OR (b.kind = 'manager' AND t.kind = 'user' AND NOT EXISTS (SELECT 1 FROM m WHERE m.p = i.p AND m.o NOT IN (SELECT o FROM m x WHERE x.p = i.by AND x.r = 'publisher')))) THEN 'valid' ELSE 'without_authority' END AS status
+    FROM i LEFT JOIN a t ON t.p = i.p LEFT JOIN a b ON b.p = i.by""",
+)
+def invitation_status(spark, sf_dir):
+    """Orders as invitations of their customers, issued by managers and one superadmin."""
+    k, now = F.col("o_orderkey"), F.lit(_NOW).cast("timestamp_ntz")
+    when = lambda c: F.when(c, F.col("o_orderdate"))
+    issued = table(spark, sf_dir, "orders").select(
+        k.alias("invitation_id"), F.col("o_custkey").alias("principal_id"), F.when(k % 3 == 0, 50).otherwise(2 * (1 + k % 40)).cast("long").alias("created_by"), F.col("o_orderdate").alias("issued_at"), when(k % 11 == 5).alias("used_at"),
+        when(k % 13 == 7).alias("revoked_at"), (F.col("o_orderdate") + F.expr("INTERVAL 2000 DAYS")).alias("expires_at"),
+    )
+    return ident.valid_invitations(issued, accounts_of(spark, sf_dir), members_of(spark, sf_dir), now)
+
+
+@query(
+    "branches_hie02_win10",
+    """WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 <> 0 AND c_custkey // 3 <> c_custkey AND c_custkey // 3 IN (SELECT c_custkey FROM customer) THEN c_custkey // 3 END AS parent FROM customer),
+    a AS (SELECT id, id AS root, 0 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.id, a.root, a.depth + 1 FROM n JOIN a ON n.parent = a.id)
+    SELECT id AS principal_id, root, depth, branch FROM (SELECT *, dense_rank() OVER (ORDER BY root) AS branch FROM a) WHERE branch BETWEEN 6 AND 25""",
+)
+def branches(spark, sf_dir):
+    """Customers as accounts created by others; every tenth is a superadmin. The second page of twenty branches, after five."""
+    k = F.col("c_custkey")
+    accounts = table(spark, sf_dir, "customer").select(k.alias("principal_id"), F.floor(k / 3).alias("created_by"), F.when(k % 10 == 0, "superadmin").otherwise("user").alias("role"))
+    return ident.branch_page(ident.branches(accounts), 5, 20).select("principal_id", "root", "depth", "branch")
+
+
 @query("account_scope_flt13", "WITH m AS (SELECT o_custkey AS account_id, o_orderpriority AS o FROM orders) SELECT c_custkey AS account_id FROM customer WHERE EXISTS (SELECT 1 FROM m WHERE account_id = c_custkey AND o IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')) AND NOT EXISTS (SELECT 1 FROM m WHERE account_id = c_custkey AND o NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'))")
 def account_scope(spark, sf_dir):
     accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"))
