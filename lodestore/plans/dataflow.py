@@ -135,9 +135,16 @@ def hard_split(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(df.hard_split(F.col("text"), 100)).alias("piece", "text")).withColumn("piece", F.col("piece").cast("long"))
 
 
-@query("batches_chk04_src17")
+@query(
+    "batches_chk04_src17",
+    """WITH RECURSIVE v AS (SELECT o_custkey AS c, 'record ' || o_orderkey AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    w AS (SELECT c, n, v, 0 AS batch, 1 AS many, length(v) AS chars FROM v WHERE n = 1
+      UNION ALL SELECT v.c, v.n, v.v, CASE WHEN w.many >= 4 OR w.chars + length(v.v) > 60 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.many >= 4 OR w.chars + length(v.v) > 60 THEN 1 ELSE w.many + 1 END,
+        CASE WHEN w.many >= 4 OR w.chars + length(v.v) > 60 THEN length(v.v) ELSE w.chars + length(v.v) END FROM w JOIN v ON v.c = w.c AND v.n = w.n + 1)
+    SELECT c AS o_custkey, batch, string_agg(v, chr(10) ORDER BY n) AS text FROM w GROUP BY c, batch""",
+)
 def batches(spark, sf_dir):
-    """Order keys of a customer in bounded batches; held against a Python loop in the tests."""
+    """Order keys of a customer in bounded batches."""
     values = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: F.concat(F.lit("record "), x))
     grouped = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(values.alias("v"))
     return grouped.select("o_custkey", F.posexplode(df.batches(F.col("v"), 4, 60)).alias("batch", "v")).select("o_custkey", "batch", F.array_join("v", "\n").alias("text"))

@@ -10,10 +10,11 @@ from lodestore.plans.base import chunks_of, documents, query, table
 
 @query("embedded_emb01")
 def embedded(spark, sf_dir):
-    """Vectors of all chunks by the stand-in model; their dimensions."""
+    """Vectors of all chunks by the stand-in model: their dimensions, digests (components to six places), and errors."""
     model = em.HashedModel()
     found = em.embed(chunks_of(documents(spark, sf_dir)), model, model.identity)
-    return found.select("chunk_id", F.size("embedding").alias("dimension"), "model_identity")
+    places = F.transform("embedding", lambda x: F.round(x * 1_000_000).cast("long").cast("string"))
+    return found.select("chunk_id", F.size("embedding").alias("dimension"), "model_identity", F.sha2(F.array_join(places, ","), 256).alias("vector_sha256"), "error")
 
 
 @query("degraded_emb02", "SELECT conv_id, CASE WHEN count(*) FILTER (length(text) < 100) > 0 THEN 'partial' ELSE 'ready' END AS status FROM conversations GROUP BY conv_id")

@@ -100,18 +100,25 @@ def whole_hits(spark, sf_dir):
 
 
 def share_held(items, docs):
-    """``items``, ``found`` and ``rate`` of passages that a text contains: joined on three words of the passage, then compared.
+    """``items``, ``found`` and ``rate`` of passages that a text contains: joined on their rarest key, then compared.
 
-    The first and last word of a passage may be parts of a document's words, so the key is of those between; passages
-    with fewer than three of them are compared with all documents.
+    The first and last word of a passage may be parts of a document's words, so keys are of those between: three in a row,
+    or the one or two there are. Of a passage's keys the one that fewest documents hold proposes documents; one that
+    none holds proves that the passage is nowhere. Only passages of one or two words are compared with all documents.
     """
     words = F.split("passage", " ")
-    items = items.withColumn("key", F.when(F.size(words) >= 5, F.array_join(F.slice(words, 2, 3), " ")))
-    split = docs.select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") >= 3)  # a column, or each step of the lambda would split again
-    keys = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.concat_ws(" ", F.element_at("w", k), F.element_at("w", k + 1), F.element_at("w", k + 2)))
-    near = split.select("doc_id", F.explode(keys).alias("key")).join(items.filter("key is not null"), "key").select("doc_id", "item_id", "passage").distinct()
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    runs = lambda w, k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
+    listed = items.select("item_id", "passage", inner.alias("w"))  # a column, or each step of the lambda would split again
+    keyed = listed.filter(F.size("w") > 0).select("item_id", "passage", F.explode(F.array_distinct(F.when(F.size("w") >= 3, runs(F.col("w"), 3)).otherwise(F.array(F.array_join("w", " "))))).alias("key"))
+    split = docs.select("doc_id", F.split("text", " ").alias("w"))
+    held = F.flatten(F.array(*(F.when(F.size("w") >= k, runs(F.col("w"), k)).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3))))
+    met = split.select("doc_id", F.explode(F.array_distinct(held)).alias("key")).join(keyed.select("key").distinct(), "key", "left_semi")
+    often = met.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = keyed.join(often, "key", "left").groupBy("item_id", "passage").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key"))).alias("r")).filter("r.n > 0")
+    near = met.join(rarest.select("item_id", "passage", F.col("r.key").alias("key")), "key")
     found = docs.select("doc_id", "text").join(near, "doc_id").filter(F.contains("text", "passage")).select("item_id")
-    few = docs.select("text").join(items.filter("key is null").select("item_id", "passage"), F.contains("text", "passage")).select("item_id")
+    few = docs.select("text").join(listed.filter(F.size("w") == 0).select("item_id", "passage"), F.contains("text", "passage")).select("item_id")
     found = found.unionByName(few).distinct().withColumn("hit", F.lit(1))
     return items.join(found, "item_id", "left").agg(F.count(F.lit(1)).alias("items"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count(F.lit(1)), 9).alias("rate"))
 
