@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.operators.integrity import row_digest
+from lodestore.sources.commits import CommitLog, written
+from lodestore.sources.shared import shared_folder
 
 #: Rows of a leaf that ``depth_for`` aims at.
 LEAF = 4096
@@ -42,6 +44,13 @@ def leaves(df: DataFrame, depth: int) -> DataFrame:
     return of.agg(F.sum("n").alias("n_rows"), _digest(F.concat_ws(":", "row", F.col("n").cast("string"))).alias("digest"))
 
 
+def _kept(below: DataFrame) -> DataFrame:
+    """Nodes written to the shared folder: they are few, and every level of a comparison reads them."""
+    spark = below.sparkSession
+    log = CommitLog(spark, f"{shared_folder(spark)}/lodestore-{spark.sparkContext.applicationId}/leaves")
+    return spark.read.schema(below.schema).parquet(log.files.at(written(log, below, "leaves")))
+
+
 def tree(below: DataFrame, depth: int) -> DataFrame:
     """``depth``, ``prefix``, ``n_rows``, ``digest`` of all nodes above leaves, and of these. An empty table has none."""
     levels = [below]
@@ -67,14 +76,14 @@ def differing(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
         if found is not None:
             parent = F.left("prefix", F.lit(d - 1))
             left, right = (t.withColumn("up", parent).join(found.select(F.col("prefix").alias("up")), "up", "left_semi").drop("up") for t in (left, right))
-        found = left.join(right, "prefix", "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select("prefix")
+        found = _kept(left.join(right, "prefix", "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select("prefix"))
     return found
 
 
 def changes(before: DataFrame, after: DataFrame, depth: int, trees: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Rows that stand more often in one table than in the other, with ``side`` (``before``, ``after``) and ``times``, how
     much more. ``trees``: of the two tables, where they are kept; rows in leaves that agree are not compared."""
-    a, b = trees or tuple(tree(leaves(t, depth), depth) for t in (before, after))
+    a, b = trees or tuple(_kept(tree(_kept(leaves(t, depth)), depth)) for t in (before, after))
     leaf = differing(a, b, depth)
     columns = sorted(before.columns)
 
