@@ -228,9 +228,9 @@ def _block_links(open_: DataFrame, sets: DataFrame, share: tuple[int, int]) -> D
 
 
 def _several_components(open_: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (``bucket``, ``id``, ``n``) of buckets of several components, with their ``component``, the ``largest``
-    one of the bucket and its number of ``rows``."""
-    named = open_.select("bucket", "id", "n").join(labels, "id")
+    """The rows (``bucket``, ``id``, ``n``, ``times``) of buckets of several components, with their ``component``, the
+    ``largest`` one of the bucket and its number of ``rows``. ``times``: of how many buckets it is one."""
+    named = open_.select("bucket", "id", "n", "times").join(labels, "id")
     parts = named.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("rows"))
     return materialize(named.join(parts.filter("parts > 1"), "bucket").drop("parts"), "open")
 
@@ -246,8 +246,10 @@ def _judged(docs: DataFrame, width: int, share: tuple[int, int], bands: int, row
 
     part = lambda k: F.xxhash64(F.substring(F.col("registers"), 2 * rows * k + 1, 2 * rows), F.lit(k))
     banded = nodes.select("id", F.col("n_shingles").alias("n"), F.explode(F.array(*(part(k) for k in range(bands)))).alias("bucket"))
-    several = banded.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("bucket")
-    several = materialize(several, "several")  # then the join deals both sides anew, and a large bucket can be split
+    # of buckets with the same members one stands for all: near copies share most of their bands
+    members = [F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("rows"), F.expr("bit_xor(xxhash64(id))").alias("one"), F.expr("bit_xor(xxhash64(id, 1))").alias("two")]
+    several = banded.groupBy("bucket").agg(*members).filter("first < last").groupBy("first", "last", "rows", "one", "two").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times"))
+    several = materialize(several.select("bucket", "times"), "several")  # then the join deals both sides anew, and a large bucket can be split
     open_ = materialize(banded.join(several, "bucket"), "buckets")
     labels = materialize(open_.select("id").distinct().select("id", F.col("id").alias("component")), "labels")
     wanted = materialize(nodes.join(labels.select("id"), "id", "left_semi").select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.t").alias("t")), "wanted")
@@ -260,9 +262,9 @@ def _judged(docs: DataFrame, width: int, share: tuple[int, int], bands: int, row
         nth += 1
         open_ = _several_components(open_, labels)
         inside = open_.filter("component = largest").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket", F.lit(nth)).alias("drawn"), "id", "n")).alias("x"))
-        met = open_.filter("component <> largest").select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"))
+        met = open_.filter("component <> largest").select("bucket", "times", F.col("id").alias("b"), F.col("n").alias("n_b"))
         met = met.join(inside.select("bucket", F.col("x.id").alias("a"), F.col("x.n").alias("n_a")), "bucket").filter(alike)
-        best = met.groupBy("b", "a").count().groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a"))
+        best = met.groupBy("b", "a").agg(F.sum("times").alias("count")).groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a"))
         linked = materialize(_confirmed(_estimated(best.select("a", "b"), nodes, least), texts, width, share), "linked")
         going = linked.count() >= FAIR * max(1, open_.filter("component <> largest").select("id").distinct().count())
         labels = _joined(labels, linked)
