@@ -199,9 +199,16 @@ def train(findings: DataFrame, trees: int = 21, depth: int = 9, seed: int = 9) -
     return forest_sql(grown(findings, trees, depth, seed))
 
 
+#: The forest by Spark application: its findings are the same at every call, so it is grown once.
+_grown: dict[str, str] = {}
+
+
 def trained(spark: SparkSession) -> str:
     """The forest of all labelled findings."""
-    return train(labelled_findings(spark))
+    app = spark.sparkContext.applicationId
+    if app not in _grown:
+        _grown[app] = train(labelled_findings(spark))
+    return _grown[app]
 
 
 def forest_sql(printed: str) -> str:
