@@ -1,7 +1,9 @@
 """Queue semantics as Structured Streaming state: leases, retries, rate limits, cooldowns (STM02-STM07).
 
 Input rows are events with a time of their own; nothing reads the clock, so a replay gives the same results. Each
-function groups by a key and keeps a few numbers a key; late events before the watermark are dropped by Spark.
+function groups by a key and keeps a few numbers a key. ``leases``, ``limiter`` and ``cooldowns`` have no watermark: they take
+events in the order in which batches bring them, and keep a key's numbers for ever. ``streaming.timers`` has forms that
+order events by time and forget keys without news.
 """
 
 from __future__ import annotations
