@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Paths of the tables written inside the innermost ``settled`` or ``scratch`` block.
 _written: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("written", default=None)
+#: Tables of the catalog among them, by path.
+_named: dict[str, str] = {}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,7 +52,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``materialize``, in as many buckets of ``key`` as shuffles have partitions: joins on ``key`` leave its rows where they are."""
+    spark = df.sparkSession
+    own = f"lodestore_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestore-{spark.sparkContext.applicationId}/{own}"
+    written = _written.get()
+    if written is not None:
+        written.append((spark, path))
+        _named[path] = own
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(own)
+    return spark.table(own)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop(path)}")
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -26,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import fresh, lean_batches, materialize, settled, text_or_empty, worker_state
+from lodestore.llm.common import bucketed, fresh, lean_batches, materialize, settled, text_or_empty, worker_state
 from lodestore.llm.words import find_words, mix, shingles, text_chunks, word_hashes
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -129,7 +129,11 @@ def _estimated(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (a, b) with share[1] * shared >= share[0] * all shingles, on full sets."""
+    """Those of the pairs (a, b) with share[1] * shared >= share[0] * all shingles, on full sets.
+
+    ``texts`` lies in buckets of its ids, so only the texts of b travel, once, and those of the distinct a. These two sides
+    have plain exchanges, since many pairs may have the same a.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +145,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int,
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     one = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t_{c}"))
-    met = pairs.select("a", "b").join(one("b"), "b").join(one("a"), "a")
+    pairs = materialize(pairs.select("a", "b"), "estimated")
+    asked = materialize(one("a").join(pairs.select("a").distinct(), "a", "left_semi"), "asked")
+    met = pairs.join(one("b"), "b").join(asked, "a")
     return met.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -254,7 +260,7 @@ def _judged(docs: DataFrame, width: int, share: tuple[int, int], bands: int, row
     labels = materialize(open_.select("id").distinct().select("id", F.col("id").alias("component")), "labels")
     wanted = materialize(nodes.join(labels.select("id"), "id", "left_semi").select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.t").alias("t")), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), text_or_empty(F.col(text_col)).alias("text")).join(wanted, ["id", "t"])
-    texts = materialize(texts.groupBy(F.col("node").alias("id")).agg(F.first("text").alias("text")), "texts")
+    texts = bucketed(texts.groupBy(F.col("node").alias("id")).agg(F.first("text").alias("text")), "texts", "id")
     least, alike = share[0] / share[1] - MARGIN, share[1] * F.least("n_a", "n_b") >= share[0] * F.greatest("n_a", "n_b")
 
     nth, going = 0, True
