@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestore.operators import embedding as em
 from lodestore.plans.base import chunks_of, documents, query, table
+from lodestore.streaming import tickets as tk
 
 
 @query("embedded_emb01")
@@ -22,3 +23,12 @@ def degraded(spark, sf_dir):
     """Short turns stand for chunks without a vector."""
     missing = F.count_if(F.length("text") < 100)
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(em.status_with_vectors(F.lit("ready"), missing).alias("status"))
+
+
+@query("tickets_stm08")
+def ticketed(spark, sf_dir):
+    """Every event is a request, each user an instance, the properties are what is asked and the value says how long it takes.
+    Events are hours apart, so costs and limits are hours as well: with seconds no request would meet another."""
+    rule = tk.Tickets(most=3, deadline=8 * 3600, ttl=2 * 86400)
+    requests = table(spark, sf_dir, "events").withColumn("seconds", F.col("value") * 1200)
+    return tk.batch(requests, rule, "user_id", "ts", "event_id", "props", "seconds")

@@ -154,11 +154,20 @@ class _Processor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.rule.state)
+        self.keep(handle)
         event = ", ".join(filter(None, ("at long, seq long", self.rule.event)))
         self.names = _names(event)
         self.waiting = handle.getListState("waiting", event)
 
+    def keep(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", self.rule.state)
+
+    def load(self) -> tuple | None:
+        return tuple(map(int, self.state.get())) if self.state.exists() else None
+
+    def save(self, state: tuple | None) -> None:
+        self.state.clear() if state is None else self.state.update(state)
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for frame in rows:
             for row in frame[self.names].itertuples(index=False, name=None):
@@ -171,16 +180,13 @@ class _Processor(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs() / 1000
         events = [tuple(map(_plain, e)) for e in self.waiting.get()]
         ripe = [e for e in events if e[0] + 1 <= now]  # no event of that second can come any more
-        before = tuple(map(int, self.state.get())) if self.state.exists() else None
         # time goes on to the last second whose events are all there, and no further than events that still wait
-        state, rows = fold(self.rule, before, ripe, min([now - 1, *(e[0] for e in events if e not in ripe)]))
+        state, rows = fold(self.rule, self.load(), ripe, min([now - 1, *(e[0] for e in events if e not in ripe)]))
         if ripe:
             later = [e for e in events if e not in ripe]
             self.waiting.put(later) if later else self.waiting.clear()
-        if state is None:
-            self.state.clear()
-        else:
-            self.state.update(state)
+        self.save(state)
+        if state is not None:
             self.handle.registerTimer(max(self.rule.wake(state) * 1000 + 2001, int(now * 1000) + 1))
         yield self._told(key, rows)
 
@@ -191,7 +197,7 @@ class _Processor(StatefulProcessor):
         pass
 
 
-def stream(events: DataFrame, rule: Any, key: str, ts: str, seq: str, late: str = "10 minutes") -> DataFrame:
+def stream(events: DataFrame, rule: Any, key: str, ts: str, seq: str, late: str = "10 minutes", processor: type[_Processor] = _Processor) -> DataFrame:
     """The same for a stream, in append mode. Events more than ``late`` behind the newest one are dropped."""
     own = _prepared(events, rule, key, ts, seq).withWatermark("ts", late)
-    return own.groupBy("key").transformWithStateInPandas(statefulProcessor=_Processor(rule), outputStructType=f"key string, {rule.output}", outputMode="Append", timeMode="EventTime")
+    return own.groupBy("key").transformWithStateInPandas(statefulProcessor=processor(rule), outputStructType=f"key string, {rule.output}", outputMode="Append", timeMode="EventTime")
