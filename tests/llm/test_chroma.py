@@ -102,3 +102,27 @@ def test_search_of_short_held_and_repeated_recordings(spark):
     held = np.repeat(rng.integers(0, 2**32, 3, dtype=np.uint32), (400, 3, 300))
     got, expected = recalled(spark, {100: short, 101: np.append(short, np.uint32(7)), 200: far, 201: near, 300: held, 301: held[50:]})
     assert {i for i, *_ in expected} >= {101, 201, 301} and got == expected
+
+
+@pytest.mark.xfail(strict=True, reason="open: 33 of 40; under the loudest noise 7 of 8 recordings have fewer than VOTES equal integers at an offset")
+def test_recall_against_bit_errors_alone(spark):
+    """Recordings cut and played over noise: of the pairs with few bit errors at any offset that half of the shorter one
+    meets, whether or not any integers are equal, at least 0.9 are found."""
+    tunes, rng = {100 * k: tune(k) for k in range(1, 9)}, np.random.default_rng(12)
+    played = dict(tunes)
+    for k in range(1, 9):
+        for j, noise in enumerate((0.02, 0.05, 0.1, 0.2, 0.4)):
+            cut = tunes[100 * k][(7 * j + k) * chroma.HOP :]
+            played[100 * k + 1 + j] = cut + noise * rng.standard_normal(len(cut))
+    items = {i: prints(x) for i, x in played.items()}
+    expected = set()
+    for i, a in items.items():
+        for q in tunes:
+            b = items[q]
+            half = min(len(a), len(b)) // 2
+            fits = [chroma.bit_errors(a, b, o) for o in range(1 - len(b), len(a))]
+            if i != q and min((e for e, n in fits if n >= half), default=1.0) <= chroma.ERRORS:
+                expected.add((i, q))
+    found = spark.createDataFrame([(i, x.astype(np.int64).tolist()) for i, x in items.items()], "id long, items array<long>")
+    got = {(r["id"], r["match_class"]) for r in chroma.search(found).filter("n_matches > 0").collect()}
+    assert len(expected) >= 20 and len(got & expected) >= 0.9 * len(expected)
