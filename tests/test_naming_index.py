@@ -47,6 +47,18 @@ def test_against_all_pairs(spark):
         assert "=" in join, join
 
 
+def test_only_what_fits_is_proposed(spark):
+    """Sources and values have runs of four letters in common by the dozen; the pairs that fit are few."""
+    values = [(i, False, i, [f"Brand#{i % 25} {i * 13 % 9000}", f"OPP-2024-{i:06d}"]) for i in range(600)]
+    requests = [(i, f"Brand#{i % 25} {i * 7 % 9000} steel {i:04d}") for i in range(80)]
+    references = spark.createDataFrame(values, "reference_id long, is_project boolean, position long, values array<string>")
+    asked = spark.createDataFrame(requests, "request_id long, source string")
+    proposed = nm.proposed(asked, nm.listed_values(references))
+    assert "Broadcast" not in proposed._jdf.queryExecution().sparkPlan().toString()
+    got = {tuple(r) for r in proposed.collect()}
+    assert got == {(i, v) for i, source in requests for r in values for v in r[3] if score(v, source)}
+
+
 def test_nothing(spark):
     none = spark.createDataFrame([], "reference_id long, is_project boolean, position long, values array<string>")
     asked = spark.createDataFrame([(1, "kiln"), (2, None)], "request_id long, source string")
