@@ -12,6 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: White space, as a part of a character class: what RE2 takes for it. Java's ``\s`` has the vertical tab besides.
+BLANK = r"\t\n\f\r "
+
+
 def sections(blocks: DataFrame, key: str, order: str, heading: Column) -> DataFrame:
     """``section``: the last heading up to each block (WIN04, SRC02)."""
     upto = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -179,14 +183,15 @@ def page_evidence(lines: DataFrame, key: list[str], line: str = "line") -> DataF
 
 
 def drawing_prose(text: Column) -> Column:
-    """Whether a page's text is prose and so no drawing (VIS05)."""
+    """Whether a page's text is prose and so no drawing (VIS05). Words end where no ASCII letter, digit or underscore
+    follows: an accented letter ends one."""
     lines = F.split(text, "\n")
     prose = F.aggregate(lines, F.lit(0), lambda s, x: s + F.when(F.length(x) >= 65, F.length(x)).otherwise(0))
     count = lambda p: F.regexp_count(text, F.lit(p))
     return (
         ((prose >= 180) & (prose / F.greatest(F.lit(1), F.length(text)) >= 0.5))
         | ((count("[㐀-鿿]") >= 120) & (count("[。；]") >= 3))
-        | ((count(r"\b[A-Za-z]{3,}\b") >= 30) & (count(r"[.!?](?=\s|$)") >= 3))
+        | ((count(r"(?<![0-9A-Za-z_])[A-Za-z]{3,}(?![0-9A-Za-z_])") >= 30) & (count(rf"[.!?](?=[{BLANK}]|\z)") >= 3))
     )
 
 

@@ -77,6 +77,12 @@ def test_packing_is_linear():
     assert many < 25 * few + 1 and sum(p.count("row ") for p in pieces) == 1_000_000 and all(p.startswith("head line\n") for p in pieces)
 
 
+def test_drawing_prose_counts_ascii_words(spark):
+    """An accented letter parts words, a vertical tab or a line separator ends no sentence: as in the SQL."""
+    accented, marked = " ".join(["éabc"] * 40) + " a. b. c.", " ".join(["abc"] * 40) + ".\x0b.\x0b.\u2028"
+    assert column(spark, [accented, marked, " ".join(["abc"] * 40) + ". . ."], df.drawing_prose) == [True, False, True]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="ab \t\n", max_size=40), min_size=1, max_size=20))
 def test_hard_split_keeps_all(spark, texts):
