@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestore.functions.text import bind
+
 
 #: White space, as a part of a character class: what RE2 takes for it. Java's ``\s`` has the vertical tab besides.
 BLANK = r"\t\n\f\r "
@@ -125,12 +127,11 @@ def packed(texts: Column, budget: int, header: bool = True) -> Column:
 
 
 def hard_split(text: Column, budget: Column | int) -> Column:
-    """Pieces of ``budget`` words, the last one shorter; joined they are the text again (CHK03)."""
-    words = F.regexp_extract_all(text, F.lit(r"\s*\S+\s*$|\s*\S+"), F.lit(0))
-    n = F.size(words)
-    size = budget if isinstance(budget, Column) else F.lit(budget)
-    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), size)).otherwise(F.array().cast("array<int>"))
-    return F.when(n == 0, F.array(text)).otherwise(F.transform(starts, lambda s: F.array_join(F.slice(words, s, size), "")))
+    """Pieces of ``budget`` words, the last one shorter; joined they are the text again (CHK03). One expression finds whole
+    pieces: words in an array, cut by a lambda, would be found anew for each piece."""
+    most = F.concat(F.lit("{1,"), budget.cast("string"), F.lit("}")) if isinstance(budget, Column) else F.lit(f"{{1,{budget}}}")
+    piece = F.concat(F.lit(rf"(?:[{BLANK}]*+[^{BLANK}]++)"), most, F.lit(rf"+(?:[{BLANK}]++\z)?"))
+    return bind(F.regexp_extract_all(text, piece, F.lit(0)), lambda found: F.when(F.size(found) == 0, F.array(text)).otherwise(found))
 
 
 def split_chunks(chunks: DataFrame, limit: int, key: str = "chunk_id", text: str = "text") -> DataFrame:
