@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestore.functions.text import bind
+from lodestore.session import lean_batches
 
 
 #: White space, as a part of a character class: what RE2 takes for it. Java's ``\s`` has the vertical tab besides.
@@ -137,6 +138,7 @@ def hard_split(text: Column, budget: Column | int) -> Column:
 def split_chunks(chunks: DataFrame, limit: int, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """Chunks of more than ``limit`` words in parts (CHK01): the budget is 85 % of the limit, ``part`` counts from 1
     and ``parts`` is their number; other chunks stay, with part and parts null (WIN12)."""
+    lean_batches(chunks.sparkSession)
     budget = max(1, min(limit - 1, int(limit * 0.85)))
     n = F.regexp_count(F.col(text), F.lit(r"\S+"))
     long = F.when(n > limit, F.split(text, "\n"))  # null for the others, so only long texts pass through Python
