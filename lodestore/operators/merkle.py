@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.operators.integrity import row_digest
-from lodestore.sources.commits import CommitLog, written
-from lodestore.sources.shared import shared_folder
+from lodestore.sources.commits import kept
 
 #: Rows of a leaf that ``depth_for`` aims at.
 LEAF = 4096
@@ -46,9 +45,7 @@ def leaves(df: DataFrame, depth: int) -> DataFrame:
 
 def _kept(below: DataFrame) -> DataFrame:
     """Nodes written to the shared folder: they are few, and every level of a comparison reads them."""
-    spark = below.sparkSession
-    log = CommitLog(spark, f"{shared_folder(spark)}/lodestore-{spark.sparkContext.applicationId}/leaves")
-    return spark.read.schema(below.schema).parquet(log.files.at(written(log, below, "leaves")))
+    return kept(below, "leaves")
 
 
 def tree(below: DataFrame, depth: int) -> DataFrame:

@@ -14,6 +14,7 @@ from lodestore.operators import resolve as rs
 from lodestore.operators import security as sec
 from lodestore.plans.base import ALICE, KB, chunks_of, documents, grants, query, readable_sql, table
 from lodestore.plans.text import FOLD, names
+from lodestore.sources.commits import kept
 
 
 @query("star_joi01", "SELECT c.c_custkey, n.n_name, count(*) AS orders, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY ALL")
@@ -104,16 +105,21 @@ def share_held(items, docs):
 
     The first and last word of a passage may be parts of a document's words, so keys are of those between: three in a row,
     or the one or two there are. Of a passage's keys the one that fewest documents hold proposes documents; one that
-    none holds proves that the passage is nowhere. Only passages of one or two words are compared with all documents.
+    none holds proves that the passage is nowhere. Keys are joined by digests, and the few that documents have in common
+    with passages are written once. Only passages of one or two words are compared with all documents.
     """
     words = F.split("passage", " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    runs = lambda w, k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
+    run = lambda w, i, k: F.xxhash64(*(F.get(w, i + j) for j in range(k)))
+    runs = lambda w, k: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: run(w, i, k))
     listed = items.select("item_id", "passage", inner.alias("w"))  # a column, or each step of the lambda would split again
-    keyed = listed.filter(F.size("w") > 0).select("item_id", "passage", F.explode(F.array_distinct(F.when(F.size("w") >= 3, runs(F.col("w"), 3)).otherwise(F.array(F.array_join("w", " "))))).alias("key"))
+    of = lambda w, ks: F.flatten(F.array(*(F.when(F.size(w) >= k, runs(w, k)).otherwise(F.array().cast("array<bigint>")) for k in ks)))
+    keyed = listed.filter(F.size("w") > 0).withColumn("k", F.least(F.size("w"), F.lit(3)))
+    sizes = sorted(r["k"] for r in keyed.select("k").distinct().collect())  # of 1, 2, 3; runs of no other size are looked for
+    keyed = keyed.select("item_id", "passage", F.explode(F.array_distinct(F.when(F.col("k") == 3, runs(F.col("w"), 3)).when(F.col("k") == 2, runs(F.col("w"), 2)).otherwise(runs(F.col("w"), 1)))).alias("key"))
     split = docs.select("doc_id", F.split("text", " ").alias("w"))
-    held = F.flatten(F.array(*(F.when(F.size("w") >= k, runs(F.col("w"), k)).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3))))
-    met = split.select("doc_id", F.explode(F.array_distinct(held)).alias("key")).join(keyed.select("key").distinct(), "key", "left_semi")
+    met = split.select("doc_id", F.explode(of(F.col("w"), sizes)).alias("key")) if sizes else split.select("doc_id", F.lit(0).cast("long").alias("key")).limit(0)
+    met = kept(met.join(keyed.select("key").distinct(), "key", "left_semi").distinct(), "met")
     often = met.groupBy("key").agg(F.count("*").alias("n"))
     rarest = keyed.join(often, "key", "left").groupBy("item_id", "passage").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key"))).alias("r")).filter("r.n > 0")
     near = met.join(rarest.select("item_id", "passage", F.col("r.key").alias("key")), "key")

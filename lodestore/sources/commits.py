@@ -17,6 +17,8 @@ from urllib.parse import unquote, urlparse
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestore.sources.shared import shared_folder
+
 
 class Conflict(RuntimeError):
     """Another writer committed first."""
@@ -160,3 +162,10 @@ def drop_unnamed(spark: SparkSession, folder: str, keep: int = 2) -> list[str]:
     for f in gone:
         log.files.delete(f)
     return gone
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder of its session and read again, for what several steps read."""
+    spark = df.sparkSession
+    log = CommitLog(spark, f"{shared_folder(spark)}/lodestore-{spark.sparkContext.applicationId}/{name}")
+    return spark.read.schema(df.schema).parquet(log.files.at(written(log, df, name)))

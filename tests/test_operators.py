@@ -13,6 +13,7 @@ from lodestore.functions import contract, notices
 from lodestore.functions import text as tx
 from lodestore.functions.unicode import normalize, normalized
 from lodestore.operators import dataflow as df
+from lodestore.plans.relations import share_held
 from lodestore.operators import lifecycle as lc
 from lodestore.operators import resolve as rs
 from lodestore.operators import retrieval as rt
@@ -90,6 +91,28 @@ def test_hard_split_keeps_all(spark, texts):
     assert ["".join(p) for p in pieces] == texts
 
 
+def test_hard_split_finds_pieces_once(spark):
+    words = spark.createDataFrame([("a b\t c\x0bd  e \n",), ("  ",), (None,)], "t string").select(df.hard_split(F.col("t"), 2).alias("p"))
+    assert [r["p"] for r in words.collect()] == [["a b", "\t c\x0bd  e \n"], ["  "], None]
+    assert words._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_split_chunks_has_lean_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 28)
+    df.split_chunks(spark.createDataFrame([(1, "a b c")], "chunk_id long, text string"), 2)
+    assert [int(spark.conf.get(f"spark.sql.execution.arrow.{x}").rstrip("b")) for x in ("maxRecordsPerBatch", "maxBytesPerBatch")] == [1000, 1 << 20]
+
+
+def test_passages_are_looked_for_once(spark):
+    """Documents are taken apart once: the keys that they share with passages are kept."""
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "xone two threey"), (3, "a b"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "ne two three fou"), (2, "one two four"), (3, "a b"), (4, "e two t"), (5, "")], "item_id long, passage string")
+    got = share_held(items, docs)
+    assert tuple(got.first()) == (5, 4, 0.8)
+    assert "split(text" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_batches(spark):
     values = [[f"v{i}" * (i % 5 + 1) for i in range(40)], [], ["x" * 2000, "y"]]
     got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v array<string>").orderBy("i").select(df.batches(F.col("v"), 12, 60)).collect()]
