@@ -49,16 +49,22 @@ class Postings:
         return self.spark.read.schema(schema[kind]).parquet(self.log.files.at(name))
 
     def _segment(self, chunks: DataFrame) -> dict:
-        """Write the segment of chunks (``doc_id``, ``ordinal``, ``text``)."""
-        found = chunks.select(F.col("doc_id").cast("long"), F.col("ordinal").cast("int"), "text", self.tokens(F.coalesce("text", F.lit(""))).alias("words"))
-        counted = found.select(*KEY, F.explode("words").alias("word")).groupBy("word", *KEY).agg(F.count("*").cast("int").alias("n"))
-        dealt = counted.withColumn("bucket", _bucket(F.col("word"), self.buckets))
+        """Write the segment of chunks (``doc_id``, ``ordinal``, ``text``). The words are written first, so texts are cut
+        once; postings are counted where they will lie, since equal words of a chunk go to one task in any case."""
+        cut = chunks.select(F.col("doc_id").cast("long"), F.col("ordinal").cast("int"), F.sha2(F.col("text"), 256).alias("digest"), self.tokens(F.coalesce("text", F.lit(""))).alias("words"))
+        words = written(self.log, cut, "words")
+        found = self.spark.read.schema(cut.schema).parquet(self.log.files.at(words))
+        share = F.pmod(F.xxhash64("doc_id"), F.lit(self.spread))
+        each = found.select(*KEY, F.explode("words").alias("word")).withColumns({"bucket": _bucket(F.col("word"), self.buckets), "share": share})
         # a file for each bucket and share of the documents, sorted by word: row groups of other words are skipped
-        sorted_ = dealt.repartition(self.buckets * self.spread, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(self.spread))).sortWithinPartitions("bucket", "word", *KEY)
-        return {
-            "postings": written(self.log, sorted_, "postings", "bucket"),
-            "chunks": written(self.log, found.select(*KEY, F.sha2(F.col("text"), 256).alias("digest"), F.size("words").alias("n")), "chunks"),
+        dealt = each.repartition(self.buckets * self.spread, "bucket", "share")
+        counted = dealt.groupBy("bucket", "share", "word", *KEY).agg(F.count("*").cast("int").alias("n")).drop("share")
+        segment = {
+            "postings": written(self.log, counted.sortWithinPartitions("bucket", "word", *KEY), "postings", "bucket"),
+            "chunks": written(self.log, found.select(*KEY, "digest", F.size("words").alias("n")), "chunks"),
         }
+        self.log.files.delete(words)
+        return segment
 
     def build(self, chunks: DataFrame) -> None:
         """The index of all chunks (``doc_id``, ``ordinal``, ``text``), in place of what it was."""

@@ -117,3 +117,18 @@ def test_unfenced_writers_all_commit(spark, tmp_path):
     for t in threads:
         t.join()
     assert log.last() == 5 and log.entry() == {"n": 5}
+
+
+def test_texts_are_cut_once(spark, tmp_path):
+    times = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(text):
+        times.add(1)
+        return text.split()
+
+    index = Postings(spark, str(tmp_path / "once"), buckets=4, tokens=words)
+    index.build(spark.createDataFrame([(i, 0, f"a b{i % 3} a") for i in range(20)], "doc_id long, ordinal int, text string"))
+    assert times.value == 20
+    assert sorted(map(tuple, index.postings(["a", "b1"]).filter("doc_id < 2").collect())) == [("a", 0, 0, 2), ("a", 1, 0, 2), ("b1", 1, 0, 1)]
+    assert {r["n"] for r in index.indexed().collect()} == {3}
