@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.functions.text import IDENTIFIER, WORD_RUN
+from lodestore.session import lean_batches
 
 #: Runs of characters that have no blanks between words.
 HAN = r"\p{IsHan}+"
@@ -106,8 +107,12 @@ class Vocabulary:
 
     def search(self, run: str) -> list[str]:
         """As ``cut``, and before each word of three characters and more the shorter words inside it, by length, then place."""
+        return self.with_inner(self.cut(run))
+
+    def with_inner(self, cut: list[str]) -> list[str]:
+        """The words of ``search`` from those of ``cut``."""
         out = []
-        for word in self.cut(run):
+        for word in cut:
             for size in range(2, len(word)):
                 out += [word[i : i + size] for i in range(len(word) - size + 1) if word[i : i + size] in self.words]
             out.append(word)
@@ -115,9 +120,11 @@ class Vocabulary:
 
 
 class Segmenter:
-    """Columns of words by a vocabulary (``word``, ``n``) of bounded size, as ``learn`` makes it."""
+    """Columns of words by a vocabulary (``word``, ``n``) of bounded size, as ``learn`` makes it. Its session has lean
+    batches from then on."""
 
     def __init__(self, vocabulary: DataFrame, runs: str = HAN):
+        lean_batches(vocabulary.sparkSession)
         self.vocabulary = Vocabulary.of({r["word"]: r["n"] for r in vocabulary.collect()})
         self.runs = runs
 
@@ -133,6 +140,17 @@ class Segmenter:
 
         return cut(F.coalesce(run, F.array().cast("array<string>")))
 
+    def both(self, text: Column) -> Column:
+        """The words of a text that is one run, without search mode and with it, as two arrays in one: cut once."""
+        known = self.vocabulary
+
+        @F.pandas_udf("array<array<string>>")
+        def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for series in batches:
+                yield series.map(lambda run: [words := known.cut(run or ""), known.with_inner(words)])
+
+        return cut(text)
+
     def tokens(self, text: Column) -> Column:
         """The tokens of a text (STR02): words of its runs without blanks in search mode, other runs of letters and
         digits, then whole identifiers. Use it in place of ``functions.text.segmented``, for chunks and queries alike."""

@@ -124,9 +124,13 @@ def numeric_gaps(spark, sf_dir):
     return done.select("l_orderkey", "l_linenumber", F.array_join("gaps", " ").alias("missing"), F.size("tokens").cast("long").alias("readings"))
 
 
+def without_blanks(text):
+    return F.lower(F.regexp_replace(text, r"[^\p{L}]+", ""))
+
+
 def unspaced(spark, sf_dir):
     """``doc_id``, ``text``: the letters of each document in one run, as text without blanks."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.regexp_replace("text", r"[^\p{L}]+", "")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", without_blanks(F.col("text")).alias("text"))
 
 
 def vocabulary_of(spark, sf_dir):
@@ -140,11 +144,11 @@ def vocabulary_of(spark, sf_dir):
 def segmented_documents(spark, sf_dir):
     """Texts whose blanks were taken out, cut into words of a vocabulary learned from them, beyond SQL: held against a plain
     dynamic program in the tests. ``found``: the words that the texts had."""
-    words = Segmenter(vocabulary_of(spark, sf_dir), r"\p{L}+").words
-    known = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("own"))
-    cut = unspaced(spark, sf_dir).select("doc_id", words(F.array("text"), search=False).alias("cut"), words(F.array("text")).alias("search"))
+    both = Segmenter(vocabulary_of(spark, sf_dir), r"\p{L}+").both
+    cut = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("own"), both(without_blanks(F.col("text"))).alias("words"))
+    found = cut.select("doc_id", "own", F.get("words", F.lit(0)).alias("cut"), F.get("words", F.lit(1)).alias("search"))
     digest = lambda c: F.sha2(F.array_join(c, "|"), 256)
-    return cut.join(known, "doc_id").select("doc_id", F.size("cut").alias("n_words"), F.size("search").alias("n_search"), F.size(F.array_intersect("own", "cut")).alias("found"), digest("cut").alias("cut_sha256"), digest("search").alias("search_sha256"))
+    return found.select("doc_id", F.size("cut").alias("n_words"), F.size("search").alias("n_search"), F.size(F.array_intersect("own", "cut")).alias("found"), digest("cut").alias("cut_sha256"), digest("search").alias("search_sha256"))
 
 
 @query("timeout_str15", "SELECT doc_id, least(120 + n_chars * 5000 // 524288, 600) AS seconds FROM documents")

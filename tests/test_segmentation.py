@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestore.operators.postings import Postings
 from lodestore.operators.segmentation import BEGIN, END, Segmenter, Vocabulary, learn
-from lodestore.plans.text import unspaced, vocabulary_of
+from lodestore.plans.text import segmented_documents, unspaced, vocabulary_of
 
 SENTENCES = ("最高工作温度为八十摄氏度", "工作温度不得超过八十摄氏度", "摄氏度是温度的单位", "设备的工作温度", "最高温度与最低温度", "回转窑的工作方式", "窑内温度很高", "工作人员记录摄氏度", "高温回转窑设备", "最高的设备")
 
@@ -93,3 +93,12 @@ def test_documents_against_a_plain_program(spark, sf, search):
             assert r["w"] == (inner if search else cut)
             longer += len(inner) > len(cut)
     assert longer > 10
+
+
+def test_texts_are_cut_in_lean_batches(spark, sf):
+    """Once, beside their words and not in a join, by batches that bound what a worker holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    plan = segmented_documents(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") <= 1 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    v = Vocabulary.of({"ab": 3, "abc": 9, "bc": 2})
+    assert v.with_inner(v.cut("abcab")) == v.search("abcab") == ["ab", "bc", "abc", "ab"]
