@@ -118,7 +118,7 @@ def parse_timeout(size: Column) -> Column:
 
 
 # Fixed value: the grammar of a reading, with its diameter or radius mark, sign and degree mark.
-NUMBER = r"(?<![A-Za-z0-9_.])(?:[φR]\s*)?(?:[+±-]\s*)?\p{Nd}+(?:[.,]\p{Nd}+)*(?:\s*°)?"
+NUMBER = r"(?<![A-Za-z0-9_.])(?:[φRr]\s*)?(?:[+±-]\s*)?\p{Nd}+(?:[.,]\p{Nd}+)*(?:\s*°)?"
 
 
 @cache
@@ -162,7 +162,7 @@ def compatible(text: Column) -> Column:
 def numeric_tokens(text: Column) -> Column:
     """Distinct readings of a text (STR14): compatibility forms and marks unified, white space removed, in order of appearance."""
     unified = F.translate(compatible(text), "ΦØø⌀−", "φφφφ-")
-    return F.array_distinct(F.transform(F.regexp_extract_all(unified, F.lit(f"(?i){NUMBER}"), F.lit(0)), lambda t: F.replace(squash(t), F.lit("r"), F.lit("R"))))
+    return F.array_distinct(F.transform(F.regexp_extract_all(unified, F.lit(NUMBER), F.lit(0)), lambda t: F.translate(t, "r \t\n\x0b\f\r", "R")))
 
 
 def equivalent_number(token: Column) -> Column:
