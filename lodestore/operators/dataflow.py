@@ -249,12 +249,20 @@ def over_pages(boxes: DataFrame, key: list[str], columns: list[str], work: Calla
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema.fields[:-1])
     names = [x.split()[0] for x in out.split(", ")]
     types = {"long": pa.int64(), "double": pa.float64()}
-    row = pa.struct([(x.split()[0], types[x.split()[1]]) for x in out.split(", ")])
+    kinds = [types[x.split()[1]] for x in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [[dict(zip(names, r, strict=True)) for r in work([tuple(x[c] for c in columns) for x in rows])] for rows in batch.column(len(key)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], pa.array(done, pa.list_(row))], names=[*batch.schema.names[: len(key)], "_done"])
+            lists = batch.column(len(key))
+            flat = list(zip(*(c.to_pylist() for c in lists.flatten().flatten()), strict=True))
+            first, done, ends = lists.offsets[0].as_py(), [], [0]
+            bounds = [x - first for x in lists.offsets.to_pylist()]
+            for low, high in zip(bounds, bounds[1:]):
+                done += work(flat[low:high])
+                ends.append(len(done))
+            columns_ = zip(*done, strict=True) if done else ([] for _ in names)
+            rows = pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns_, kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names=[*batch.schema.names[: len(key)], "_done"])
 
     fields = ", ".join(f"{x.split()[0]}:{x.split()[1].replace('long', 'bigint')}" for x in out.split(", "))
     return pages.mapInArrow(run, f"{kept}, _done array<struct<{fields}>>").select(*key, F.inline("_done"))
