@@ -13,7 +13,8 @@ is left; they join the bulk of a group of copies at a cost in proportion to its
 still hold several components, the documents outside the largest one are held against all others: in small buckets
 pair by pair, in others block by block, on whole sets, so that only links leave a block and never its pairs. Pairs
 within a component add nothing, so no link between components is lost. Components come from joins and aggregates
-whose large side can be split; rounds are written to the shared folder.
+whose large side can be split; rounds are written to the shared folder. Few documents share a bucket: bands, registers and
+texts are chosen by broadcast bits of those that do before they are moved.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ MARGIN = 0.15
 FAIR = 0.05
 #: Buckets of at most so many rows meet pair by pair; others in blocks of so many rows.
 FEW, BLOCK = 16, 2048
+#: Bits for each key by which rows are chosen before a join, and their greatest number as a power of 2: 16 MB of words.
+SPARSE, BITS = 16, 26
 
 
 class Sketcher:
@@ -241,6 +244,17 @@ def _several_components(open_: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(named.join(parts.filter("parts > 1"), "bucket").drop("parts"), "open")
 
 
+def _among(rows: DataFrame, keys: DataFrame, *of: str) -> DataFrame:
+    """The rows whose columns ``of`` are those of a row of ``keys``, and about one in ``SPARSE`` of the others: a join with
+    ``keys`` that follows moves hardly more than it finds. The bits of all keys, at most ``1 << BITS``, are broadcast in
+    words of 64; more keys let more of the others through."""
+    bits = 1 << max(6, min(BITS, (SPARSE * keys.count()).bit_length()))
+    at, word = F.xxhash64(*of).bitwiseAND(bits - 1), F.shiftright("_at", 6)
+    set_ = keys.select(at.alias("_at")).groupBy(word.alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_at & 63 as int)))").alias("_bits"))
+    met = rows.withColumn("_at", at).join(F.broadcast(set_), word == F.col("_word"))
+    return met.filter("getbit(_bits, cast(_at & 63 as int)) = 1").drop("_at", "_word", "_bits")
+
+
 def _judged(docs: DataFrame, width: int, share: tuple[int, int], bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: ``id``, ``t`` (hash of its text), ``n_shingles``, ``component_id`` (null: has no id or no words) and
     ``least`` (whether its id and text hash are the least of its component)."""
@@ -252,14 +266,18 @@ def _judged(docs: DataFrame, width: int, share: tuple[int, int], bands: int, row
 
     part = lambda k: F.xxhash64(F.substring(F.col("registers"), 2 * rows * k + 1, 2 * rows), F.lit(k))
     banded = nodes.select("id", F.col("n_shingles").alias("n"), F.explode(F.array(*(part(k) for k in range(bands)))).alias("bucket"))
+    several = banded.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    several = materialize(several.select("bucket"), "several")  # then the join deals both sides anew, and a large bucket can be split
+    shared = materialize(_among(banded, several, "bucket").join(several, "bucket"), "shared")
     # of buckets with the same members one stands for all: near copies share most of their bands
     members = [F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("rows"), F.expr("bit_xor(xxhash64(id))").alias("one"), F.expr("bit_xor(xxhash64(id, 1))").alias("two")]
-    several = banded.groupBy("bucket").agg(*members).filter("first < last").groupBy("first", "last", "rows", "one", "two").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times"))
-    several = materialize(several.select("bucket", "times"), "several")  # then the join deals both sides anew, and a large bucket can be split
-    open_ = materialize(banded.join(several, "bucket"), "buckets")
+    groups = shared.groupBy("bucket").agg(*members).groupBy("first", "last", "rows", "one", "two").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times"))
+    open_ = materialize(shared.join(materialize(groups.select("bucket", "times"), "groups"), "bucket"), "buckets")
     labels = materialize(open_.select("id").distinct().select("id", F.col("id").alias("component")), "labels")
-    wanted = materialize(nodes.join(labels.select("id"), "id", "left_semi").select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.t").alias("t")), "wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), text_or_empty(F.col(text_col)).alias("text")).join(wanted, ["id", "t"])
+    near = materialize(_among(nodes, labels, "id").join(labels.select("id"), "id", "left_semi"), "near")
+    wanted = near.select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.t").alias("t"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), text_or_empty(F.col(text_col)).alias("text"))
+    texts = _among(texts, wanted, "id", "t").join(wanted, ["id", "t"])
     texts = bucketed(texts.groupBy(F.col("node").alias("id")).agg(F.first("text").alias("text")), "texts", "id")
     least, alike = share[0] / share[1] - MARGIN, share[1] * F.least("n_a", "n_b") >= share[0] * F.greatest("n_a", "n_b")
 
@@ -271,14 +289,14 @@ def _judged(docs: DataFrame, width: int, share: tuple[int, int], bands: int, row
         met = open_.filter("component <> largest").select("bucket", "times", F.col("id").alias("b"), F.col("n").alias("n_b"))
         met = met.join(inside.select("bucket", F.col("x.id").alias("a"), F.col("x.n").alias("n_a")), "bucket").filter(alike)
         best = met.groupBy("b", "a").agg(F.sum("times").alias("count")).groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a"))
-        linked = materialize(_confirmed(_estimated(best.select("a", "b"), nodes, least), texts, width, share), "linked")
+        linked = materialize(_confirmed(_estimated(best.select("a", "b"), near, least), texts, width, share), "linked")
         going = linked.count() >= FAIR * max(1, open_.filter("component <> largest").select("id").distinct().count())
         labels = _joined(labels, linked)
 
     open_ = _several_components(open_, labels)
     large = open_.filter(F.col("rows") > FEW)
     sets = materialize(_whole_sets(large, texts, width), "sets")
-    pairs = _estimated(_pairs(open_.filter(F.col("rows") <= FEW), share), nodes, least).select("a", "b")
+    pairs = _estimated(_pairs(open_.filter(F.col("rows") <= FEW), share), near, least).select("a", "b")
     crossing = materialize(pairs.unionByName(_block_links(large, sets, share)).distinct(), "crossing")
     labels = _joined(labels, materialize(_confirmed(crossing, texts, width, share), "linked"))
 

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestore.llm import near_dedup as nd
 from tests.llm.conftest import same
@@ -105,3 +106,24 @@ def test_strays_beside_a_large_group_meet_by_rare_shingles(spark, monkeypatch):
         cut = random.randrange(130, 170)
         texts[i] = " ".join([*base[:cut], *(f"u{i % 5}_{k}" for k in range(200 - cut))])
     check(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, 2)
+
+
+def test_rows_are_chosen_before_they_are_moved(spark):
+    """All rows of the keys, repeated ones and null parts of keys too, and few others; of more keys than bits all."""
+    rows = spark.range(40_000).select(F.when(F.col("id") % 1000 > 0, F.col("id")).alias("a"), (F.col("id") % 7).alias("b")).union(spark.range(5, 6).select("id", F.lit(5)))
+    keys = rows.filter("a % 50 = 5 or a is null")
+    found = nd._among(rows, keys, "a", "b")
+    assert found.columns == ["a", "b"] and keys.exceptAll(found).count() == 0 and found.exceptAll(rows).count() == 0
+    assert found.count() < keys.count() + 40_000 // 8
+    assert nd._among(rows, keys.limit(0), "a", "b").count() == 0
+
+
+def test_texts_are_chosen_before_they_are_moved(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i // 3) * 40 + k}" for k in range(40)) + (" x" * (i % 3))) for i in range(60)] + [(100 + i, f"alone{i} in here") for i in range(300)]
+    frame, plans, write = spark.createDataFrame(rows, "doc_id long, text string"), [], nd.bucketed
+    monkeypatch.setattr(nd, "bucketed", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a))
+    got = sorted(map(tuple, nd.near_duplicates(frame).collect()))
+    assert all("getbit" in p for p in plans) and len(plans) == 1
+    assert {i: c for i, _, c, _ in got} == {i: 3 * (i // 3) if i < 60 else i for i, _ in rows}
+    monkeypatch.setattr(nd, "BITS", 6)
+    assert sorted(map(tuple, nd.near_duplicates(frame).collect())) == got
