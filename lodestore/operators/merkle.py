@@ -84,11 +84,13 @@ def changes(before: DataFrame, after: DataFrame, depth: int, trees: tuple[DataFr
     leaf = differing(a, b, depth)
     columns = sorted(before.columns)
 
-    def suspects(df: DataFrame, name: str) -> DataFrame:
-        named = df.select(*columns, row_digest(df.columns).alias("_row")).withColumn("prefix", F.left("_row", F.lit(depth)))
-        kept = named.join(leaf, "prefix", "left_semi")
-        return kept.groupBy("_row").agg(F.count("*").alias(name), F.first(F.struct(*columns)).alias(f"_{name}"))
-
-    met = suspects(before, "b").join(suspects(after, "a"), "_row", "full").withColumn("_more", F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).filter("_more <> 0")
-    row = F.coalesce("_b", "_a").alias("_values")
-    return met.select(F.when(F.col("_more") > 0, "before").otherwise("after").alias("side"), F.abs("_more").alias("times"), row).select("side", "times", "_values.*")
+    def suspects(df: DataFrame, one: int) -> DataFrame:
+        named = df.select(*columns, row_digest(df.columns).alias("_row"), F.lit(one).cast("long").alias("_one"))
+        return named.withColumn("prefix", F.left("_row", F.lit(depth))).join(leaf, "prefix", "left_semi")
+
+    both, more = suspects(before, 1).unionByName(suspects(after, -1)), F.sum("_one").alias("_more")
+    if any(t in before.schema.simpleString() for t in ("float", "double", "map<")):  # a key would have -0.0 as 0.0
+        met = both.groupBy("_row").agg(more, F.first(F.struct(*columns)).alias("_values")).select("_more", "_values.*")
+    else:  # sums are hashed, where values taken along would have every row sorted
+        met = both.groupBy("_row", *columns).agg(more)
+    return met.filter("_more <> 0").select(F.when(F.col("_more") > 0, "before").otherwise("after").alias("side"), F.abs("_more").alias("times"), *columns)

@@ -70,3 +70,13 @@ def test_only_leaves_that_differ_are_named(spark):
 
 def test_depth():
     assert [mk.depth_for(n) for n in (0, 4096, 4097, 65536, 65537, 10**9)] == [0, 0, 1, 1, 2, 5]
+
+
+def test_changes_sort_no_rows(spark):
+    """Both tables meet in one hashed sum: rows are neither sorted by digest nor joined with those of the other table."""
+    rows = drawn(4)
+    a, b = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([*rows[1:], (7, "ü", -0.0), (7, "ü", 0.0)], SCHEMA)
+    plan = mk.changes(a.drop("amount"), b.drop("amount"), 1)._jdf.queryExecution()
+    assert "SortAggregate" not in plan.executedPlan().toString() and "FullOuter" not in plan.optimizedPlan().toString()
+    found = mk.changes(a, b, 1).filter("k = 7 and side = 'after' and name = 'ü'")
+    assert sorted(map(str, found.select("amount").collect())) == ["Row(amount=-0.0)", "Row(amount=0.0)"]
