@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.llm.common import bucketed, fresh, lean_batches, materialize, settled, text_or_empty, worker_state
@@ -244,15 +244,22 @@ def _several_components(open_: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(named.join(parts.filter("parts > 1"), "bucket").drop("parts"), "open")
 
 
-def _among(rows: DataFrame, keys: DataFrame, *of: str) -> DataFrame:
-    """The rows whose columns ``of`` are those of a row of ``keys``, and about one in ``SPARSE`` of the others: a join with
-    ``keys`` that follows moves hardly more than it finds. The bits of all keys, at most ``1 << BITS``, are broadcast in
-    words of 64; more keys let more of the others through."""
+def _told(rows: DataFrame, keys: DataFrame, *of: str) -> tuple[DataFrame, Column]:
+    """``rows`` with further columns, and a condition on them: true for the rows whose columns ``of`` are those of a row of
+    ``keys`` and for about one in ``SPARSE`` of the others, else false. The bits of all keys, at most ``1 << BITS``, are
+    broadcast in words of 64; more keys make it true for more of the others."""
+    at, word, set_at, set_word, set_bits = fresh(rows, "_at", "_word", "_set_at", "_set_word", "_set_bits")
     bits = 1 << max(6, min(BITS, (SPARSE * keys.count()).bit_length()))
-    at, word = F.xxhash64(*of).bitwiseAND(bits - 1), F.shiftright("_at", 6)
-    set_ = keys.select(at.alias("_at")).groupBy(word.alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_at & 63 as int)))").alias("_bits"))
-    met = rows.withColumn("_at", at).join(F.broadcast(set_), word == F.col("_word"))
-    return met.filter("getbit(_bits, cast(_at & 63 as int)) = 1").drop("_at", "_word", "_bits")
+    place = F.xxhash64(*of).bitwiseAND(bits - 1)
+    words = keys.select(place.alias(set_at)).groupBy(F.shiftright(set_at, 6).alias(set_word)).agg(F.expr(f"bit_or(shiftleft(1L, cast({set_at} & 63 as int)))").alias(set_bits))
+    met = rows.withColumn(at, place).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(words), F.col(word) == F.col(set_word), "left")
+    return met, F.expr(f"coalesce(getbit({set_bits}, cast({at} & 63 as int)) = 1, false)")
+
+
+def _among(rows: DataFrame, keys: DataFrame, *of: str) -> DataFrame:
+    """The rows that ``_told`` tells: a join with ``keys`` that follows moves hardly more than it finds."""
+    met, told = _told(rows, keys, *of)
+    return met.filter(told).select(*rows.columns)
 
 
 def _judged(docs: DataFrame, width: int, share: tuple[int, int], bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -339,8 +346,11 @@ def deduplicated(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80,
     several = materialize(several.select(F.col("id").alias(of_id), F.col("t").alias(of_t), F.when(F.col("least"), "one").otherwise("none").alias(verdict)), "verdicts")
     keyed = docs.select("*", F.col(id_col).cast("long").alias(known), F.xxhash64(text_col).alias(t))
     same = F.col(known).eqNullSafe(F.col(of_id)) & (F.col(t) == F.col(of_t))
-    single = keyed.join(several, same, "left").filter(F.col(verdict).isNull()).select(*docs.columns)
-    repeated = keyed.join(several.filter(F.col(verdict) == "one"), same).groupBy(known, t)
+    # most rows have no verdict: only those that may have one are moved to meet it
+    verdicts = several.select(F.col(of_id).alias(known), F.col(of_t).alias(t), verdict)
+    met, told = _told(keyed, verdicts, known, t)
+    single = met.filter(~told).select(*docs.columns).unionByName(met.filter(told).select(*keyed.columns).join(several, same, "left_anti").select(*docs.columns))
+    repeated = _among(keyed, verdicts.filter(F.col(verdict) == "one"), known, t).join(several.filter(F.col(verdict) == "one"), same).groupBy(known, t)
     row = F.struct(*docs.columns)
     return single.unionByName(repeated.agg(F.min_by(row, F.to_json(row)).alias(verdict)).select(F.inline(F.array(verdict))))
 

@@ -127,3 +127,17 @@ def test_texts_are_chosen_before_they_are_moved(spark, monkeypatch):
     assert {i: c for i, _, c, _ in got} == {i: 3 * (i // 3) if i < 60 else i for i, _ in rows}
     monkeypatch.setattr(nd, "BITS", 6)
     assert sorted(map(tuple, nd.near_duplicates(frame).collect())) == got
+
+
+def test_rows_without_a_verdict_are_not_moved(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i // 3) * 40 + k}" for k in range(40)) + (" x" * (i % 3)), i) for i in range(60)] + [(100 + i, f"alone{i} in here", i) for i in range(300)]
+    rows += [(100, "alone0 in here", 7), (100, "another text", 8), (None, "no id", 9), (None, "no id", 10), (None, None, 11), (500, None, 12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _at int")
+    expected = sorted(str(r) for r in rows if not (r[0] is not None and r[0] < 60 and r[0] % 3) and r not in [(100, "alone0 in here", 7), (None, "no id", 9)])
+    for bits in (nd.BITS, 6):
+        monkeypatch.setattr(nd, "BITS", bits)
+        found = nd.deduplicated(frame)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        joined = [p for p in plan.split("Join ") if p.startswith(("LeftAnti", "LeftOuter", "Inner")) and "_nd_of_id" in p.split("\n")[0]]
+        assert len(joined) == 2 and all("getbit" in p or "_set_bits" in p for p in joined)
+        assert sorted(str(tuple(r)) for r in found.collect()) == expected
