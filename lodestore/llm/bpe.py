@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from lodestore.llm.common import lean_batches, text_or_empty, worker_state
 
 #: Characters that are encoded together; bounds the memory of the library's encodings.
-CHUNK_CHARS = 400_000
-#: Matches of the pattern whose ids a worker keeps before it starts anew.
-KEPT = 600_000
+CHUNK_CHARS = 100_000
+#: Matches of the pattern, and their characters, whose ids a worker keeps before it starts anew; they bound its memory.
+KEPT, KEPT_CHARS = 200_000, 4_000_000
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -81,11 +81,12 @@ class Codec:
 
     def _forget(self) -> None:
         self.slot_of: dict[str, int] = {}
+        self.kept_chars = 0
         self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _slots(self, matches: list[str]) -> np.ndarray:
         """Where the ids of each match are kept; new matches are encoded first, each once."""
-        if len(self.slot_of) > KEPT:
+        if len(self.slot_of) > KEPT or self.kept_chars > KEPT_CHARS:
             self._forget()
         new = list(set(matches).difference(self.slot_of))
         if new:
@@ -94,6 +95,7 @@ class Codec:
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
             self.counts = np.concatenate([self.counts, n])
             self.flat = np.concatenate([self.flat, np.array(got.ids, dtype=np.int32)])
+            self.kept_chars += sum(map(len, new))
             self.slot_of.update(zip(new, range(len(self.slot_of), len(self.slot_of) + len(new)), strict=True))
         return np.fromiter(map(self.slot_of.__getitem__, matches), np.int64, len(matches))
 

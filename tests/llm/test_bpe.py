@@ -39,6 +39,18 @@ def test_special_strings_are_text(reference, codec):
     assert next(codec.encode([text])).tolist() == reference.encode_ordinary(text)
 
 
+def test_long_matches_are_not_kept_without_bound(reference, codec):
+    """Each text is one match of 60,000 letters: few matches, many characters."""
+    codec._forget()
+    letters = "".join(chr(97 + k * k % 26) for k in range(60_000))
+    texts = [letters[k:] + letters[:k] for k in range(1, 201)]
+    most = 0
+    for text in texts:
+        (ids,) = codec.encode([text])
+        most = max(most, sum(map(len, codec.slot_of)))
+    assert most <= 5_000_000 and codec.decode(ids) == texts[-1] and ids.tolist() == reference.encode_ordinary(texts[-1])
+
+
 def test_split_characters(codec):
     (ids,) = codec.encode(["漢😀"])
     assert len(ids) > 2 and codec.decode(ids[:1]) == "�" or codec.decode(ids) == "漢😀"
